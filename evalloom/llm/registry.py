@@ -1,7 +1,7 @@
 """The queries of this folder, and the SQL of those that SQL can express."""
 
-from . import byte_bpe
+from . import byte_bpe, chat, substring_dedup, url_filter
 
-MODULES = (byte_bpe,)
+MODULES = (substring_dedup, chat, url_filter, byte_bpe)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
