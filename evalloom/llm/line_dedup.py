@@ -15,6 +15,7 @@ give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,11 @@ def probe_keys(line: Column, n: Column, edits: int = MAX_EDITS, least: int = MIN
     return F.filter(F.array(*keys), lambda k: k.isNotNull()) if keys else F.array().cast("array<long>")
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value), with value computed once; also keeps the optimiser from copying it to each of its uses."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """Bytes that two different binary columns begin with alike: by halving steps, each one comparison."""
     most = F.least(F.octet_length(a), F.octet_length(b))
@@ -80,13 +86,15 @@ def within_edits(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
     def vector(state: Column, e: int) -> Column:
         return F.shiftright(state, e * width).bitwiseAND(F.lit(mask))
 
-    def step(state: Column, i: Column) -> Column:
+    def matches(i: Column) -> Column:
+        """Bit d + edits: whether byte i of a is byte i + d of b."""
         byte = F.substring(a, i, 1)
-        match = reduce(lambda x, y: x.bitwiseOR(y), (F.when((i + d >= 1) & (i + d <= lb) & (byte == F.substring(b, i + d, 1)), F.lit(1 << (d + edits))).otherwise(F.lit(0)) for d in range(-edits, edits + 1)))
+        return reduce(lambda x, y: x.bitwiseOR(y), (F.when((i + d >= 1) & (i + d <= lb) & (byte == F.substring(b, i + d, 1)), F.lit(1 << (d + edits))).otherwise(F.lit(0)) for d in range(-edits, edits + 1)))
+
+    def step(state: Column, match: Column) -> Column:
         new, before = [], None
         for e in range(edits + 1):
-            old = vector(state, e)
-            now = old.bitwiseAND(match)
+            now = vector(state, e).bitwiseAND(match)
             if e:
                 less = vector(state, e - 1)
                 now = now.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(before, 1).bitwiseAND(F.lit(mask)))
@@ -97,8 +105,21 @@ def within_edits(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
 
     # before the first byte: diagonal d >= 0 by d inserted bytes
     begin = sum(sum(1 << (d + edits) for d in range(e + 1)) << (e * width) for e in range(edits + 1))
-    ended = F.aggregate(F.when(la > 0, F.sequence(F.lit(1), la)).otherwise(F.array().cast("array<int>")), F.lit(begin).cast("long"), step)
-    return _bit(ended, edits * width + edits, lb - la, edits)
+    places = F.when(la > 0, F.sequence(F.lit(1), la)).otherwise(F.array().cast("array<int>"))
+    ended = F.aggregate(F.transform(places, matches), F.lit(begin).cast("long"), step)
+    return let(ended, lambda state: _bit(state, edits * width + edits, lb - la, edits))
+
+
+def similar(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
+    """within_edits of what lies between the common prefix and suffix of two different binary columns."""
+
+    def rest(x: Column, y: Column, front: Column, back: Column | int) -> Column:
+        return F.struct(*(F.substring(c, front + 1, F.octet_length(c) - front - back).alias(k) for c, k in ((x, "a"), (y, "b"))))
+
+    def without_suffix(x: Column) -> Column:
+        return let(common_suffix(x["a"], x["b"]), lambda back: let(rest(x["a"], x["b"], F.lit(0), back), lambda y: within_edits(y["a"], y["b"], edits)))
+
+    return let(common_prefix(a, b), lambda front: let(rest(a, b, front, 0), without_suffix))
 
 
 def _bit(state: Column, base: int, offset: Column, edits: int) -> Column:
@@ -126,11 +147,7 @@ def similar_pairs(lines: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYT
     a = known.select(F.col("h").alias("ha"), F.col("g").alias("ga"), F.col("place").alias("place_a"), F.col("line").alias("a"))
     b = known.select(F.col("h").alias("hb"), F.col("g").alias("gb"), F.col("place").alias("place_b"), F.col("line").alias("b"))
     both = pairs.join(a, ["ha", "ga"]).join(b, ["hb", "gb"]).filter(F.abs(F.octet_length("a") - F.octet_length("b")) <= edits)
-    both = both.withColumn("front", common_prefix(F.col("a"), F.col("b")))
-    both = both.withColumns({x: F.substring(F.col(x), F.col("front") + 1, F.octet_length(x)) for x in ("a", "b")})
-    both = both.withColumn("back", common_suffix(F.col("a"), F.col("b")))
-    both = both.withColumns({x: F.substring(F.col(x), F.lit(1), F.octet_length(x) - F.col("back")) for x in ("a", "b")})
-    return both.filter(within_edits(F.col("a"), F.col("b"), edits)).select("ha", "ga", "place_a", "hb", "gb", "place_b")
+    return both.filter(similar(F.col("a"), F.col("b"), edits)).select("ha", "ga", "place_a", "hb", "gb", "place_b")
 
 
 def _documents(docs: DataFrame, *more: str) -> DataFrame:
