@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than the space and U+0009 to U+000D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
-LOWER = {c: c + 32 for c in range(65, 91)}
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
 U64 = np.uint64
@@ -29,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def lower_ascii(text: str) -> str:
     """A-Z lower-cased, all other characters unchanged."""
-    return text.translate(LOWER) if not text.isascii() else text.lower()
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -106,6 +106,12 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), U64, len(words))
 
 
+def all_word_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of several texts in one array, and the number of words of each."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(texts)), U64, int(sizes.sum())), sizes
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values (a public finaliser of multiply and shift)."""
     x = x ^ (x >> U64(33))

@@ -11,7 +11,7 @@ Empty tables: no rows. Rows that repeat a doc_id are judged each for itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,11 +147,17 @@ def fit_references(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return sums[:, : len(CLASSES)], sums[:, len(CLASSES) :]
 
 
-def judge(docs: DataFrame, references: tuple[np.ndarray, np.ndarray] | None = None, limits: Limits = Limits()) -> DataFrame:
-    """doc_id, the counts, base_failed, both distances (null below the minimum length), and kept."""
-    by_class, by_word = references if references is not None else fit_references(docs)
+MEASURES = tuple((m, pa.int64(), "long") for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) + (
+    ("base_failed", pa.bool_(), "boolean"),
+    ("class_distance", pa.float64(), "double"),
+    ("common_distance", pa.float64(), "double"),
+    ("kept", pa.bool_(), "boolean"),
+)
+
+
+def _judge(by_class: np.ndarray, by_word: np.ndarray, limits: Limits) -> Callable[[str], tuple]:
+    """The measures of a text, in the order of MEASURES."""
     by_class, by_word = by_class[by_class.sum(axis=1) > 0], by_word[by_word.sum(axis=1) > 0]
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, common_distance double, kept boolean"
 
     def one(text: str) -> tuple:
         words = WORD.findall(text)
@@ -165,14 +171,31 @@ def judge(docs: DataFrame, references: tuple[np.ndarray, np.ndarray] | None = No
         kept = not failed and (kinds is None or kinds <= limits.max_class_distance) and (commons is None or commons <= limits.max_common_distance)
         return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, failed, kinds, commons, kept
 
+    return one
+
+
+def judge(docs: DataFrame, references: tuple[np.ndarray, np.ndarray] | None = None, limits: Limits = Limits()) -> DataFrame:
+    """doc_id, the counts, base_failed, both distances (null below the minimum length), and kept."""
+    by_class, by_word = references if references is not None else fit_references(docs)
+    one = _judge(by_class, by_word, limits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            rows = zip(*(one(x or "") for x in part.column("text").to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, (_, k, _) in zip(rows, MEASURES, strict=True))], names=["doc_id", *(m for m, _, _ in MEASURES)])
+
+    return doc_columns(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{m} {t}" for m, _, t in MEASURES))
+
+
+def keep(docs: DataFrame, references: tuple[np.ndarray, np.ndarray] | None = None, limits: Limits = Limits()) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    one = _judge(*(references if references is not None else fit_references(docs)), limits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = schema.replace(" long", "").replace(" boolean", "").replace(" double", "").split(", ")
-        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
         for part in slices(batches):
-            rows = [one(x or "") for x in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+            yield part.filter(pa.array([one(x or "")[-1] for x in part.column("text").to_pylist()], pa.bool_()))
 
-    return doc_columns(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

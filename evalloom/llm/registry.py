@@ -1,7 +1,7 @@
 """The queries of this folder, and the SQL of those that SQL can express."""
 
-from . import byte_bpe, chat, decontaminate, jaccard_join, line_dedup, pii, quality, substring_dedup, url_filter
+from . import byte_bpe, chat, decontaminate, jaccard_join, line_dedup, lm_score, pii, quality, substring_dedup, url_filter
 
-MODULES = (quality, substring_dedup, jaccard_join, chat, pii, url_filter, line_dedup, byte_bpe, decontaminate)
+MODULES = (quality, substring_dedup, jaccard_join, chat, lm_score, pii, url_filter, line_dedup, byte_bpe, decontaminate)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
