@@ -9,7 +9,7 @@ indexed under its own segments (with length and segment number), and probes, for
 substrings at those places. Pairs that meet are verified on what remains between their common prefix and suffix, with a bit vector of the
 2 * MAX_EDITS + 1 diagonals for each number of edits.
 
-Nulls: a null text has one empty line; a null doc_id comes before all others. Rows that share doc_id and text are the same document. Empty tables
+Nulls: a null text has one empty line; a null doc_id comes before all others. Equal lines of the same number in rows that share a doc_id are at one place. Empty tables
 give no rows.
 """
 
@@ -165,13 +165,14 @@ def removed_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYTE
         .filter(F.octet_length("line") >= least)
         .select("d", "t", "no", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
     )
-    place = F.struct("d", "no", "t").alias("place")
+    place = F.struct("d", "no").alias("place")
     lines = occurring.groupBy("h", "g").agg(F.min(place).alias("place"), F.first("line").alias("line"))
     pairs = similar_pairs(lines, edits, least)
     later = F.col("place_a") > F.col("place_b")
     late = pairs.select(F.when(later, F.col("ha")).otherwise(F.col("hb")).alias("h"), F.when(later, F.col("ga")).otherwise(F.col("gb")).alias("g")).distinct().withColumn("late", F.lit(True))
-    firsts = occurring.groupBy("h", "g").agg(F.min(place).alias("place")).join(late, ["h", "g"], "left")
-    gone = occurring.select("d", "t", "no", "h", "g").join(firsts, ["h", "g"]).filter(F.col("late").isNotNull() | (F.struct("d", "no", "t") != F.col("place")))
+    # line is kept, so that this reads the exchange of lines once more
+    firsts = lines.filter(F.col("line").isNotNull()).select("h", "g", "place").join(late, ["h", "g"], "left")
+    gone = occurring.select("d", "t", "no", "h", "g").join(firsts, ["h", "g"]).filter(F.col("late").isNotNull() | (F.struct("d", "no") != F.col("place")))
     return gone.groupBy("d", "t").agg(F.array_sort(F.collect_set("no")).alias("removed"))
 
 
