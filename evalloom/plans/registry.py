@@ -1,4 +1,7 @@
 """The registered queries of the evaluation operators, and the SQL that checks them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import text_queries
+
+MODULES = (text_queries,)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
