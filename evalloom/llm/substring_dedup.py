@@ -7,10 +7,10 @@ windows are judged on the input. The lengths are `window`, and its halves down t
 First level: not every window is sent, but one of each run of window - seed + 1 neighbours, that of the smallest fingerprint (the
 leftmost of equals). Two equal windows of the full length hold the same neighbours, so they choose the same one, and no repeat is lost.
 Next levels: a window is a candidate if the window that it was extended from was found in two documents or more; all others are
-dropped. The levels end when no candidate is left or the full length is reached. At the full length the blocks learn the
-smallest id of each window.
+dropped. The levels end when no candidate is left or the full length is reached. At the full length a block learns which windows
+an earlier document of another block holds.
 
-A window's fingerprint has 64 bits (two at the full length: 128).
+A window's fingerprint has 64 bits; at the full length two of them, 128 bits, are compared across blocks, and 64 within one, which is of bounded size.
 
 Nulls: a null text has no words and keeps the empty text; rows with a null doc_id are never earlier than others, and each of them
 loses what a row with an id holds. Rows that share a doc_id are the same document to each other: they do not make each other lose words. Empty
@@ -23,12 +23,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import column, in_blocks, per_block, per_block_with, resolve, runs
-from .common import U64, WORD, read, signed, windows, word_hashes
+from .common import U64, WORD, all_word_hashes, read, signed, windows
 
 WINDOW, SEED = 13, 6
 NO_ID = np.iinfo(np.int64).max
@@ -60,9 +59,8 @@ class Block:
     def __init__(self, table: pa.Table):
         self.ids = np.array([NO_ID if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
         self.words = [WORD.findall(t or "") for t in table.column("text").to_pylist()]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.hashes, self.sizes = all_word_hashes(self.words)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.hashes = np.concatenate([word_hashes(w) for w in self.words]) if self.words else np.empty(0, U64)
         self.of = np.repeat(np.arange(len(self.ids)), self.sizes)
 
     def windows(self, length: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -168,18 +166,16 @@ def removed_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Da
         return pa.table({"key": key[first], "check": check[first], "block": np.full(first.sum(), table.column("block")[0].as_py(), np.int32), "first": ids[first]})
 
     def smallest(table: pa.Table) -> pa.Table:
-        """To each block but that of the smallest id: the window and that id."""
+        """To each block of which all documents with the window are later than another block's: the window."""
         key, check, block, ids = (column(table, c) for c in ("key", "check", "block", "first"))
         order = np.lexsort((ids, check, key))
         key, check, block, ids = key[order], check[order], block[order], ids[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
-        low = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-        back = ids > low
-        return pa.table({"block": block[back], "level": np.full(back.sum(), last, np.int32), "key": key[back], "check": check[back], "first": low[back]})
+        back = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+        return pa.table({"block": block[back], "level": np.full(back.sum(), last, np.int32), "key": key[back]})
 
-    owners = resolve(per_block_with(blocks, answers, ask_last, "key long, check long, block int, first long"), n, smallest, ANSWER + ", check long, first long")
-    told = answers.withColumn("check", F.lit(None).cast("long")).withColumn("first", F.lit(None).cast("long")).unionByName(owners)
+    told = answers.unionByName(resolve(per_block_with(blocks, answers, ask_last, "key long, check long, block int, first long"), n, smallest, ANSWER))
 
     def remove(table: pa.Table, known: pa.Table) -> pa.Table:
         block = Block(table)
@@ -189,14 +185,12 @@ def removed_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Da
             at = _survivors(block, levels, last, found)
             key, check = (signed(block.windows(window, s)[0])[at] for s in (0, 1))
             ids = block.ids[block.of[at]]
-            own = known.filter(pa.compute.equal(known.column("level"), last))
-            k, c, f = (np.concatenate((column(own, x), y)) for x, y in (("key", key), ("check", check), ("first", ids)))
-            order = np.lexsort((f, c, k))
-            new = np.ones(len(k), bool)
-            new[1:] = (k[order][1:] != k[order][:-1]) | (c[order][1:] != c[order][:-1])
-            low = np.empty(len(k), np.int64)
-            low[order] = f[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            late = at[ids > low[own.num_rows :]]
+            order = np.lexsort((ids, check, key))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
+            low = np.empty(len(key), np.int64)
+            low[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            late = at[(ids > low) | np.isin(key, _found(known, last + 1)[last])]
             np.add.at(gone, late, 1)
             np.add.at(gone, late + window, -1)
         gone = np.cumsum(gone)[:-1] > 0
