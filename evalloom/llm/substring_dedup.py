@@ -137,9 +137,8 @@ def removed_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Da
         return add
 
     answers = resolve(per_block(blocks, ask_first, ASKED), n, level_of(0), ANSWER)
-    for i in range(1, len(levels) - 1):
-
-        def ask(table: pa.Table, known: pa.Table, i=i) -> pa.Table:
+    def ask_level(i: int):
+        def ask(table: pa.Table, known: pa.Table) -> pa.Table:
             if not table.num_rows or not known.num_rows:
                 return pa.table({"key": np.empty(0, np.int64), "block": np.empty(0, np.int32), "several": np.empty(0, bool)})
             block = Block(table)
@@ -147,7 +146,10 @@ def removed_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Da
             h, _ = block.windows(levels[i])
             return _asked(table.column("block")[0].as_py(), signed(h)[at], block.ids[block.of[at]])
 
-        answers = answers.unionByName(resolve(per_block_with(blocks, answers, ask, ASKED), n, level_of(i), ANSWER))
+        return ask
+
+    for i in range(1, len(levels) - 1):
+        answers = answers.unionByName(resolve(per_block_with(blocks, answers, ask_level(i), ASKED), n, level_of(i), ANSWER))
 
     last = len(levels) - 1
 
