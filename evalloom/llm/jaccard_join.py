@@ -4,20 +4,21 @@ Tokens are shingles of four words, as 64-bit fingerprints. The global order of t
 similarity t share at least ceil(t * n) tokens, n being the size of either; so the first token that they share lies in
 the first n - ceil(t * n) + 1 tokens of both, and the first k shared ones in the first n - ceil(t * n) + k. Hence a set is indexed under each rare
 token of the first prefix, and, where its first shared token could only be a frequent one, under each k-combination of the
-frequent tokens in the longer prefix. A token is frequent if it is dense (in FREQUENT of the documents of some slice, over all); there are
-at most about size / FREQUENT such tokens, whatever the corpus, so their list is sent to the workers.
+frequent tokens in the longer prefix. A token is frequent if it is dense (in a share FREQUENT of the documents of some part, and half that over all); there are
+at most 2 / FREQUENT times the mean size of such tokens (some MB), whatever the corpus, so their list is sent to the workers.
 
 Steps: (1) frequent tokens; (2) signatures, one row a document, written; (3) a slice of documents sends each signature once; signatures of more than one
-document are kept; (4) in each signature's group all members are compared with its smallest member, and the links made into components; (5) in
-groups that still hold several components, members of different components are compared, so that no link is lost; (6) components again. Copies of a set
-are one node throughout.
+document of similar size are kept; (4) in each signature's group all members are compared with its smallest member, and the links made into
+components; (5) in groups that still hold several components, members of different components are compared, so that no link is lost; (6)
+components again. Before texts are compared, sizes and prefixes must allow a link. Copies of a set are one node throughout.
 
-Nulls: a null text is an empty set; empty sets are linked with nothing; a row with a null doc_id is returned with a null component. Rows that share a
+Nulls: a null text is an empty set; empty sets are linked with nothing; a row with a null doc_id is returned with a null component and linked with nothing. Rows that share a
 doc_id are one node, with the links of all their texts. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,43 +28,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import column, resolve, runs
-from .common import U64, WORD, cut, doc_columns, lower_ascii, mix, partitions, read, signed, slices, windows, word_hashes, written
+from .common import U64, WORD, all_word_hashes, cut, doc_columns, lower_ascii, map_texts, mix, partitions, read, signed, slices, windows, written
 from .components import components
 
 SHINGLE, PERCENT, COMBINED = 4, 85, 2
-FREQUENT, AT_LEAST = 1 / 200, 8
-
-
-def shingle_set(text: str | None, length: int = SHINGLE) -> np.ndarray:
-    """Distinct shingle fingerprints, sorted. A shorter text is one shingle; a text without words has none."""
-    words = WORD.findall(lower_ascii(text or ""))
-    return np.unique(windows(word_hashes(words), min(length, max(1, len(words)))))
+FREQUENT, AT_LEAST = 1 / 2000, 4
+#: Tokens that a task counts together.
+COUNTED = 8 << 20
+
+
+def shingle_sets(texts: list[str | None], length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle fingerprints of each text, sorted by text and fingerprint, and the text's number of each.
+
+    A text of fewer words is one shingle; a text without words has none."""
+    h, sizes = all_word_hashes([WORD.findall(lower_ascii(x)) if x else [] for x in texts])
+    of = np.repeat(np.arange(len(texts)), sizes)
+    w = windows(h, length)
+    whole = of[: len(w)] == of[length - 1 :] if len(w) else np.empty(0, bool)
+    token, doc = [w[whole]], [of[: len(w)][whole]]
+    starts = np.cumsum(sizes) - sizes
+    for i in np.flatnonzero((sizes > 0) & (sizes < length)):
+        token.append(windows(h[starts[i] : starts[i] + sizes[i]], int(sizes[i])))
+        doc.append(np.array([i]))
+    token, doc = np.concatenate(token), np.concatenate(doc)
+    order = np.lexsort((token, doc))
+    token, doc = token[order], doc[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
+    return token[new], doc[new]
 
 
 def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT, k: int = COMBINED) -> np.ndarray:
-    """tokens: sorted distinct fingerprints. The signatures of which similar sets share at least one."""
-    n = len(tokens)
-    if not n:
-        return tokens
-    alpha = needed(n, percent)
-    often = np.isin(tokens, frequent, assume_unique=True)
-    rare, common = tokens[~often], tokens[often]
-    first = n - alpha + 1
-    singles = mix(rare[:first] + U64(1))
-    if alpha < k:  # sets this small are only like sets of the same small size
-        return np.concatenate((singles, mix(common[: max(0, first - len(rare))] + U64(2))))
-    common = mix(common[: max(0, n - alpha + k - len(rare))] + U64(3))
-    if len(common) < k:
-        return singles
-    pairs = np.array(list(combinations(range(len(common)), k)))
-    combined = common[pairs[:, 0]]
+def combinations_of(common: np.ndarray, k: int) -> np.ndarray:
+    """A fingerprint for each choice of k of these tokens."""
+    chosen = np.array(list(combinations(range(len(common)), k)), np.int64).reshape(-1, k)
+    out = mix(common[chosen[:, 0]] + U64(3))
     for j in range(1, k):
-        combined = mix(combined * U64(0x9E3779B97F4A7C15) + common[pairs[:, j]])
-    return np.concatenate((singles, combined))
+        out = mix(out * U64(0x9E3779B97F4A7C15) + common[chosen[:, j]])
+    return out
+
+
+def prefixes(token: np.ndarray, doc: np.ndarray, often: np.ndarray, n: np.ndarray, percent: int = PERCENT, k: int = COMBINED) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """token, doc, often: in the global order within each text (rare first). Which tokens are in the first prefix, which of those are
+    signatures as they stand, and the further signatures of texts with frequent tokens in a prefix."""
+    rank = np.arange(len(token)) - (np.cumsum(n) - n)[doc]
+    alpha = needed(n, percent)
+    first = rank < (n - alpha + 1)[doc]
+    small = (alpha < k)[doc]  # sets this small are only like sets of the same small size
+    alone = first & (~often | small)
+    wide = often & ~small & (rank < (n - alpha + k)[doc])
+    more = {}
+    for i in np.unique(doc[wide]).tolist():
+        common = token[wide & (doc == i)]
+        if len(common) >= k:
+            more[i] = combinations_of(common, k)
+    return first, alone, more
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -74,16 +96,25 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def frequent_tokens(docs: DataFrame, length: int = SHINGLE) -> np.ndarray:
-    """Tokens that are dense in a slice of documents, if their number over such slices is a share FREQUENT / 2 of all documents.
+    """Tokens that are dense in some part of the documents, if their number over such parts is a share FREQUENT / 2 of all documents.
 
-    Each slice counts all its tokens. What the driver gets is at most 2 / FREQUENT times the mean set size."""
+    Each task counts all tokens of its parts. What the driver gets is at most 2 / FREQUENT times the mean set size."""
+
+    def dense(sets: list[np.ndarray], docs: int) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(sets), return_counts=True)
+        often = n >= max(AT_LEAST, FREQUENT * docs)
+        return pa.RecordBatch.from_arrays([pa.array([None, *signed(token)[often].tolist()], pa.int64()), pa.array([docs, *n[often].tolist()], pa.int64())], names=["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size, docs = [], 0, 0
         for part in slices(batches):
-            sets = [shingle_set(x, length) for x in part.column("text").to_pylist()]
-            token, n = np.unique(np.concatenate(sets), return_counts=True)
-            dense = n >= max(AT_LEAST, FREQUENT * len(sets))
-            yield pa.RecordBatch.from_arrays([pa.array([None, *signed(token)[dense].tolist()], pa.int64()), pa.array([len(sets), *n[dense].tolist()], pa.int64())], names=["token", "n"])
+            sets.append(shingle_sets(part.column("text").to_pylist(), length)[0])
+            size, docs = size + len(sets[-1]), docs + part.num_rows
+            if size >= COUNTED:
+                yield dense(sets, docs)
+                sets, size, docs = [], 0, 0
+        if sets:
+            yield dense(sets, docs)
 
     counted = cut(docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     total = counted.filter("token is null").agg(F.sum("n")).first()[0] or 0
@@ -91,43 +122,63 @@ def frequent_tokens(docs: DataFrame, length: int = SHINGLE) -> np.ndarray:
     return np.sort(column(rows, "token").astype(np.int64).view(U64))
 
 
-INDEX = "doc_id long, n_shingles long, set_a long, set_b long, sent array<long>, shared array<long>"
+INDEX = "doc_id long, n_shingles long, set_a long, set_b long, prefix array<long>, sent array<long>, shared array<long>"
 
 
 def index(docs: DataFrame, frequent: np.ndarray, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """A row a document: its set's size and 128-bit fingerprint; sent: the signatures that it sends for its slice; shared: those
-    that it shares with others of the slice. Copies of a set within a slice have none but for the smallest."""
+    """A row a document: its set's size and 128-bit fingerprint; its first prefix; sent: the signatures that it sends for its slice (null:
+    its prefix); shared: those that it shares with others of the slice. Copies of a set within a slice have none but for the smallest."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            ids = part.column("doc_id").to_pylist()
-            sets = [shingle_set(x, length) for x in part.column("text").to_pylist()]
-            a = [int(np.bitwise_xor.reduce(mix(s + U64(11)))) if len(s) else 0 for s in sets]
-            b = [int(np.add.reduce(mix(s ^ U64(0x5DEECE66D5DEECE6)))) if len(s) else 0 for s in sets]
-            chosen: dict[tuple, int] = {}
-            for i, d in enumerate(ids):
-                if d is not None and len(sets[i]) and ((j := chosen.get((a[i], b[i]))) is None or d < ids[j]):
-                    chosen[a[i], b[i]] = i
-            rows = sorted(chosen.values(), key=lambda i: ids[i])
-            made = [signatures(sets[i], known.value, percent) for i in rows]
-            owner = np.repeat(np.arange(len(rows)), [len(x) for x in made])
-            flat = np.concatenate(made) if made else np.empty(0, U64)
-            order, run_of = runs(flat)  # stable, so the smallest id of a signature comes first
-            first = np.diff(run_of, prepend=-1) > 0
-            several = (np.bincount(run_of) > 1)[run_of] if len(flat) else first
-            sent: list[list] = [[] for _ in ids]
-            shared: list[list] = [[] for _ in ids]
-            for keep, to in ((first, sent), (several, shared)):
-                at = order[keep]
-                at = at[np.argsort(owner[at], kind="stable")]
-                cuts = np.searchsorted(owner[at], np.arange(len(rows) + 1))
-                values = signed(flat[at])
-                for r, i in enumerate(rows):
-                    to[i] = values[cuts[r] : cuts[r + 1]]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array(x, U64).view(np.int64)) for x in (a, b)), *(pa.array(x, pa.list_(pa.int64())) for x in (sent, shared))], names=["doc_id", "n_shingles", "set_a", "set_b", "sent", "shared"])
-
-    return docs.mapInArrow(run, INDEX)
+    def one(part: pa.RecordBatch) -> pa.RecordBatch:
+        ids = part.column("doc_id").to_pylist()
+        token, doc = shingle_sets(part.column("text").to_pylist(), length)
+        n = np.bincount(doc, minlength=len(ids))
+        starts = np.cumsum(n) - n
+        some = n > 0
+        print_a, print_b = np.zeros(len(ids), U64), np.zeros(len(ids), U64)
+        if len(token):
+            print_a[some] = np.bitwise_xor.reduceat(mix(token + U64(11)), starts[some])
+            print_b[some] = np.add.reduceat(mix(token ^ U64(0x5DEECE66D5DEECE6)), starts[some])
+        often = np.isin(token, known.value)
+        token = token >> U64(1) | often.astype(U64) << U64(63)  # from here on its place in the global order
+        if often.any():
+            order = np.lexsort((token, doc))
+            token, often = token[order], often[order]
+        first, alone, more = prefixes(token, doc, often, n, percent)
+        chosen: dict[tuple, int] = {}
+        for i in np.flatnonzero(some).tolist():
+            key = print_a[i], print_b[i]
+            if ids[i] is not None and ((j := chosen.get(key)) is None or ids[i] < ids[j]):
+                chosen[key] = i
+        use = np.zeros(len(ids), bool)
+        use[list(chosen.values())] = True
+        at = alone & use[doc]
+        key = np.concatenate([token[at], *(more[i] for i in more if use[i])])
+        owner = np.concatenate([doc[at], *(np.full(len(more[i]), i) for i in more if use[i])])
+        by_id = np.array([x if x is not None else 0 for x in ids])[owner]
+        order = np.lexsort((by_id, key))
+        key, owner = key[order], owner[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        group = np.cumsum(new) - 1
+        several = (np.bincount(group) > 1)[group] if len(key) else new
+        plain = use & (np.bincount(owner[several], minlength=len(ids)) == 0)
+        plain[list(more)] = False
+        plain &= np.bincount(doc[first & ~alone], minlength=len(ids)) == 0
+
+        def lists(values: np.ndarray, of: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+            order = np.argsort(of, kind="stable")
+            ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(ids))))).astype(np.int32)
+            mask = pa.array(null) if null is not None else None
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(values[order])), mask=mask)
+
+        head = first & use[doc]
+        lead = new & ~plain[owner]
+        columns = [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(signed(print_a)), pa.array(signed(print_b)), lists(token[head], doc[head]), lists(key[lead], owner[lead], plain), lists(key[several], owner[several])]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "prefix", "sent", "shared"])
+
+    return map_texts(docs, one, INDEX)
 
 
 def _of_several(table: pa.Table) -> pa.Table:
@@ -137,54 +188,95 @@ def _of_several(table: pa.Table) -> pa.Table:
     return pa.table({"key": key[back], "doc_id": doc[back]})
 
 
+def by_size(pairs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (a, b) that their sizes allow; with a column common, an upper bound of the rare tokens (not negative) that their prefixes
+    share, also those that it allows: the overlap is at most that and what the set whose prefix ends first has beyond it."""
+    for x in "ab":
+        pairs = pairs.join(known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.size(F.filter("prefix", lambda t: t >= 0))).alias(f"r{x}")), x)
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    if "common" in pairs.columns:
+        fits &= (F.col("common") + F.greatest("ra", "rb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    return pairs.filter(fits).select("a", "b").distinct()
+
+
+def may_link(pairs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (a, b) that their prefixes allow. known: node, n, prefix (in the global order, the upper 32 bits of each token).
+
+    Up to the end of the prefix that ends first, both prefixes hold all tokens; so the overlap is at most what they share up to there, and
+    the lesser number of tokens beyond. Tokens with equal upper bits make it no less."""
+    for x in "ab":
+        pairs = pairs.join(known.toDF(x, f"n{x}", f"p{x}"), x)
+
+    def allowed(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
+        end = min(x[-1], y[-1])
+        x, y = x[: np.searchsorted(x, end, "left")], y[: np.searchsorted(y, end, "left")]
+        most = int(np.isin(x, y).sum()) + min(nx - len(x), ny - len(y))
+        return most * (100 + percent) >= percent * (nx + ny)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            px, py = ([x.values.to_numpy().view(np.uint32) for x in part.column(c)] for c in ("pa", "pb"))
+            keep = [allowed(*row) for row in zip(px, py, part.column("na").to_pylist(), part.column("nb").to_pylist(), strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
+
+
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents at the ends of pairs, written."""
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    return written(docs.join(ends, "doc_id", "left_semi"), "texts")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (a, b) that are linked. texts: doc_id, text of all their ends."""
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text")), "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for part in slices(batches):
-            keep = []
-            for x, y in zip(part.column("text_a").to_pylist(), part.column("text").to_pylist(), strict=True):
-                if x != last[0]:
-                    last = x, shingle_set(x, length)
-                keep.append(linked(last[1], shingle_set(y, length), percent))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def one(part: pa.RecordBatch) -> pa.RecordBatch:
+        left, right = part.column("text_a").to_pylist(), part.column("text").to_pylist()
+        numbers = {x: i for i, x in enumerate(dict.fromkeys([*left, *right]))}
+        token, doc = shingle_sets(list(numbers), length)
+        ends = np.searchsorted(doc, np.arange(len(numbers) + 1))
+        sets = [token[ends[i] : ends[i + 1]] for i in range(len(numbers))]
+        keep = [linked(sets[numbers[x]], sets[numbers[y]], percent) for x, y in zip(left, right, strict=True)]
+        return part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text").mapInArrow(run, "a long, b long")
+    return map_texts(both.select("a", "b", "text_a", "text"), one, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs."""
     docs = doc_columns(docs)
-    n = partitions(docs)
+    parts = partitions(docs)
     rows = written(index(docs, frequent_tokens(docs, length), length, percent), "signatures")
     small = rows.select("doc_id", "n_shingles", "set_a", "set_b")
     sets = small.filter("n_shingles > 0 and doc_id is not null")
     classes = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    node_of = cut(sets.join(classes, ["set_a", "set_b"]).groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")))
-    # signatures of more than one document, as (key, node)
-    sent = resolve(rows.select(F.explode("sent").alias("key"), "doc_id"), n, _of_several, "key long, doc_id long")
-    members = sent.unionByName(rows.select(F.explode("shared").alias("key"), "doc_id"))
-    members = written(members.join(node_of.select("doc_id", "node"), "doc_id").select("key", "node").distinct(), "members")
+    node_of = cut(sets.join(classes, ["set_a", "set_b"]).groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")))
+    # signatures of more than one document; sizes that may be similar are of the same class or of neighbours, so a row goes to two classes
+    sent = resolve(rows.select(F.explode(F.coalesce("sent", "prefix")).alias("key"), "doc_id"), parts, _of_several, "key long, doc_id long")
+    members = sent.unionByName(rows.select(F.explode("shared").alias("key"), "doc_id")).join(node_of, "doc_id")
+    step = -math.log(percent / 100)
+    low, high = (F.floor(F.log(F.col(c).cast("double")) / step) for c in ("least", "most"))
+    members = members.select("node", F.explode(F.sequence(low, high + 1)).alias("size"), "key").select(F.xxhash64("key", "size").alias("key"), "node").distinct()
     hubs = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
-    pairs = cut(members.join(hubs, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
-    ends = members.join(hubs, "key", "left_semi").select(F.col("node").alias("doc_id")).distinct()
-    texts = written(docs.join(ends, "doc_id", "left_semi"), "texts")
-    links = cut(verified(pairs, texts, length, percent))
-    links = links.unionByName(node_of.filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    members = written(members.join(hubs, "key"), "members")
+    ends = cut(members.select(F.col("node").alias("doc_id")).distinct())
+    known = written(rows.filter(F.size("prefix") > 0).join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int")).alias("prefix")), "prefixes")
+    pairs = cut(may_link(by_size(members.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), known, percent), known, percent))
+    copies = node_of.filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    links = cut(verified(pairs, texts_of(docs, pairs), length, percent).unionByName(copies))
     found = cut(components(links))
-    placed = members.join(hubs, "key", "left_semi").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     rest = cut(placed.join(open_keys, "key", "left_semi"))
-    sizes = sets.groupBy("doc_id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    rest = rest.join(sizes.withColumnRenamed("doc_id", "node"), "node")
-    other = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "least", "most")))
-    fits = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & (100 * F.col("most") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least"))
-    more = rest.join(other, "key").filter(fits).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    again = cut(verified(cut(more), texts, length, percent))
-    if not again.isEmpty():
-        found = components(links.unionByName(again))
+    other = rest.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
+    more = rest.withColumnRenamed("node", "a").join(other, "key").filter("a < b and component <> component_b")
+    # nodes of two components share none but open keys, so that this counts all that they share
+    more = more.groupBy("a", "b").agg(F.count("*").alias("common"))
+    more = cut(may_link(by_size(more, known, percent).join(pairs, ["a", "b"], "left_anti"), known, percent))
+    if not more.isEmpty():
+        found = components(links.unionByName(verified(more, texts_of(docs, more), length, percent)))
     final = node_of.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
     return small.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce(own, "component_id", "doc_id").alias("component_id"))
