@@ -199,8 +199,37 @@ def keep(docs: DataFrame, references: tuple[np.ndarray, np.ndarray] | None = Non
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read(spark, sf_dir, "documents"))
+    found = judge(read(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})
+
+
+def _sql(limits: Limits = Limits()) -> str:
+    """The same in SQL. Characters of each class are counted by what is left without the others."""
+    own = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": r".,;:!?''\"()\-"}
+    left = lambda kept: f"length(regexp_replace(t, '[^{kept}]', '', 'g'))"
+    classes = [left(x) for x in own.values()] + [f"length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) - length(regexp_replace(t, '[^{''.join(own.values())}]', '', 'g'))", "length(t) - length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g'))"]
+    listed = ", ".join(f"'{w}'" for w in LISTED)
+    langs = ", ".join(f"'{x}'" for x in COMMON)
+    edge = EDGE.replace("'", "''")
+    distance = lambda kind: f"""(SELECT doc_id, min(sqrt(greatest(0, least(1, s / 2)))) AS x FROM (SELECT doc_id, lang, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) AS s
+  FROM (SELECT a.doc_id, r.lang, r.q, coalesce(h.n, 0) / a.total::DOUBLE AS p FROM (SELECT doc_id, sum(n) AS total FROM {kind} GROUP BY 1) a JOIN ref_{kind} r ON true LEFT JOIN {kind} h ON h.doc_id = a.doc_id AND h.cell = r.cell WHERE a.total > 0) GROUP BY 1, 2) GROUP BY 1)"""
+    reference = lambda kind: f"""ref_{kind} AS (SELECT c.lang, c.cell, coalesce(n, 0) / c.total::DOUBLE AS q FROM (SELECT lang, cell, total FROM (SELECT lang, sum(n) AS total FROM {kind} JOIN d USING (doc_id) GROUP BY 1 HAVING sum(n) > 0) JOIN (SELECT DISTINCT cell FROM {kind}) ON true) c
+  LEFT JOIN (SELECT lang, cell, sum(n) AS n FROM {kind} JOIN d USING (doc_id) GROUP BY 1, 2) s ON s.lang = c.lang AND s.cell = c.cell)"""
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({langs}) THEN lang ELSE 'other' END AS lang, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+chars AS (SELECT doc_id, unnest(range({len(classes)})) AS cell, unnest([{', '.join(classes)}]) AS n FROM d),
+commons AS (SELECT doc_id, CASE WHEN x IN ({listed}) THEN x ELSE '' END AS cell, count(*) AS n FROM (SELECT doc_id, lower(trim(unnest(w), '{edge}')) AS x FROM d) GROUP BY 1, 2),
+{reference('chars')}, {reference('commons')},
+win AS (SELECT doc_id, i, array_to_string(w[i:i+{REPEAT - 1}], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {REPEAT - 2})) AS i FROM d WHERE len(w) >= {REPEAT})),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + {REPEAT})) AS j FROM win JOIN (SELECT doc_id, x FROM win GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, x)) GROUP BY 1),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+m AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
+  coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, a.x AS ca, b.x AS co
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN {distance('chars')} a ON a.doc_id = d.doc_id LEFT JOIN {distance('commons')} b ON b.doc_id = d.doc_id),
+f AS (SELECT *, n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.max_repeat_percent} * n_words AS base_failed, CASE WHEN word_chars >= {limits.min_class_chars} THEN ca END AS class_distance, CASE WHEN n_words >= {limits.min_common_words} THEN co END AS common_distance FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(class_distance, 6) AS class_distance, round(common_distance, 6) AS common_distance,
+  NOT base_failed AND coalesce(class_distance <= {limits.max_class_distance}, true) AND coalesce(common_distance <= {limits.max_common_distance}, true) AS kept FROM f"""
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}
-SQL: dict[str, str] = {}
+SQL = {"op1_quality_rules": _sql()}
