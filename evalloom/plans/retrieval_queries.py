@@ -64,7 +64,7 @@ def passages(spark, sf_dir):
 
     chunks = chunk_fixed(corpus(spark, sf_dir))
     questions = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("question"))
-    return chunks.join(F.broadcast(questions.limit(100_000)), F.contains("text", "question")).select("item_id", "chunk_id")
+    return chunks.join(questions, F.contains("text", "question")).select("item_id", "chunk_id")
 
 
 def knn_ivf(spark, sf_dir):
