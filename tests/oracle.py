@@ -19,7 +19,7 @@ def connect(sf_dir):
 def shown(v):
     if isinstance(v, (list, tuple, np.ndarray)):
         return "[" + ",".join(map(shown, v)) + "]"
-    if v is None or v is pd.NaT or (isinstance(v, (float, np.floating)) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, (float, np.floating)) and v != v):
         return "null"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
