@@ -6,7 +6,8 @@ counted on UTF-8 bytes. Lines of fewer than MIN_BYTES bytes are left alone: shor
 Equal lines are one row, of their first place. A line of n bytes is cut into MAX_EDITS + 1 even segments; by the pigeonhole principle a line within
 MAX_EDITS edits holds one of them unchanged, at a place that is shifted by no more edits than are left on either side. So each line is
 indexed under its own segments (with length and segment number), and probes, for each length from its own down to MAX_EDITS less, the
-substrings at those places. Pairs that meet are verified on what remains between their common prefix and suffix, with a bit vector of the
+substrings at those places. Pairs that meet and whose
+sketches (counts of letters by eight buckets, part of a line's key) allow so few edits are verified on what remains between their common prefix and suffix, with a bit vector of the
 2 * MAX_EDITS + 1 diagonals for each number of edits.
 
 Nulls: a null text has one empty line; a null doc_id comes before all others. Equal lines of the same number in rows that share a doc_id are at one place. Empty tables
@@ -55,6 +56,29 @@ def probe_keys(line: Column, n: Column, edits: int = MAX_EDITS, least: int = MIN
     return F.filter(F.array(*keys), lambda k: k.isNotNull()) if keys else F.array().cast("array<long>")
 
 
+#: Letters by bucket of the sketch: eight groups of about the same frequency.
+BUCKETS = ("ezd", "tjl", "aqu", "oxc", "nkm", "ivf", "sbp", "rhgwy")
+
+
+def sketch(line: Column) -> Column:
+    """How often a line holds characters of each bucket, modulo 16, as eight times four bits."""
+
+    def packed(put: Column) -> Column:
+        counts = [(F.length(put) - F.length(F.replace(put, F.lit(str(i)), F.lit("")))).bitwiseAND(F.lit(15)).cast("long") for i in range(len(BUCKETS))]
+        return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(c, 4 * i) for i, c in enumerate(counts)))
+
+    return let(F.translate(line, "".join(BUCKETS), "".join(str(i) * len(b) for i, b in enumerate(BUCKETS))), packed)
+
+
+def sketches_allow(a: Column, b: Column, edits: int) -> Column:
+    """An edit takes one character from a bucket and puts one into another, at most; differences are taken around 16, so never too large."""
+    total = F.lit(0).cast("long")
+    for i in range(len(BUCKETS)):
+        up = (F.shiftright(a, 4 * i) - F.shiftright(b, 4 * i)).bitwiseAND(F.lit(15))
+        total = total + F.least(up, 16 - up)
+    return total <= 2 * edits
+
+
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     """fn(value), with value computed once; also keeps the optimiser from copying it to each of its uses."""
     return F.element_at(F.transform(F.array(value), fn), 1)
@@ -131,16 +155,17 @@ def _bit(state: Column, base: int, offset: Column, edits: int) -> Column:
 
 
 def similar_pairs(lines: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYTES) -> DataFrame:
-    """lines: h, g (a line's key), place, line (binary), each line once. The pairs within `edits`, as keys and places of both."""
+    """lines: h, g (a line's key; g is its sketch), place, line (binary), each line once. The pairs within `edits`, as keys and places of both."""
     n = F.octet_length("line")
     # place is kept, so that all uses of lines share one exchange
     known = lines.filter(F.col("place").isNotNull())
     index = known.select(F.explode(index_keys(F.col("line"), n, edits)).alias("key"), "h", "g")
     probes = known.select(F.explode(probe_keys(F.col("line"), n, edits, least)).alias("key"), F.col("h").alias("hb"), F.col("g").alias("gb"))
     again = index.select("key", F.col("h").alias("hb"), F.col("g").alias("gb"))
-    differ = (F.col("h") != F.col("hb")) | (F.col("g") != F.col("gb"))
+    near = sketches_allow(F.col("g"), F.col("gb"), edits)
+    differ = ((F.col("h") != F.col("hb")) | (F.col("g") != F.col("gb"))) & near
     met = probes.join(index.hint("shuffle_hash"), "key").filter(differ)
-    equal_length = again.join(index.hint("shuffle_hash"), "key").filter(F.struct("h", "g") < F.struct("hb", "gb"))
+    equal_length = again.join(index.hint("shuffle_hash"), "key").filter((F.struct("h", "g") < F.struct("hb", "gb")) & near)
     low = F.struct("h", "g") < F.struct("hb", "gb")
     ends = [F.when(low, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("h", "hb", "ha"), ("g", "gb", "ga"), ("hb", "h", "hb"), ("gb", "g", "gb"))]
     pairs = met.unionByName(equal_length).select(*ends).distinct()
@@ -161,9 +186,8 @@ def removed_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYTE
     occurring = (
         _documents(docs)
         .select("d", "t", F.posexplode("lines").alias("no", "text"))
-        .select("d", "t", "no", F.col("text").cast("binary").alias("line"))
-        .filter(F.octet_length("line") >= least)
-        .select("d", "t", "no", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+        .filter(F.octet_length("text") >= least)
+        .select("d", "t", "no", F.col("text").cast("binary").alias("line"), F.xxhash64("text").alias("h"), sketch(F.col("text")).alias("g"))
     )
     place = F.struct("d", "no").alias("place")
     lines = occurring.groupBy("h", "g").agg(F.min(place).alias("place"), F.first("line").alias("line"))
