@@ -1,11 +1,15 @@
 """Format-preserving pseudonyms: validated values are permuted within their format by a keyed Feistel network.
 
 A value is found by a pattern, validated, and read as an integer below the size N of its format (15 free digits of a card number,
-ten digits of a telephone number, 32 bits of an IPv4 address, the day within 1900 to 2099, the free digits of an IBAN's account
+the digits of a telephone number, 32 bits of an IPv4 address, the day within 1900 to 2099, the free digits of an IBAN's account
 part, the letters and digits of an address's local part, the digits of a hexadecimal secret). The network permutes 0..N-1, cycle
 walking where N has no exact halves; check digits are computed anew. As the permutation depends on the key and the kind
 of value alone, equal values stay equal in all documents and different ones stay different, without any table or join.
 
+Telephone numbers have a country code (+ or 00) and a number of digits that fits it, or are written as national ones: in groups of 3, 3 and 4,
+with a leading 0, or as nine digits in groups from 6, 7, 8 or 9 on. Ten digits without any separator are no telephone number. Dates have the day first,
+or the month where there is no such day; one-digit days and months count.
+
 Nulls: a null text stays null, with all counts 0. Empty texts stay empty. Rows are treated one by one, so repeats give repeats.
 """
 
@@ -81,11 +85,24 @@ def _number(m: re.Match, key: bytes) -> str | None:
     return _card(m, key) or refill(m[0], str(feistel(int(d := re.sub(r"\D", "", m[0])), 10 ** len(d), key, f"number{len(d)}")).zfill(len(d)))
 
 
-def _phone(m: re.Match, key: bytes) -> str | None:
-    digits = re.sub(r"\D", "", m["rest"])
-    if len(digits) != 10:
-        return None
-    return m[0][: m.start("rest") - m.start()] + refill(m["rest"], str(feistel(int(digits), 10**10, key, "phone")).zfill(10))
+def _phone(m: re.Match, key: bytes) -> tuple[str, int] | None:
+    """The longest run of whole digit groups whose number of digits fits the country code (without one: a form of a national number)."""
+    code = m["cc"] or ("1" if m["nanp"] else "")
+    kind = "rest" if m["cc"] else "nanp" if m["nanp"] else "national"
+    least, most = PHONE_DIGITS.get(code, (5, 15 - len(code))) if code else (8, 11)
+    start = m.start(kind)
+    trunk = re.match(TRUNK[kind], m[kind]).end()  # digits before the number proper stay
+    for group in reversed(list(re.finditer(r"\d+", m[kind][trunk:]))):
+        body = m[kind][trunk:][: group.end()]
+        digits = re.sub(r"\D", "", body)
+        if least <= len(digits) <= most:
+            if code == "1":
+                new = str(feistel(int(digits), 10**10, key, "phone")).zfill(10)
+            else:  # the first digit names the kind of line and stays
+                n = len(digits) - 1
+                new = digits[0] + str(feistel(int(digits[1:]), 10**n, key, f"phone{len(digits)}{digits[0]}")).zfill(n)
+            return m[0][: start - m.start() + trunk] + refill(body, new), start + trunk + group.end()
+    return None
 
 
 def _ip(m: re.Match, key: bytes) -> str | None:
@@ -96,16 +113,31 @@ def _ip(m: re.Match, key: bytes) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
-def _date(m: re.Match, key: bytes) -> str | None:
-    iso = m["y"] is not None
+def _day(y: str, m: str, d: str) -> dt.date | None:
     try:
-        day = dt.date(int(m["y"]), int(m["m"]), int(m["d"])) if iso else dt.date(int(m["y2"]), int(m["m2"]), int(m["d2"]))
+        day = dt.date(int(y), int(m), int(d))
     except ValueError:
         return None
-    if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
+    return day if FIRST_DAY <= day.toordinal() <= LAST_DAY else None
+
+
+def _date(m: re.Match, key: bytes) -> str | None:
+    """A date that is none with the day first is read with the month first, and stays among those."""
+    if m["y"] is not None:
+        day, late = _day(m["y"], m["m"], m["d"]), False
+    else:
+        day, late = _day(m["y2"], m["m2"], m["d2"]), False
+        if day is None and m["s"] != ".":
+            day, late = _day(m["y2"], m["d2"], m["m2"]), True
+    if day is None:
         return None
-    new = dt.date.fromordinal(FIRST_DAY + feistel(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
-    return f"{new.year:04d}-{new.month:02d}-{new.day:02d}" if iso else f"{new.day:02d}{m['s']}{new.month:02d}{m['s']}{new.year:04d}"
+    while True:
+        day = dt.date.fromordinal(FIRST_DAY + feistel(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
+        if not late or day.day > 12:
+            break
+    width = 1 if min(len(m["m"] or m["m2"]), len(m["d"] or m["d2"])) == 1 else 2
+    year, month, number = f"{day.year:04d}", f"{day.month:0{width}d}", f"{day.day:0{width}d}"
+    return f"{year}-{month}-{number}" if m["y"] is not None else m["s"].join((month, number, year) if late else (number, month, year))
 
 
 def _mod97(country: str, body: str) -> int:
@@ -152,17 +184,24 @@ def _secret(m: re.Match, key: bytes) -> str | None:
     return new.upper() if text == text.upper() else new
 
 
+#: Country codes; how many digits follow some of them (of the others, 5 to what makes 15 in all).
+COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[035789]|9[679])\d)"
+PHONE_DIGITS = {"1": (10, 10), "7": (10, 10), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "39": (6, 11), "41": (9, 9), "43": (6, 13), "44": (7, 10), "45": (8, 8), "46": (7, 10), "47": (8, 8), "48": (9, 9), "49": (6, 13), "52": (10, 10), "351": (9, 9)}
+TRUNK = {"rest": r"(?:[ .-]?\(0\))?", "nanp": r"(?:1(?![\d][\d][ .-]))?", "national": r"\(?0?"}
 #: One pattern; the name of the group that matched is the kind.
 PATTERN = re.compile(
     r"(?P<email>(?P<local>[A-Za-z0-9._%+-]{1,64})@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>(?<![A-Za-z0-9])(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![A-Za-z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
-    r"|(?P<date>(?<!\d)(?:(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})|(?P<d2>\d{2})(?P<s>[/.])(?P<m2>\d{2})(?P=s)(?P<y2>\d{4}))(?!\d))"
-    r"|(?P<phone>(?<![\d+])(?:\+1[ -]?)(?P<rest>\(?\d{3}\)?[ -]?\d{3}[ -]?\d{4})(?!\d))"
+    r"|(?P<date>(?<!\d)(?<!\d[/.-])(?:(?P<y>\d{4})-(?P<m>\d{1,2})-(?P<d>\d{1,2})|(?P<d2>\d{1,2})(?P<s>[/.-])(?P<m2>\d{1,2})(?P=s)(?P<y2>\d{4}))(?!\d))"
+    r"|(?P<phone>(?=[+(\d])(?<![\d+])(?<!\d[.,-])(?:(?:\+|00) ?(?P<cc>" + COUNTRY + r")(?P<rest>(?:[ .-]?\(0\))?[ .-]?\(?\d{1,14}(?:(?:\)[ .-]?|[ ./-])\d{2,14}){0,6})(?!\d)"
+    r"|(?P<nanp>(?:1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4})(?!-?\d)"
+    r"|(?P<national>0[1-9](?:[ .-]\d\d){4}(?!-?\d)|[6-9]\d\d(?:(?:[ .-]\d{3}){2}|(?:[ .-]\d\d){3})(?!-?\d)|(?:\(0[1-9]\d{0,4}\)[ ./-]?|0[1-9]\d{0,4}[ ./-])\d{2,9}(?:[ ./-]\d{2,9}){0,4}(?!\d))))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
 )
-RULES: dict[str, Callable[[re.Match, bytes], str | None]] = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "phone": _phone, "card": _number}
+#: What takes the place of a match, or nothing; with the place where it ends if that is before the match does.
+RULES: dict[str, Callable[[re.Match, bytes], str | tuple[str, int] | None]] = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "phone": _phone, "card": _number}
 MAY = re.compile(r"[0-9@]")
 
 
@@ -171,15 +210,14 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     if not MAY.search(text):
         return text, found
 
-    def swap(m: re.Match) -> str:
+    out, at = [], 0
+    while m := PATTERN.search(text, at):
         kind = next(k for k in KINDS if m[k] is not None)
-        new = RULES[kind](m, key)
-        if new is None:
-            return m[0]
-        found[kind] += 1
-        return new
-
-    return PATTERN.sub(swap, text), found
+        new, end = x if isinstance(x := RULES[kind](m, key), tuple) else (x, m.end())
+        found[kind] += new is not None
+        out += (text[at : m.start()], m[0] if new is None else new)
+        at = end
+    return "".join((*out, text[at:])), found
 
 
 def pseudonymised(docs: DataFrame, key: bytes = QUERY_KEY) -> DataFrame:

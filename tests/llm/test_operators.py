@@ -242,6 +242,24 @@ def test_pseudonyms_keep_formats_and_links():
     assert pii.luhn_digit(plain[:-1]) == plain[-1] and plain in new.replace("-", "")
 
 
+def test_telephone_numbers_and_dates_of_all_forms():
+    phones = ["(555) 123-4567", "555-123-4567", "555.123.4567", "1-555-123-4567", "+33 1 23 45 67 89", "0033 1 23 45 67 89", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+49 30 12345678", "+34 612 345 678", "01 23 45 67 89", "01.23.45.67.89", "030/12345678", "(030) 12345678", "612 34 56 78", "+1-555-123-4567"]
+    dates = ["12/25/1990", "1/5/1990", "12/5/1990", "5.3.2020", "2024-2-9", "12-25-1990"]
+    for kind, values in (("phone", phones), ("date", dates)):
+        for x in values:
+            new, found = pii.pseudonymise(f"call {x} 2 times, or {x}.", b"key")
+            assert (found[kind], sum(found.values())) == (2, 2) and x not in new, (x, new)
+            assert pii.pseudonymise(new, b"key")[1] == found, (x, new)
+            assert new.count(" 2 times") == 1
+    shown = lambda x: "".join(c for c in pii.pseudonymise(x, b"key")[0] if c.isdigit())
+    assert shown("(555) 123-4567") == shown("555.123.4567") == shown("+1 555 123 4567")[1:]
+    assert shown("+33 1 23 45 67 89")[2:] == shown("01 23 45 67 89")[1:]
+    late = {pii.pseudonymise(f"{m}/{d}/1990", b"key")[0] for m in range(1, 13) for d in range(13, 29)}
+    assert len(late) == 12 * 16 and all(int(x.split("/")[1]) > 12 for x in late)
+    for x in ("+33 1 23 45 67 8", "+1 555 123 456", "13/13/1990", "25.13.1990", "5551234567", "0.5 and 1000000", "pages 100-200"):
+        assert pii.pseudonymise(x, b"key")[0] == x
+
+
 # 7
 
 
