@@ -9,7 +9,9 @@ A window has as many shingles as the item (or the whole document, if that is sho
 cut into BLOCKS blocks; two fingerprints within RADIUS bits differ in at most RADIUS / BLOCKS bits in some block, so the table of each block, which lists
 the items under all values that near, guarantees all items within the radius. Those are then compared exactly.
 
-The benchmark is sent to the workers in parts of at most PART_CHARS characters, one narrow pass over the documents for each; the documents are never shuffled.
+The benchmark is sent to the workers in parts of about PART_CHARS characters, one narrow pass over the documents for each; the documents are never
+shuffled. Items and holders are counted once, over the whole benchmark, and each part gets the counts of its shingles. With several parts, a pass for
+each comes before, in which documents collect the counts of those of their shingles that some item holds, so that weights don't depend on the parts.
 
 Nulls: null or wordless texts have no leak; null or wordless items are not searched for. Repeated rows and items are treated each for itself. An
 empty benchmark leaves all documents clean.
@@ -29,13 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, doc_columns, read, slices, windows, word_hashes
+from .common import U64, doc_columns, read, signed, slices, windows, word_hashes, written
 
 TOKEN = re.compile(r"\w+")
 SHINGLE, SIMILAR = 5, 0.8
 BLOCKS, RADIUS = 8, 23
 PART_CHARS = 16 << 20
 BIT = np.arange(64, dtype=np.uint64)
+NONE: dict = {}
+#: Of a document's shingles, those that some item holds, and how many items do.
+KEYS, HOLDERS = "_shingles_held", "_holders"
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -53,15 +58,16 @@ def near_bytes(flips: int) -> np.ndarray:
 class Items:
     """A part of the benchmark, indexed."""
 
-    def __init__(self, rows: list[tuple[int, str]], similar: float = SIMILAR):
+    def __init__(self, rows: list[tuple[int, str]], similar: float = SIMILAR, total: int | None = None, holders: dict[int, int] | None = None):
+        """total, holders: items of the whole benchmark and how many of them hold a shingle; without them, rows are the whole."""
         self.similar = similar
         found = [(i, s) for i, text in rows if len(s := shingles(text))]
         self.words = [n for _, text in rows if (n := len(TOKEN.findall((text or "").lower())))]
         self.short_lengths = sorted({n for n in self.words if n < SHINGLE})
         self.ids = [i for i, _ in found]
-        holders = Counter(x for _, s in found for x in set(s.tolist()))
-        self.most = math.log1p(len(found))
-        self.weight = {x: math.log1p(len(found) / n) for x, n in holders.items()}
+        self.total = len(found) if total is None else total
+        self.most = math.log1p(self.total)
+        self.weight = self.weighed(Counter(x for _, s in found for x in set(s.tolist())) if holders is None else holders)
         self.counts = [Counter(s.tolist()) for _, s in found]
         self.size = [len(s) for _, s in found]
         self.items: dict[int, list[int]] = defaultdict(list)
@@ -82,14 +88,17 @@ class Items:
             self.prints[m] = prints
             self.tables[m] = np.stack([near[:, b] for b in prints.view(np.uint8).reshape(-1, BLOCKS).T])  # block, byte, item
 
-    def weights(self, s: np.ndarray) -> np.ndarray:
-        return np.array([self.weight.get(x, self.most) for x in s.tolist()])
+    def weighed(self, holders: dict[int, int]) -> dict[int, float]:
+        return {x: math.log1p(self.total / n) for x, n in holders.items()}
 
-    def fingerprints(self, s: np.ndarray, m: int) -> np.ndarray:
-        """The SimHash of each window of m shingles."""
-        signs = np.where(s[:, None] >> BIT & U64(1), 1.0, -1.0) * self.weights(s)[:, None]
+    def weights(self, s: np.ndarray, others: dict[int, float]) -> np.ndarray:
+        return np.array([self.weight.get(x) or others.get(x, self.most) for x in s.tolist()])
+
+    def fingerprints(self, s: np.ndarray, m: int, others: dict[int, float] = NONE) -> np.ndarray:
+        """The SimHash of each window of m shingles; others: weights of shingles that other parts hold."""
+        signs = np.where(s[:, None] >> BIT & U64(1), 1.0, -1.0) * self.weights(s, others)[:, None]
         sums = np.concatenate((np.zeros((1, 64)), np.cumsum(signs, axis=0)))
-        votes = sums[m:] - sums[:-m] > 0
+        votes = sums[m:] - sums[:-m] > 1e-7  # a tie is no vote, in whatever order it was added up
         return (votes.astype(U64) << BIT).sum(axis=1, dtype=U64)
 
     def candidates(self, prints: np.ndarray, m: int) -> np.ndarray:
@@ -101,17 +110,17 @@ class Items:
         at = np.argwhere(maybe)
         return at[np.bitwise_count(prints[at[:, 0]] ^ self.prints[m][at[:, 1]]) <= RADIUS]
 
-    def similarity(self, window: Counter, k: int) -> float:
+    def similarity(self, window: Counter, k: int, others: dict[int, float] = NONE) -> float:
         item, least, most = self.counts[k], 0.0, 0.0
         for x, n in item.items():
             w, c = self.weight[x], window.get(x, 0)
             least += w * min(n, c)
             most += w * max(n, c)
-        most += sum(self.weight.get(x, self.most) * c for x, c in window.items() if x not in item)
+        most += sum((self.weight.get(x) or others.get(x, self.most)) * c for x, c in window.items() if x not in item)
         return least / most
 
-    def search(self, text: str | None) -> dict[int, float]:
-        """Leaked items (by number) with their best similarity."""
+    def search(self, text: str | None, holders: dict[int, int] = NONE) -> dict[int, float]:
+        """Leaked items (by number) with their best similarity; holders: the counts of the text's shingles in the whole benchmark."""
         words = TOKEN.findall((text or "").lower())
         hashes = word_hashes(words)
         best: dict[int, float] = {}
@@ -119,7 +128,7 @@ class Items:
         at = np.flatnonzero(self.gate[(s & U64(0xFFFF)).astype(np.int64)])
         if len(at):
             place = np.minimum(np.searchsorted(self.known, s[at]), len(self.known) - 1)
-            self._around(s, at[self.known[place] == s[at]], best)
+            self._around(s, at[self.known[place] == s[at]], best, self.weighed(holders))
         self._short(hashes, best)
         return best
 
@@ -132,7 +141,7 @@ class Items:
                     if self.size[k] == 1 and self.words[k] == length:
                         best[k] = 1.0
 
-    def _around(self, s: np.ndarray, at: np.ndarray, best: dict[int, float]) -> None:
+    def _around(self, s: np.ndarray, at: np.ndarray, best: dict[int, float], others: dict[int, float]) -> None:
         starts: dict[int, set[int]] = defaultdict(set)  # size of window -> first shingles
         for p in at.tolist():
             for k in self.items[int(s[p])]:
@@ -143,9 +152,9 @@ class Items:
             width = min(m, len(s))
             for run in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
                 region = s[run[0] : run[-1] + width]
-                for i, j in self.candidates(self.fingerprints(region, width), m):
+                for i, j in self.candidates(self.fingerprints(region, width, others), m):
                     k = self.by_size[m][j]
-                    x = self.similarity(Counter(region[i : i + width].tolist()), k)
+                    x = self.similarity(Counter(region[i : i + width].tolist()), k, others)
                     if x >= self.similar and x > best.get(k, 0.0):
                         best[k] = x
 
@@ -153,35 +162,91 @@ class Items:
 _BUILT: dict = {}
 
 
-def _built(key: str, rows: list[tuple[int, str]], similar: float) -> Items:
+def _built(key: str, rows: list[tuple[int, str]], similar: float, total: int, keys: np.ndarray, n: np.ndarray) -> Items:
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Items(rows, similar)
+        _BUILT[key] = Items(rows, similar, total, _counts(keys, n))
     return _BUILT[key]
 
 
+def _counts(keys: np.ndarray, n: np.ndarray) -> dict[int, int]:
+    return dict(zip(np.asarray(keys, np.int64).view(U64).tolist(), np.asarray(n).tolist(), strict=True))
+
+
+def held_shingles(items: DataFrame) -> tuple[DataFrame, int]:
+    """key, n (items that hold it), parts (those of them); and the number of items that have a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for part, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                keys = np.unique(shingles(text))
+                if len(keys):
+                    first = np.arange(len(keys)) == 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part, np.int32)), pa.array(signed(keys)), pa.array(first)], names=["part", "key", "first"])
+
+    held = items.select("part", "text").mapInArrow(run, "part int, key long, first boolean")
+    found = written(held.groupBy("key").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts"), F.sum(F.col("first").cast("long")).alias("firsts")), "held")
+    return found, found.agg(F.coalesce(F.sum("firsts"), F.lit(0))).first()[0]
+
+
 def with_leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, part_chars: int = PART_CHARS) -> DataFrame:
     """docs with leaked_items (array of item ids, in order) and leak_similarity (the greatest; null without one)."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null")
     parts = math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / part_chars)
     names = ("leaked_items", "leak_similarity")
     base = docs.drop(*names).withColumns({names[0]: F.array().cast("array<long>"), names[1]: F.lit(None).cast("double")})
+    if not parts:
+        return base
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    held, total = held_shingles(items)
+    counts = {}
     for i in range(parts):
-        rows = [tuple(x) for x in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).collect()]
+        mine = held.filter(F.array_contains("parts", i)).select("key", "n").toArrow().to_pydict()
+        counts[i] = context.broadcast((np.array(mine["key"], np.int64), np.array(mine["n"], np.int64)))
+    if parts > 1:
+        base = base.withColumns({c: F.array().cast("array<long>") for c in (KEYS, HOLDERS)})
+        for i in range(parts):
+            base = _looked_up(base, counts[i])
+    for i in range(parts):
+        rows = [tuple(x) for x in items.filter(F.col("part") == i).select("item_id", "text").collect()]
         if rows:
-            base = _searched(base, spark.sparkContext.broadcast((uuid.uuid4().hex, rows, similar)))
-    return base
+            base = _searched(base, context.broadcast((uuid.uuid4().hex, rows, similar, total)), counts[i])
+    return base.drop(KEYS, HOLDERS)
+
+
+def _looked_up(df: DataFrame, counts) -> DataFrame:
+    """Adds the counts of one part to KEYS and HOLDERS of each document."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = counts.value
+        order = np.argsort(known.view(U64))
+        known, n = known.view(U64)[order], n[order]
+        for part in slices(batches):
+            keys, holders = [], []
+            for text, old, more in zip(part.column("text").to_pylist(), part.column(KEYS).to_pylist(), part.column(HOLDERS).to_pylist(), strict=True):
+                s = np.setdiff1d(shingles(text), np.array(old, np.int64).view(U64))
+                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+                there = known[at] == s if len(known) else np.zeros(len(s), bool)
+                keys.append(old + signed(s[there]).tolist())
+                holders.append(more + n[at[there]].tolist())
+            columns = {c: part.column(c) for c in names} | {KEYS: pa.array(keys, pa.list_(pa.int64())), HOLDERS: pa.array(holders, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    return df.mapInArrow(run, df.schema)
 
 
-def _searched(df: DataFrame, shared) -> DataFrame:
+def _searched(df: DataFrame, shared, counts) -> DataFrame:
     rest = [c for c in df.columns if c not in ("leaked_items", "leak_similarity")]
     schema = T.StructType([df.schema[c] for c in df.columns])
+    several = KEYS in rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _built(*shared.value)
+        items = _built(*shared.value, *counts.value)
         for part in slices(batches):
-            found = [items.search(x) for x in part.column("text").to_pylist()]
+            holders = [_counts(k, n) for k, n in zip(part.column(KEYS).to_pylist(), part.column(HOLDERS).to_pylist(), strict=True)] if several else [NONE] * part.num_rows
+            found = [items.search(x, h) for x, h in zip(part.column("text").to_pylist(), holders, strict=True)]
             ids = [sorted({*old, *(items.ids[k] for k in f)}) for old, f in zip(part.column("leaked_items").to_pylist(), found, strict=True)]
             best = [max((x for x in (old, *f.values()) if x is not None), default=None) for old, f in zip(part.column("leak_similarity").to_pylist(), found, strict=True)]
             columns = {c: part.column(c) for c in rest} | {"leaked_items": pa.array(ids, pa.list_(pa.int64())), "leak_similarity": pa.array(best, pa.float64())}

@@ -374,6 +374,25 @@ def test_decontamination_brute_force(spark, docs):
             assert all(set(want[d]) >= {50} <= set(got[d]) for d in (7,))
 
 
+def test_leaks_do_not_depend_on_the_parts(spark, docs):
+    r = random.Random(12)
+    shared = [prose(12, 2000 + i) for i in range(3)]
+    items = [(i, " ".join([prose(r.randint(8, 16), 3000 + i), r.choice(shared), prose(6, 4000 + i)])) for i in range(40)]
+    rows = []
+    for i in range(80):
+        words = items[i % 40][1].split()
+        for _ in range(r.choice((0, 1, 1, 2))):
+            words[r.randrange(len(words))] = prose(1, r.random())
+        if i % 3 == 0:  # a shingle run of other items in place of the item's own end
+            words[-6:] = r.choice(shared).split()[:6]
+        rows.append((i, " ".join([prose(20, i), *words, prose(20, -i)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **more: {x.doc_id: (x.leaked_items, x.leak_similarity and round(x.leak_similarity, 9)) for x in decontaminate.with_leaks(docs(rows), bench, **more).collect()}
+    whole = found()
+    assert 10 < sum(len(x) > 0 for x, _ in whole.values()) < 80
+    assert found(part_chars=sum(len(t) for _, t in items) // 2) == whole
+
+
 def test_hamming_blocks_miss_nothing():
     r = np.random.default_rng(1)
     near = decontaminate.near_bytes(decontaminate.RADIUS // decontaminate.BLOCKS)
