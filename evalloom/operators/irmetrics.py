@@ -13,11 +13,16 @@ METRICS = ("recall_at_k", "precision_at_k", "ndcg_at_k")
 
 def ir_sweep(retrieved: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
     """example_id, k, the three metrics and error, for every k, from one retrieval."""
-    if not ks or min(ks) <= 0:
-        raise ValueError("k must be positive")
     known = truth.select("example_id", F.array_distinct("truth").alias("truth"))
     hit = F.array_contains("truth", F.col("chunk_id")).cast("int")
     judged = known.join(retrieved, "example_id", "left").select("example_id", "rank", F.size("truth").alias("n_truth"), F.coalesce(hit, F.lit(0)).alias("hit"))
+    return judged_sweep(judged, ks)
+
+
+def judged_sweep(judged: DataFrame, ks: list[int]) -> DataFrame:
+    """The same from rows of example_id, rank (null where nothing is retrieved), n_truth and hit (0 or 1): for truth that no array should hold."""
+    if not ks or min(ks) <= 0:
+        raise ValueError("k must be positive")
     gain = F.col("hit") / F.log2(F.col("rank") + 1)
     parts = []
     for k in ks:

@@ -62,6 +62,22 @@ def test_ivf_and_lsh_recall(spark):
         assert len(exact & {(r.example_id, r.chunk_id) for r in found.collect()}) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_registered_ivf_recall(spark, sf):
+    from evalloom.plans import retrieval_queries as R
+
+    folder = f"/root/testdata/{sf}"
+    exact, found = ({(r.example_id, r.chunk_id) for r in df.collect()} for df in (R._top(spark, folder, 5), R.knn_ivf(spark, folder)))
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_truth_of_a_label_is_rows(spark):
+    from evalloom.plans import retrieval_queries as R
+
+    truth = R.vectors(spark, "/root/testdata/sf0.001")[3]
+    assert not any(c.startswith("array") for _, c in truth.dtypes) and truth.groupBy("label").count().filter("count > 1").count() > 0
+
+
 def test_reliability_edges(spark):
     df = spark.createDataFrame([(True, True), (True, False), (False, None)], "correctness boolean, gt_correctness boolean")
     r = V.calibration(df).first()
