@@ -33,9 +33,11 @@ def lower_ascii(text: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share: the session's; in local mode, where all is one machine, one of our own if it names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR") or "/tmp"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -115,10 +117,11 @@ def all_word_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values (a public finaliser of multiply and shift)."""
     x = x ^ (x >> U64(33))
-    x = x * U64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> U64(33))
-    x = x * U64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> U64(33))
+    x *= U64(0xFF51AFD7ED558CCD)
+    x ^= x >> U64(33)
+    x *= U64(0xC4CEB9FE1A85EC53)
+    x ^= x >> U64(33)
+    return x
 
 
 _ODD = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -127,10 +130,21 @@ _ODD = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).a
 def windows(h: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     """A 64-bit fingerprint of each run of `length` consecutive word hashes; empty if there are fewer.
 
-    Doubles prefix fingerprints, so that a window of n words costs about log2(n) array steps."""
+    Doubles prefix fingerprints, so that a window of n words costs about log2(n) array steps; long inputs go in pieces."""
     n = len(h) - length + 1
     if n <= 0:
         return np.empty(0, U64)
+    piece = max(1 << 15, 4 * length)
+    if n <= piece:
+        return _windows(h, length, seed)
+    out = np.empty(n, U64)
+    for a in range(0, n, piece):
+        out[a : a + piece] = _windows(h[a : a + piece + length - 1], length, seed)
+    return out
+
+
+def _windows(h: np.ndarray, length: int, seed: int) -> np.ndarray:
+    n = len(h) - length + 1
     out, have, power, width, need = None, 0, mix(h + _ODD[seed % 256]), 1, length
     level = 0
     while need:
