@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ WORD = r"[\p{L}\p{N}_]+"
 SPLIT = "[.!?]+"
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value), with value computed once for a row, even where fn uses it in a lambda for each element of an array."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -67,9 +74,9 @@ def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences, trimmed; all but the text's last piece end with '. '. Blank pieces are dropped."""
-    pieces = F.split(c, SPLIT, -1)
-    ended = F.transform(pieces, lambda s, i: F.when(strip(s) != "", F.when(i < F.size(pieces) - 1, F.concat(strip(s), F.lit(". "))).otherwise(strip(s))))
-    return F.filter(ended, lambda s: s.isNotNull())
+    pieces = F.transform(F.split(c, SPLIT, -1), strip)
+    some = lambda x: F.filter(x, lambda s: s != "")
+    return let(pieces, lambda p: F.concat(F.transform(some(F.slice(p, 1, F.size(p) - 1)), lambda s: F.concat(s, F.lit(". "))), some(F.slice(p, -1, 1))))
 
 
 def blank(c: Column) -> Column:

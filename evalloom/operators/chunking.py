@@ -1,11 +1,14 @@
 """Chunking of documents (document_id, text) into rows chunk_id, document_id, chunk_index, text, start, end, method.
 
-All are narrow: a document's chunks come from one expression and an explode. Ids are document_id || '_chunk_' || index.
+All are narrow: a document's chunks come from one row and an explode. Ids are document_id || '_chunk_' || index.
 Null and empty texts have no chunks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,21 +52,33 @@ def chunk_fixed_tail(df: DataFrame, size: int = 512, overlap: int = 50) -> DataF
     return _rows(df, F.filter(pieces, lambda p: p["text"] != ""), "fixed_tail")
 
 
-def chunk_sentences(df: DataFrame, max_chunk_size: int = 500) -> DataFrame:
-    """Sentences packed greedily up to max_chunk_size characters; a longer sentence stays whole."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+#: The white space that strip() takes off.
+SPACE = " \t\n\x0b\f\r"
+
 
-    def pack(acc: Column, s: Column) -> Column:
-        fits = F.length(acc["cur"]) + F.length(s) <= max_chunk_size
-        full = F.when(strip(acc["cur"]) != "", F.concat(acc["done"], F.array(strip(acc["cur"])))).otherwise(acc["done"])
-        return F.when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["cur"], s).alias("cur"))).otherwise(F.struct(full.alias("done"), s.alias("cur")))
+def pack(parts: Iterable[str], most: int) -> list[str]:
+    """Texts joined greedily up to so many characters, trimmed; a longer one stays whole, a blank result is dropped."""
+    out, now, size = [], [], 0
+    for s in parts:
+        if size + len(s) > most:
+            out.append("".join(now).strip(SPACE))
+            now, size = [], 0
+        now.append(s)
+        size += len(s)
+    out.append("".join(now).strip(SPACE))
+    return [x for x in out if x]
+
+
+def chunk_sentences(df: DataFrame, max_chunk_size: int = 500) -> DataFrame:
+    """Sentences packed greedily up to max_chunk_size characters; a longer sentence stays whole. Each step of the packing hangs on the one before,
+    so it is a loop over a document's sentences, in Arrow batches."""
 
-    def finish(acc: Column) -> Column:
-        return F.when(strip(acc["cur"]) != "", F.concat(acc["done"], F.array(strip(acc["cur"])))).otherwise(acc["done"])
+    @F.pandas_udf("array<string>")
+    def packed(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda x: None if x is None else pack(x, max_chunk_size))
 
-    packed = F.aggregate(sentences(F.col("text")), empty, pack, finish)
     none = F.lit(None).cast("int")
-    return _rows(df, F.transform(packed, lambda t: F.struct(t.alias("text"), none.alias("start"), none.alias("end"))), "sentence")
+    return _rows(df, F.transform(packed(sentences(F.col("text"))), lambda t: F.struct(t.alias("text"), none.alias("start"), none.alias("end"))), "sentence")
 
 
 METHODS = {"fixed_size": chunk_fixed, "fixed_tail": chunk_fixed_tail, "sentence": chunk_sentences}

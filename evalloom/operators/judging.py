@@ -41,8 +41,11 @@ def render_prompt(df: DataFrame, template: str, mapping: Mapping[str, str], requ
     return df.withColumn(out, F.concat(*(F.coalesce(F.col(mapping[p]).cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts))))
 
 
-def rag_prompt(question: Column, context: Column, refuse: bool = True) -> Column:
-    """context: array of texts; empty or null: the bare question."""
+def rag_prompt(question: Column, context: Column, refuse: bool = True, template: str | None = None) -> Column:
+    """context: array of texts; empty or null: the bare question. template: other wording, with {context} and {question}."""
+    if template is not None:
+        texts = {"context": F.array_join(F.coalesce(context, F.array().cast("array<string>")), "\n\n"), "question": F.coalesce(question, F.lit(""))}
+        return F.concat(*(texts[x] if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"\{(context|question)\}", template))))
     say = ' If the answer cannot be found in the context, say "I cannot answer this question based on the provided context."' if refuse else ""
     full = F.concat(F.lit("Context information:\n"), F.array_join(context, "\n\n"), F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer the question based on the context provided above." + say + "\n\nAnswer:"))
     return F.when(F.coalesce(F.size(context), F.lit(0)) > 0, full).otherwise(F.concat(F.lit("Question: "), question, F.lit("\n\nAnswer:")))
@@ -52,10 +55,15 @@ def message(role: Column | str, content: Column) -> Column:
     return F.struct((F.lit(role) if isinstance(role, str) else role).alias("role"), content.alias("content"))
 
 
-def chat_messages(question: Column, context: Column, history: Column) -> Column:
+#: What a context is introduced by, the answer when it holds none, and the line that stands for no context.
+CONTEXT_SAYS = "Use the following context to answer the user's question:\n\n"
+NO_CONTEXT = "[No retrieved context available]"
+
+
+def chat_messages(question: Column, context: Column, history: Column, says: str = CONTEXT_SAYS) -> Column:
     """History, then the context as a system message (if there is any), then the question."""
     none = F.array().cast("array<struct<role:string,content:string>>")
-    system = F.array(message("system", F.concat(F.lit("Use the following context to answer the user's question:\n\n"), F.array_join(context, "\n\n"))))
+    system = F.array(message("system", F.concat(F.lit(says), F.array_join(context, "\n\n"))))
     return F.concat(F.coalesce(history, none), F.when(F.coalesce(F.size(context), F.lit(0)) > 0, system).otherwise(none), F.array(message("user", question)))
 
 
@@ -63,32 +71,47 @@ def messages_to_prompt(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n\n")
 
 
-def call_model(df: DataFrame, fn: Callable[[list[str], float, int], list[str]], prompt: str = "prompt", temperature: float = 0.1, max_tokens: int = 500, batch_size: int = 32, out: str = "response") -> DataFrame:
-    """df with response and error; a failing batch is tried prompt by prompt, so that an error stays with its row. A null prompt is not sent.
+def call_model(df: DataFrame, fn: Callable[[list[str], float, int], list[str]], prompt: str = "prompt", temperature: float = 0.1, max_tokens: int = 500, batch_size: int = 32, out: str = "response", times: tuple[str, str] | None = None) -> DataFrame:
+    """df with response and error; a failing batch, or one with another number of answers than prompts, is tried prompt by prompt, so that an error
+    stays with its row. A null prompt is not sent. times: names of columns for when a row's call began and ended (a batch's rows share both).
 
     Write the result before it is read more than once, or the model is called again."""
-    base = df.drop(out, "error")
-    schema = T.StructType([*base.schema.fields, T.StructField(out, T.StringType()), T.StructField("error", T.StringType())])
+    names = [out, "error", *(times or ())]
+    base = df.drop(*names)
+    kinds = [T.StringType(), T.StringType(), *([T.TimestampType()] * 2 if times else [])]
+    schema = T.StructType([*base.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
+
+    def now() -> pd.Timestamp:
+        return pd.Timestamp.now("UTC")
 
-    def one(text: str) -> tuple[str | None, str | None]:
+    def one(text: str) -> tuple:
+        begun = now()
         try:
-            return fn([text], temperature, max_tokens)[0], None
+            (answer,) = fn([text], temperature, max_tokens)
+            return answer, None, begun, now()
         except Exception as e:  # noqa: BLE001  the model's errors are data
-            return None, f"{type(e).__name__}: {e}"
+            return None, f"{type(e).__name__}: {e}", begun, now()
+
+    def several(texts: list[str]) -> list[tuple]:
+        begun = now()
+        try:
+            answers = list(fn(texts, temperature, max_tokens)) if texts else []
+        except Exception:  # noqa: BLE001
+            answers = None
+        if answers is None or len(answers) != len(texts):
+            return [one(t) for t in texts]
+        ended = now()
+        return [(x, None, begun, ended) for x in answers]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for a in range(0, len(frame), batch_size):
                 part = frame.iloc[a : a + batch_size].copy()
                 asked = part[prompt].notna()
-                texts = part.loc[asked, prompt].tolist()
-                try:
-                    got = [(x, None) for x in fn(texts, temperature, max_tokens)] if texts else []
-                except Exception:  # noqa: BLE001
-                    got = [one(t) for t in texts]
-                rest = iter(got)
-                both = [next(rest) if x else (None, None) for x in asked]
-                part[out], part["error"] = [x for x, _ in both], [e for _, e in both]
+                got = iter(several(part.loc[asked, prompt].tolist()))
+                rows = [next(got) if x else (None, None, None, None) for x in asked]
+                for i, name in enumerate(names):
+                    part[name] = pd.Series([r[i] for r in rows], part.index, dtype="datetime64[us, UTC]" if i > 1 else object)
                 yield part
 
     return base.mapInPandas(run, schema)
@@ -195,12 +218,36 @@ def keyword_verdict(c: Column, kind: str, compat: bool = False) -> Column:
     raise ValueError("kind is binary, direction or impact")
 
 
+#: Default prompts of the judge whose answers are read by keywords; callers give their own.
+KEYWORD_TEMPLATES = {
+    "correctness": "Question: {question}\n\nReference answer: {reference_answer}\n\nGiven answer: {generated_answer}\n\nDoes the given answer say the same as the reference? Answer yes or no.",
+    "hallucination": "Context:\n{context}\n\nGiven answer: {generated_answer}\n\nDoes the given answer claim anything that the context does not support? Answer yes or no.",
+    "risk_direction": "Question: {question}\n\nContext:\n{context}\n\nGiven answer: {generated_answer}\n\nWhat do the costs in the given answer lead to: care avoidance, unexpected cost, or no clear direction?",
+    "risk_impact": "Question: {question}\n\nContext:\n{context}\n\nGiven answer: {generated_answer}\n\nHow much does that matter: none, mild, moderate or severe?",
+}
+KEYWORD_KINDS = {"correctness": "binary", "hallucination": "binary", "risk_direction": "direction", "risk_impact": "impact"}
+
+
+def keyword_judge(df: DataFrame, fn: Callable, stage: str, templates: Mapping[str, str] = KEYWORD_TEMPLATES, compat: bool = False) -> DataFrame:
+    """df (question, reference_answer, generated_answer, context) with <stage> and <stage>_error: prompt, call, verdict by keywords of the answer.
+
+    context: a text, or an array of texts."""
+    if dict(df.dtypes).get("context", "").startswith("array"):
+        df = df.withColumn("_context", F.array_join("context", "\n\n"))
+    else:
+        df = df.withColumn("_context", F.col("context") if "context" in df.columns else F.lit(""))
+    mapping = {p: "_context" if p == "context" else p for p in re.findall(r"\{(\w+)\}", templates[stage])}
+    asked = call_model(render_prompt(df, templates[stage], mapping, None, "_prompt"), fn, "_prompt", out="_response")
+    value = F.when(F.col("error").isNull(), keyword_verdict(F.col("_response"), KEYWORD_KINDS[stage], compat))
+    return asked.withColumns({stage: value, f"{stage}_error": F.col("error")}).drop("_context", "_prompt", "_response", "error")
+
+
 def judge_stage(df: DataFrame, fn: Callable, stage: str, mapping: Mapping[str, str], templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
-    """df with <stage>, <stage>_reasoning and <stage>_error, by prompt, call, parse and validation."""
-    asked = call_model(render_prompt(df, templates[stage], mapping, REQUIRED[stage], "_prompt"), fn, "_prompt", out="_response")
+    """df with <stage>, <stage>_reasoning, <stage>_error and <stage>_ended (when the model had answered), by prompt, call, parse and validation."""
+    asked = call_model(render_prompt(df, templates[stage], mapping, REQUIRED[stage], "_prompt"), fn, "_prompt", out="_response", times=("_begun", f"{stage}_ended"))
     got = validate_verdict(asked, stage, "_response")
     failed = F.coalesce(F.col("error"), F.col("verdict_error"))
-    return got.withColumns({stage: F.col("value"), f"{stage}_reasoning": F.col("reasoning"), f"{stage}_error": failed}).drop("_prompt", "_response", "error", "verdict_error", "value", "reasoning")
+    return got.withColumns({stage: F.col("value"), f"{stage}_reasoning": F.col("reasoning"), f"{stage}_error": failed}).drop("_prompt", "_response", "_begun", "error", "verdict_error", "value", "reasoning")
 
 
 def judge(df: DataFrame, fn: Callable, keep: Callable[[DataFrame], DataFrame], templates: Mapping[str, str] = TEMPLATES, gate: str = "correct") -> DataFrame:
@@ -215,13 +262,18 @@ def judge(df: DataFrame, fn: Callable, keep: Callable[[DataFrame], DataFrame], t
     through = F.col("correctness") if gate == "correct" else F.col("hallucination")
     risky = keep(judge_stage(out.filter(through), fn, "risk_direction", {"model_answer": "model_answer", "retrieved_context": "context"}, templates))
     for name, text in (("model_cost", "model_answer"), ("actual_cost", "context")):
-        asked = call_model(render_prompt(risky, templates["cost"], {"text": text}, ["text"], "_prompt"), fn, "_prompt", out="_response").drop("error")
-        risky = keep(cost_result(asked, "_response", name).drop("_prompt", "_response", "cost_error"))
-    why = cost_gate(F.col("model_cost"), F.col("actual_cost"))
-    risky = risky.withColumn("_why", F.coalesce(why, F.lit(""))).withColumns({"_a": cost_json(F.col("model_cost")), "_b": cost_json(F.col("actual_cost"))})
-    impact = judge_stage(risky.filter("_why = ''"), fn, "risk_impact", {"model_answer_cost": "_a", "actual_cost": "_b"}, templates).select("example_id", "risk_impact", "risk_impact_reasoning", "risk_impact_error")
-    risky = risky.join(keep(impact), "example_id", "left").withColumn("risk_impact_reasoning", F.coalesce("risk_impact_reasoning", F.nullif(F.col("_why"), F.lit(""))))
-    more = ["risk_direction", "risk_direction_reasoning", "risk_direction_error", "model_cost", "actual_cost", "risk_impact", "risk_impact_reasoning", "risk_impact_error"]
+        asked = call_model(render_prompt(risky, templates["cost"], {"text": text}, ["text"], "_prompt"), fn, "_prompt", out="_response")
+        failed = F.coalesce(F.col("error"), F.col("cost_error"))
+        risky = keep(cost_result(asked, "_response", name).withColumn(f"{name}_error", failed).drop("_prompt", "_response", "cost_error", "error"))
+    # a call that failed is an error, and not a text without costs
+    risky = risky.withColumn("_failed", F.coalesce("model_cost_error", "actual_cost_error"))
+    why = F.when(F.col("_failed").isNull(), cost_gate(F.col("model_cost"), F.col("actual_cost")))
+    risky = risky.withColumn("_why", why).withColumns({"_a": cost_json(F.col("model_cost")), "_b": cost_json(F.col("actual_cost"))})
+    impact = judge_stage(risky.filter("_why is null and _failed is null"), fn, "risk_impact", {"model_answer_cost": "_a", "actual_cost": "_b"}, templates).select("example_id", "risk_impact", "risk_impact_reasoning", "risk_impact_error", "risk_impact_ended")
+    risky = risky.join(keep(impact), "example_id", "left").withColumn("risk_impact_reasoning", F.coalesce("risk_impact_reasoning", "_why"))
+    more = ["risk_direction", "risk_direction_reasoning", "risk_direction_error", "model_cost", "actual_cost", "model_cost_error", "actual_cost_error", "risk_impact", "risk_impact_reasoning", "risk_impact_error", "risk_direction_ended", "risk_impact_ended"]
     out = out.join(risky.select("example_id", *more), "example_id", "left")
     reasons = F.concat_ws(" ", *(f"{s}_reasoning" for s in STAGES))
-    return out.withColumn("failure_mode", failure_mode(reasons)).withColumn("judge_error", F.coalesce(*(f"{s}_error" for s in STAGES)))
+    out = out.withColumn("judged_at", F.greatest(*(f"{s}_ended" for s in STAGES))).drop(*(f"{s}_ended" for s in STAGES))
+    errors = [f"{s}_error" for s in STAGES][:3] + ["model_cost_error", "actual_cost_error", "risk_impact_error"]
+    return out.withColumn("failure_mode", failure_mode(reasons)).withColumn("judge_error", F.coalesce(*errors))

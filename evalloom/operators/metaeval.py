@@ -12,7 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.functions.text import blank, claims, clip, is_generic, jaccard, keywords, normalize, numeric_cost, strip
+from evalloom.functions.text import blank, claims, clip, is_generic, jaccard, keywords, let, normalize, numeric_cost, strip
 
 SIMILAR, SUPPORTED, SHORT = 0.7, 0.5, 50
 DIRECTIONS, IMPACTS = (-1, 0, 1), (0, 1, 2, 3)
@@ -20,55 +20,82 @@ DIRECTIONS, IMPACTS = (-1, 0, 1), (0, 1, 2, 3)
 
 def gt_correctness(answer: Column, reference: Column) -> Column:
     """Equal after normalisation, or similar by keywords."""
-    a, b = keywords(normalize(answer)), keywords(normalize(reference))
-    return (normalize(answer) == normalize(reference)) | F.coalesce((F.size(a) > 0) & (F.size(b) > 0) & (jaccard(a, b) >= SIMILAR), F.lit(False))
+
+    def alike(n: Column) -> Column:
+        words = F.struct(keywords(n["a"]).alias("a"), keywords(n["b"]).alias("b"))
+        similar = let(words, lambda w: F.coalesce((F.size(w["a"]) > 0) & (F.size(w["b"]) > 0) & (jaccard(w["a"], w["b"]) >= SIMILAR), F.lit(False)))
+        return F.when(n["a"] == n["b"], True).when(n["a"].isNotNull() & n["b"].isNotNull(), similar)
+
+    return let(F.struct(normalize(answer).alias("a"), normalize(reference).alias("b")), alike)
 
 
 def gt_hallucination(answer: Column, context: Column) -> Column:
-    """Whether a claim of the answer is unsupported; without context always, without claims unless short or generic."""
-    norm, words = normalize(context), keywords(normalize(context))
+    """Whether a claim of the answer is unsupported; without context always, without claims unless short or generic.
+
+    The context is normalised and cut into keywords once for a row, whatever its number of claims."""
 
-    def unsupported(claim: Column) -> Column:
-        own = F.array_distinct(keywords(normalize(claim)))
-        share = F.try_divide(F.size(F.array_intersect(own, words)), F.size(own))
-        return ~F.contains(norm, normalize(claim)) & (F.coalesce(share, F.lit(0.0)) < SUPPORTED)
+    def unsupported(known: Column, claim: Column) -> Column:
+        own = F.array_distinct(keywords(claim))
+        share = let(own, lambda w: F.try_divide(F.size(F.array_intersect(w, known["words"])), F.size(w)))
+        return ~F.contains(known["text"], claim) & (F.coalesce(share, F.lit(0.0)) < SUPPORTED)
+
+    def some_unsupported(found: Column) -> Column:
+        known = let(normalize(context), lambda n: F.struct(n.alias("text"), keywords(n).alias("words")))
+        return let(known, lambda k: F.exists(F.transform(found, normalize), lambda c: unsupported(k, c)))
 
-    found = claims(answer)
     vague = (F.length(strip(answer)) < SHORT) | is_generic(answer)
-    return F.when(blank(context), True).when(F.size(found) == 0, ~vague).otherwise(F.exists(found, unsupported))
+    return F.when(blank(context), True).otherwise(let(claims(answer), lambda found: F.when(F.size(found) == 0, ~vague).otherwise(some_unsupported(found))))
 
 
-def _cost(costs: Column, field: str) -> Column:
-    return numeric_cost(costs[field].cast("string"))
+FIELDS = ("money", "time", "steps")
 
 
-def gt_risk_direction(extracted: Column, actual: Column) -> Column:
-    """-1 if the first comparable cost is overestimated, 1 if underestimated, 0 if neither; null if none is comparable."""
+def numeric_costs(costs: Column) -> Column:
+    """The numbers of a struct of costs, as a struct of doubles."""
+    return F.struct(*(numeric_cost(costs[f].cast("string")).alias(f) for f in FIELDS))
+
+
+def _direction(extracted: Column, actual: Column) -> Column:
     out = F.lit(None).cast("int")
     for field, up, down in (("steps", 1.0, 1.0), ("time", 1.1, 0.9), ("money", 1.1, 0.9)):
-        e, a = _cost(extracted, field), _cost(actual, field)
+        e, a = extracted[field], actual[field]
         out = F.when(e.isNotNull() & a.isNotNull(), F.when(e > a * up, -1).when(e < a * down, 1).otherwise(0)).otherwise(out)
     return out
 
 
-def direction_valid(verdict: Column, extracted: Column, actual: Column) -> Column:
-    return verdict.isNull() | (F.coalesce(gt_risk_direction(extracted, actual), F.lit(0)) == verdict)
+def _impact(extracted: Column, actual: Column) -> Column:
+    differences = []
+    for field in ("money", "time"):
+        e, a = extracted[field], actual[field]
+        differences.append(F.coalesce(F.when(a > 0, F.abs(e - a) / a), F.lit(0.0)))
+    return let(F.greatest(*differences), lambda most: F.when(most < 0.05, 0).when(most < 0.20, 1).when(most < 0.50, 2).otherwise(3))
+
+
+def _both(extracted: Column, actual: Column, fn) -> Column:
+    return let(F.struct(numeric_costs(extracted).alias("e"), numeric_costs(actual).alias("a")), lambda x: fn(x["e"], x["a"]))
+
+
+def gt_risk_direction(extracted: Column, actual: Column) -> Column:
+    """-1 if the first comparable cost is overestimated, 1 if underestimated, 0 if neither; null if none is comparable."""
+    return _both(extracted, actual, _direction)
 
 
 def gt_risk_impact(extracted: Column, actual: Column) -> Column:
     """0 to 3 by the greater relative difference of money and time."""
-    differences = []
-    for field in ("money", "time"):
-        e, a = _cost(extracted, field), _cost(actual, field)
-        differences.append(F.coalesce(F.when(a > 0, F.abs(e - a) / a), F.lit(0.0)))
-    most = F.greatest(*differences)
-    return F.when(most < 0.05, 0).when(most < 0.20, 1).when(most < 0.50, 2).otherwise(3)
+    return _both(extracted, actual, _impact)
+
 
+def direction_valid(verdict: Column, truth: Column) -> Column:
+    """truth: gt_risk_direction; a missing verdict is valid."""
+    return verdict.isNull() | (F.coalesce(truth, F.lit(0)) == verdict)
 
-def impact_valid(verdict: Column, extracted: Column, actual: Column) -> Column:
-    return verdict.isNull() | (F.abs(verdict - gt_risk_impact(extracted, actual)) <= 1)
 
+def impact_valid(verdict: Column, truth: Column) -> Column:
+    """truth: gt_risk_impact; one level off is valid."""
+    return verdict.isNull() | (F.abs(verdict - truth) <= 1)
 
+
+#: The sentences of an explanation.
 def explanation(correct: Column, hallucination: Column, direction: Column, impact: Column) -> Column:
     named = (("Correctness verdict", correct), ("Hallucination verdict", hallucination), ("Risk direction", direction), ("Risk impact", impact))
     parts = [F.concat(F.lit(n), F.when(c, " validated").otherwise(" mismatch")) for n, c in named]
@@ -82,8 +109,9 @@ def meta_evaluate(df: DataFrame, with_costs: bool = False) -> DataFrame:
     out = df.withColumns({"_gc": gt_correctness(F.col("model_answer"), F.col("reference_answer")), "_gh": gt_hallucination(F.col("model_answer"), F.col("context"))})
     if with_costs:
         gate = F.coalesce(F.col("correctness"), F.lit(False)) & F.col("extracted_costs").isNotNull() & F.col("actual_costs").isNotNull()
-        e, a = F.col("extracted_costs"), F.col("actual_costs")
-        out = out.withColumns({"_gd": F.when(gate, gt_risk_direction(e, a)), "_gi": F.when(gate, gt_risk_impact(e, a)), "_od": ~gate | direction_valid(F.col("risk_direction"), e, a), "_oi": ~gate | impact_valid(F.col("risk_impact"), e, a)})
+        risk = _both(F.col("extracted_costs"), F.col("actual_costs"), lambda e, a: F.struct(_direction(e, a).alias("d"), _impact(e, a).alias("i")))
+        out = out.withColumn("_gate", gate).withColumn("_risk", F.when(F.col("_gate"), risk)).withColumns({"_gd": F.col("_risk.d"), "_gi": F.col("_risk.i")})
+        out = out.withColumns({"_od": ~F.col("_gate") | direction_valid(F.col("risk_direction"), F.col("_gd")), "_oi": ~F.col("_gate") | impact_valid(F.col("risk_impact"), F.col("_gi"))}).drop("_gate", "_risk")
     else:
         none = F.lit(None).cast("int")
         out = out.withColumns({"_gd": none, "_gi": none, "_od": F.lit(True), "_oi": F.lit(True)})
@@ -126,14 +154,18 @@ SCORE = ["metric", "precision", "recall", "f1", "tp", "tn", "fp", "fn", "total"]
 
 
 def judge_scorecard(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """A row per metric, for columns correctness, gt_correctness and so on; risk metrics without pairs are left out."""
+    """A row per metric, for columns correctness, gt_correctness and so on; risk metrics without pairs are left out. One aggregation for all."""
     named = [("correctness", None), ("hallucination", None), ("risk_direction", DIRECTIONS), ("risk_impact", IMPACTS)]
-    out = None
+    each = []
     for name, classes in named:
-        part = binary_metrics(df, name, f"gt_{name}", by) if classes is None else macro_metrics(df, name, f"gt_{name}", classes, by).filter("total > 0")
-        part = part.withColumn("metric", F.lit(name)).select(*by, *SCORE)
-        out = part if out is None else out.unionByName(part)
-    return out
+        p, a = F.col(name), F.col(f"gt_{name}")
+        for c in classes or (None,):
+            counts = _confusion(p, a) if c is None else _confusion(p == c, a == c)
+            each.append(F.struct(F.lit(name).alias("metric"), F.lit(classes is not None).alias("macro"), *counts))
+    rows = _scored(df.groupBy(*by).agg(F.array(*each).alias("each")).select(*by, F.inline("each")))
+    means = [F.avg(c).alias(c) for c in ("precision", "recall", "f1")]
+    sums = [F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")]
+    return rows.groupBy(*by, "metric", "macro").agg(*means, *sums, F.max("total").alias("total")).filter("not macro or total > 0").select(*by, *SCORE)
 
 
 def calibration(df: DataFrame, pred: str = "correctness", actual: str = "gt_correctness", by: Sequence[str] = ()) -> DataFrame:

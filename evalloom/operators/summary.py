@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalloom.sources import tables
+
 from . import irmetrics, judging, metaeval, vectors
 
 ERROR = "evaluation_error"
@@ -76,39 +78,65 @@ def count_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), *(F.count_if(F.col(c)).alias(c) for c in ("correctness", "hallucination", "judge_correct")), *levels, *(F.avg(m).alias(m) for m in IR))
 
 
-def evaluate(examples: DataFrame, retrieved: DataFrame, generate_fn: Callable, judge_fn: Callable, keep: Callable[[DataFrame], DataFrame], run_id: str, k: int = 5, on_error: str = "row", with_costs: bool = False, gate: str = "correct") -> DataFrame:
-    """Flat result rows of a task table.
+def evaluate(examples: DataFrame, retrieved: DataFrame, generate_fn: Callable, judge_fn: Callable, keep: Callable[[DataFrame], DataFrame], run_id: str, k: int = 5, on_error: str = "row", with_costs: bool = False, gate: str = "correct", with_ir: bool = True) -> DataFrame:
+    """Flat result rows of a task table, with the times at which each row's first call began and its last one ended.
 
     examples: example_id, question, reference_answer, ground_truth_chunk_ids; retrieved: example_id, rank, chunk_id, chunk_text. on_error: a failed
-    example becomes an error row, or is dropped. with_costs: extracted costs check the risk verdicts. keep(df) writes a stage and gives it back."""
+    example becomes an error row, or is dropped; if all of several are dropped, that is an error. with_costs: extracted costs check the risk verdicts. without with_ir, retrieval
+    metrics are null, and no truth is needed. keep(df) writes a stage and gives it back."""
     if on_error not in ("row", "drop"):
         raise ValueError("on_error is row or drop")
     top = retrieved.filter(F.col("rank") <= k)
     texts = top.groupBy("example_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_text"))), lambda x: x["chunk_text"]).alias("texts"))
-    rows = examples.join(texts, "example_id", "left").withColumn("prompt", judging.rag_prompt(F.col("question"), F.col("texts"), refuse=False)).withColumn("start_time", F.current_timestamp())
-    rows = keep(judging.call_model(rows, generate_fn, out="model_answer").withColumnRenamed("error", "generation_error").withColumn("context", F.array_join("texts", " ")))
+    rows = examples.join(texts, "example_id", "left").withColumn("prompt", judging.rag_prompt(F.col("question"), F.col("texts"), refuse=False))
+    rows = keep(judging.call_model(rows, generate_fn, out="model_answer", times=("start_time", "generated_at")).withColumnRenamed("error", "generation_error").withColumn("context", F.array_join("texts", " ")))
     judged = keep(judging.judge(rows.filter("generation_error is null"), judge_fn, keep, gate=gate))
     judged = judged.withColumnRenamed("model_cost", "extracted_costs").withColumnRenamed("actual_cost", "actual_costs")
     meta = metaeval.meta_evaluate(judged.withColumn("risk_impact", F.col("risk_impact").cast("int")), with_costs).withColumn("judge_correct", F.col("meta_eval_output.judge_correct"))
-    metrics = irmetrics.ir_metrics(top, examples.select("example_id", F.col("ground_truth_chunk_ids").alias("truth")), k).withColumnRenamed("error", "ir_error")
-    mine = ["correctness", "hallucination", "risk_direction", "risk_impact", "failure_mode", "judge_error", "judge_correct", "meta_eval_output"]
-    out = rows.select("example_id", "start_time", "model_answer", "generation_error").join(meta.select("example_id", *mine), "example_id", "left").join(metrics, "example_id", "left")
-    out = out.withColumn("error", F.coalesce("generation_error", "judge_error", "ir_error")).withColumn("run_id", F.lit(run_id)).withColumn("end_time", F.current_timestamp())
+    mine = ["correctness", "hallucination", "risk_direction", "risk_impact", "failure_mode", "judge_error", "judge_correct", "meta_eval_output", "judged_at"]
+    out = rows.select("example_id", "start_time", "generated_at", "model_answer", "generation_error").join(meta.select("example_id", *mine), "example_id", "left")
+    if with_ir:
+        out = out.join(irmetrics.ir_metrics(top, examples.select("example_id", F.col("ground_truth_chunk_ids").alias("truth")), k).withColumnRenamed("error", "ir_error"), "example_id", "left")
+    else:
+        out = out.withColumns({m: F.lit(None).cast("double") for m in IR} | {"ir_error": F.lit(None).cast("string")})
+    out = out.withColumn("error", F.coalesce("generation_error", "judge_error", "ir_error")).withColumn("run_id", F.lit(run_id)).withColumn("end_time", F.greatest("generated_at", "judged_at")).drop("generated_at", "judged_at")
     if on_error == "drop":
+        out = keep(out)
+        n, failed = out.agg(F.count("*"), F.count("error")).first()
+        if n and n == failed:
+            raise ValueError(f"all {n} examples failed")
         return out.filter("error is null")
     return error_rows(out, F.col("error").isNotNull())
 
 
+def evaluate_and_save(root: str, run_id: str, **arguments) -> DataFrame:
+    """evaluate(), saved as a run: outputs, traces and the summary. Gives the outputs back."""
+    keep = arguments["keep"]
+    rows = keep(evaluate(run_id=run_id, **arguments))
+    tables.save_run(rows, run_summary(rows), traces(rows), root, run_id)
+    return rows
+
+
 # agents
 
 
-def answer_queries(queries: DataFrame, corpus: DataFrame, docstore: DataFrame, fn: Callable, k: int = 5, prompt_version: str = "v1") -> DataFrame:
-    """queries: example_id, question, embedding -> with response, error, chunk_ids, n_chunks, prompt_version."""
+def numbered(df: DataFrame, prefix: str, column: str = "example_id") -> DataFrame:
+    """df with ids for the rows that have none: the prefix and a number, unique in the table.
+
+    Rows have no order that Spark keeps, so the numbers are distinct but not consecutive. Write the result before it is read twice."""
+    own = F.concat(F.lit(prefix), F.monotonically_increasing_id().cast("string"))
+    return df.withColumn(column, F.coalesce(F.col(column).cast("string"), own) if column in df.columns else own)
+
+
+def answer_queries(queries: DataFrame, corpus: DataFrame, docstore: DataFrame, fn: Callable, k: int = 5, prompt_version: str = "v1", keep: Callable[[DataFrame], DataFrame] = tables.kept) -> DataFrame:
+    """queries: question, embedding, and example_id (default batch_query_<number>) -> with response, error, chunk_ids, n_chunks, prompt_version, begun, ended."""
+    if "example_id" not in queries.columns:
+        queries = keep(numbered(queries, "batch_query_"))
     found = vectors.retrieve(queries, corpus, docstore, k)
     texts = found.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "chunk_text"))).alias("c"))
     rows = queries.drop("embedding").join(texts, "example_id", "left").withColumn("prompt", judging.rag_prompt(F.col("question"), F.transform("c", lambda x: x["chunk_text"])))
     rows = rows.withColumn("chunk_ids", F.coalesce(F.transform("c", lambda x: x["chunk_id"].cast("string")), F.array().cast("array<string>"))).drop("c")
-    return judging.call_model(rows, fn).withColumn("n_chunks", F.size("chunk_ids")).withColumn("prompt_version", F.lit(prompt_version))
+    return judging.call_model(rows, fn, times=("begun", "ended")).withColumn("n_chunks", F.size("chunk_ids")).withColumn("prompt_version", F.lit(prompt_version))
 
 
 def with_history(df: DataFrame, max_history: int = 5) -> DataFrame:
@@ -118,8 +146,11 @@ def with_history(df: DataFrame, max_history: int = 5) -> DataFrame:
 
 
 def agent_results(answers: DataFrame, examples: DataFrame) -> DataFrame:
+    """A row for each example, with its answer and how long that took. examples without ids get them from `numbered`(examples, "example_") before they are asked."""
     rows = examples.join(answers.drop("question"), "example_id", "left")
-    return rows.select("example_id", "question", F.coalesce("expected_answer", F.lit("")).alias("expected_answer"), "response", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+    seconds = (F.unix_micros("ended") - F.unix_micros("begun")) / 1e6
+    expected = F.col("expected_answer") if "expected_answer" in examples.columns else F.lit(None).cast("string")
+    return rows.select("example_id", "question", F.coalesce(expected, F.lit("")).alias("expected_answer"), "response", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), seconds.alias("duration_seconds"), F.col("ended").alias("timestamp"))
 
 
 def agent_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -174,10 +205,37 @@ def fail_split(df: DataFrame) -> DataFrame:
     return df.groupBy("correctness").agg(F.count("*").alias("n"))
 
 
+QUARTILES = (("min", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("max", 1.0))
+#: Buckets of a group's range; only those that hold a wanted rank are sorted.
+BUCKETS = 1024
+
+
 def group_quartiles(df: DataFrame, group: str, metric: str) -> DataFrame:
-    q = F.percentile(metric, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    rows = df.groupBy(group).agg(q.alias("q"), F.avg(metric).alias("mean"))
-    return rows.select(group, *(F.col("q")[i].alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))), "mean")
+    """Quartiles of each group, exact and interpolated, and the mean. Nulls are left out; a group of nulls alone has null quartiles.
+
+    Equal values are counted first; a histogram of each group then tells which few buckets hold the wanted ranks, and only their values are sorted, so
+    that no task takes a whole group."""
+    counts = df.groupBy(F.col(group).alias("g"), F.col(metric).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    some = counts.filter("v is not null")
+    stats = some.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+    place = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * (BUCKETS - 1)), F.lit(0)).alias("b")
+    placed = some.join(stats.select(F.col("g").alias("h"), "low", "high"), F.col("g").eqNullSafe(F.col("h"))).select("g", "v", "c", place)
+    before = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = placed.groupBy("g", "b").agg(F.sum("c").alias("m")).withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    exact = F.array(*((F.col("n") - 1) * p for _, p in QUARTILES))
+    ranks = stats.select(F.col("g").alias("h"), F.posexplode(exact).alias("i", "r"))
+    wanted = ranks.select("h", "i", "r", F.explode(F.array_distinct(F.array(F.floor("r"), F.ceil("r")))).alias("rank"))
+    held = histogram.join(wanted, F.col("g").eqNullSafe(F.col("h")) & (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("m"))).select("h", "b", "start", "i", "r", "rank")
+    buckets = held.select(F.col("h").alias("k"), F.col("b").alias("kb"), "start").distinct()
+    inside = placed.join(buckets, F.col("g").eqNullSafe(F.col("k")) & (F.col("b") == F.col("kb"))).select("g", "b", "v", "c", "start")
+    run = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("first", F.col("start") + F.coalesce(F.sum("c").over(run), F.lit(0))).select(F.col("g").alias("x"), F.col("b").alias("xb"), "v", "first", (F.col("first") + F.col("c")).alias("end"))
+    met = held.join(inside, F.col("h").eqNullSafe(F.col("x")) & (F.col("b") == F.col("xb")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    ends = met.groupBy("h", "i", "r").agg(F.min("v").alias("a"), F.max("v").alias("z"))
+    values = ends.groupBy("h").agg(*(F.max(F.when(F.col("i") == i, F.col("a") + (F.col("z") - F.col("a")) * (F.col("r") - F.floor("r")))).alias(n) for i, (n, _) in enumerate(QUARTILES)))
+    names = [n for n, _ in QUARTILES]
+    groups = counts.select("g").distinct().join(stats.select(F.col("g").alias("s"), "mean"), F.col("g").eqNullSafe(F.col("s")), "left").join(values, F.col("g").eqNullSafe(F.col("h")), "left")
+    return groups.select(F.col("g").alias(group), *names, "mean")
 
 
 def failed_details(df: DataFrame) -> DataFrame:

@@ -19,6 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from evalloom.functions.text import let
+from evalloom.sources.tables import kept
+
+from .chunking import build_docstore, chunk_corpus
+from .judging import NO_CONTEXT
+
 #: Bytes of query vectors that are sent to the workers at once; more queries are searched block by block.
 QUERY_BYTES = 32 << 20
 
@@ -61,7 +67,8 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """The k nearest of the corpus for each query, exactly. The corpus is read once for each block of queries and not shuffled: its
-    tasks keep the k nearest of each batch, and only those meet by query."""
+    tasks keep the k nearest of each batch, and only those meet by query. With several blocks, each one's result is written before the next
+    one's vectors are fetched, so that driver and workers hold one block at a time."""
     queries = queries.filter(F.col("embedding").isNotNull()).select("example_id", "embedding")
     n, dim = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
     blocks = max(1, math.ceil(n * (dim or 1) * 8 / query_bytes))
@@ -71,14 +78,16 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_bytes: int = QUERY_
     found = None
     for i in range(blocks):
         mine = queries.filter(F.pmod(F.xxhash64("example_id"), F.lit(blocks)) == i).toPandas()
-        near = _nearest_in(base, mine["example_id"].tolist(), np.array(mine["embedding"].tolist(), np.float64).reshape(len(mine), -1), k, schema)
+        shared = queries.sparkSession.sparkContext.broadcast((mine["example_id"].tolist(), np.array(mine["embedding"].tolist(), np.float64).reshape(len(mine), -1)))
+        near = _ranked(_nearest_in(base, shared, k, schema), k)
+        if blocks > 1:
+            near = kept(near)
+            shared.destroy()
         found = near if found is None else found.unionByName(near)
-    return _ranked(found, k)
+    return found
 
 
-def _nearest_in(base: DataFrame, ids: list, vectors: np.ndarray, k: int, schema: T.StructType) -> DataFrame:
-    shared = base.sparkSession.sparkContext.broadcast((ids, vectors))
-
+def _nearest_in(base: DataFrame, shared, k: int, schema: T.StructType) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
         for frame in frames:
@@ -128,9 +137,49 @@ def retrieve(queries: DataFrame, corpus: DataFrame, docstore: DataFrame, k: int
     return knn(queries, corpus, k).join(texts, "chunk_id").select("example_id", "rank", "chunk_id", "document_id", "chunk_text", value)
 
 
-def append_index(index: DataFrame, new: DataFrame) -> DataFrame:
-    """The rows of new whose chunk_id the index lacks."""
-    return new.join(index.select("chunk_id"), "chunk_id", "left_anti")
+def missing_chunks(index: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of new whose chunk_id the index lacks, each id once."""
+    return new.join(index.select("chunk_id"), "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
+
+
+def build_index(docs: DataFrame, fn: Callable[[list[str]], np.ndarray], path: str, method: str = "fixed_size", **params: int) -> DataFrame:
+    """Chunks documents (document_id, text), writes the docstore and the embeddings below path, and gives the index's info. No chunk at all is an error."""
+    spark = docs.sparkSession
+    build_docstore(chunk_corpus(docs, method, **params)).write.mode("overwrite").parquet(f"{path}/docstore")
+    store = spark.read.parquet(f"{path}/docstore")
+    if store.isEmpty():
+        raise ValueError("no chunks to index")
+    embed(store.select("chunk_id", "text"), fn).select("chunk_id", "embedding").write.mode("overwrite").parquet(f"{path}/embeddings")
+    return index_info(spark.read.parquet(f"{path}/embeddings"))
+
+
+def append_index(docs: DataFrame, fn: Callable[[list[str]], np.ndarray], path: str, method: str = "fixed_size", **params: int) -> DataFrame:
+    """Adds the documents' chunks that the index below path lacks, so that doing it again adds nothing; gives the index's info."""
+    spark = docs.sparkSession
+    old, store = spark.read.parquet(f"{path}/embeddings"), build_docstore(chunk_corpus(docs, method, **params))
+    new = kept(embed(missing_chunks(old, store), fn))
+    new.select("chunk_id", "text", "document_id", "metadata").join(spark.read.parquet(f"{path}/docstore").select("chunk_id"), "chunk_id", "left_anti").write.mode("append").parquet(f"{path}/docstore")
+    new.select("chunk_id", "embedding").write.mode("append").parquet(f"{path}/embeddings")
+    return index_info(spark.read.parquet(f"{path}/embeddings"))
+
+
+INSIDE = 3
+
+
+def holding(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """The pairs of chunks (text) and questions (question) whose text holds the question as it stands.
+
+    The pieces of a question between spaces, but for its first and last, are pieces of any text that holds it; so the pairs meet by the hash of the
+    first INSIDE of those, and are then compared. Questions with fewer pieces are met by a scan of the chunks, as they have nothing to be found by."""
+    pieces = F.split("question", " ", -1)
+    long = F.size(pieces) >= INSIDE + 2
+    asked = questions.filter(long).withColumn("_key", F.xxhash64(F.array_join(F.slice(pieces, 2, INSIDE), " ")))
+    words = F.split("text", " ", -1)
+    starts = F.when(F.size(words) >= INSIDE, F.sequence(F.lit(1), F.size(words) - INSIDE + 1))
+    keys = let(words, lambda w: F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, INSIDE), " "))))
+    met = chunks.withColumn("_key", F.explode(F.array_distinct(keys))).join(asked, "_key").drop("_key").filter(F.contains("text", "question"))
+    short = questions.filter(~long)
+    return met.unionByName(chunks.join(short, F.contains("text", "question")))
 
 
 def score_stats(df: DataFrame, column: str = "similarity_score", by: list[str] | None = None) -> DataFrame:
@@ -141,12 +190,18 @@ def score_stats(df: DataFrame, column: str = "similarity_score", by: list[str] |
 STYLES = {"space": " ", "paragraph": "\n\n", "labelled": "\n"}
 
 
-def assemble_context(retrieved: DataFrame, style: str = "space") -> DataFrame:
-    """example_id, context: the retrieved texts in rank order; labelled ones are trimmed and name their chunk."""
+def assemble_context(retrieved: DataFrame, style: str = "space", examples: DataFrame | None = None) -> DataFrame:
+    """example_id, context: the retrieved texts in rank order; labelled ones are trimmed and name their chunk.
+
+    examples: all example_ids; those for which nothing was retrieved get an empty context, or the line for none if labelled."""
     text = F.regexp_replace("chunk_text", r"^\s+|\s+$", "")
     text = F.concat(F.lit("[Chunk ID: "), F.col("chunk_id").cast("string"), F.lit("] "), text) if style == "labelled" else F.col("chunk_text")
     listed = F.array_sort(F.collect_list(F.struct("rank", text.alias("t"))))
-    return retrieved.groupBy("example_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), STYLES[style]).alias("context"))
+    found = retrieved.groupBy("example_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), STYLES[style]).alias("context"))
+    if examples is None:
+        return found
+    none = NO_CONTEXT if style == "labelled" else ""
+    return examples.select("example_id").distinct().join(found, "example_id", "left").select("example_id", F.coalesce("context", F.lit(none)).alias("context"))
 
 
 def retrieved_ids(retrieved: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def render_prompts(s, d):
 
 def rag_prompt(s, d):
     context = F.when(F.col("doc_id") % 4 != 0, F.filter(F.array("context", "reference"), lambda x: x.isNotNull()))
-    return qa(s, d).select("doc_id", J.rag_prompt(F.substring("answer", 1, 200), context).alias("prompt"))
+    return qa(s, d).select("doc_id", J.rag_prompt(F.col("answer"), context).alias("prompt"))
 
 
 def chat_prompt(s, d):
@@ -111,11 +111,11 @@ def stub(prompts, temperature, max_tokens):
     return out
 
 
-def judged(s, d):
+def judged(s, d, gate="correct"):
     rows = qa(s, d).filter("context is not null").select(F.col("doc_id").alias("example_id"), F.lit("what?").alias("question"), F.col("answer").alias("model_answer"), F.col("reference").alias("reference_answer"), "context")
     from evalloom.sources.tables import kept
 
-    out = J.judge(rows, stub, kept)
+    out = J.judge(rows, stub, kept, gate=gate)
     return out.select("example_id", "correctness", "hallucination", "risk_direction", "risk_impact", "failure_mode", "judge_error")
 
 
@@ -168,6 +168,7 @@ QUERIES = {
     "failure_mode": failure_mode,
     "keyword_verdict": keyword_verdict,
     "judge_stages": judged,
+    "judge_stages_hallucination": lambda s, d: judged(s, d, "hallucination"),
     "gt_correctness": gt_correctness,
     "gt_hallucination": gt_hallucination,
     "gt_risk_direction": gt_risk(V.gt_risk_direction, "direction"),
@@ -276,13 +277,26 @@ def _cal(group=""):
   SELECT {g}count(*) FILTER (NOT truth) AS m0, count(*) FILTER (truth) AS m1, count(*) FILTER (NOT truth AND NOT verdict) AS tn, count(*) FILTER (truth AND verdict) AS tp, count(*) AS n, avg(coalesce(verdict, false)::INT) AS raw FROM {_VERD} {by}))"""
 
 
+def _prompt_size(stage, *columns):
+    """The length of a stage's prompt with these values in place of its placeholders."""
+    fixed = len(J.TEMPLATES[stage]) - sum(len(p) + 2 for p in J.REQUIRED[stage])
+    return f"({fixed} + " + " + ".join(f"coalesce(length({c}), 0)" for c in columns) + ")"
+
+
+def _judged_sql(gate):
+    """What the stand-in model says follows from the lengths of its prompts; both costs are $5."""
+    impact = len(J.TEMPLATES["risk_impact"]) - sum(len(p) + 2 for p in J.REQUIRED["risk_impact"]) + 2 * len('{"money":"$5"}')
+    return f"""SELECT example_id, correctness, hallucination, CAST(CASE WHEN {gate} THEN d END AS INT) AS risk_direction, CAST(CASE WHEN {gate} THEN {impact % 4} END AS INT) AS risk_impact, CAST(NULL AS VARCHAR) AS failure_mode, CAST(NULL AS VARCHAR) AS judge_error
+FROM (SELECT doc_id AS example_id, {_prompt_size('correctness', "'what?'", 'answer', 'reference')} % 3 <> 0 AS correctness, {_prompt_size('hallucination', 'context', 'answer')} % 5 = 0 AS hallucination, {_prompt_size('risk_direction', 'answer', 'context')} % 3 - 1 AS d FROM {_QA} WHERE context IS NOT NULL)"""
+
+
 _RG = "greatest(0, least(1, CASE WHEN abs(q0 + q1 - 1) < 1e-12 THEN raw ELSE (raw + q0 - 1) / (q0 + q1 - 1) END))"
 _Z = f"{V.NormalDist().inv_cdf(0.975)!r}"
 _TURNS = "string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn)"
 SQL = {
     "render_prompts": f"""SELECT doc_id, 'Question: ' || doc_id || chr(10) || 'Answer: ' || answer || chr(10) || 'Reference: ' || coalesce(reference, '') || chr(10) || 'Say {{"correctness_binary": true}} or false.' AS prompt FROM {_QA}""",
-    "rag_prompt": f"""SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND (context IS NOT NULL OR reference IS NOT NULL) THEN 'Context information:' || chr(10) || concat_ws(chr(10) || chr(10), context, reference) || chr(10) || chr(10) || 'Question: ' || substring(answer, 1, 200) || chr(10) || chr(10)
-  || 'Answer the question based on the context provided above. If the answer cannot be found in the context, say "I cannot answer this question based on the provided context."' || chr(10) || chr(10) || 'Answer:' ELSE 'Question: ' || substring(answer, 1, 200) || chr(10) || chr(10) || 'Answer:' END AS prompt FROM {_QA}""",
+    "rag_prompt": f"""SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND (context IS NOT NULL OR reference IS NOT NULL) THEN 'Context information:' || chr(10) || concat_ws(chr(10) || chr(10), context, reference) || chr(10) || chr(10) || 'Question: ' || answer || chr(10) || chr(10)
+  || 'Answer the question based on the context provided above. If the answer cannot be found in the context, say "I cannot answer this question based on the provided context."' || chr(10) || chr(10) || 'Answer:' ELSE 'Question: ' || answer || chr(10) || chr(10) || 'Answer:' END AS prompt FROM {_QA}""",
     "chat_prompt": f"""SELECT conv_id, {_TURNS} || CASE WHEN conv_id % 2 = 0 THEN chr(10) || chr(10) || 'system: Use the following context to answer the user''s question:' || chr(10) || chr(10) || 'first' || chr(10) || chr(10) || 'second' ELSE '' END || chr(10) || chr(10) || 'user: what next?' AS prompt FROM conversations GROUP BY conv_id""",
     "generation_stats": f"SELECT count(answer) AS n, round(avg(length(answer)), 6) AS avg_length, min(length(answer)) AS min_length, max(length(answer)) AS max_length FROM {_QA}",
     "parse_response": f"SELECT doc_id, CAST({_field('response', 'correctness_binary', 'BOOLEAN')} AS BOOLEAN) AS verdict, {_field('response', 'reasoning', 'VARCHAR')} AS reasoning, {_error('response')} AS parse_error FROM {_RESP}",
@@ -299,6 +313,8 @@ SQL = {
     "keyword_verdict": f"""SELECT doc_id, CASE WHEN regexp_matches(t, '(^|[^a-z])(no|not|false|incorrect|inaccurate)([^a-z]|$)') THEN false ELSE regexp_matches(t, '(^|[^a-z])(yes|true|correct|accurate)([^a-z]|$)') END AS verdict, regexp_matches(t, 'yes|true|correct|accurate') AS verdict_compat,
   CASE WHEN regexp_matches(t, 'care avoidance|overestimate|-1') THEN -1 WHEN regexp_matches(t, 'unexpected cost|underestimate|1') THEN 1 WHEN regexp_matches(t, 'no clear|neutral|0') THEN 0 END AS direction,
   CASE WHEN regexp_matches(t, '3|severe|high') THEN 3 WHEN regexp_matches(t, '2|moderate|medium') THEN 2 WHEN regexp_matches(t, '1|mild|low') THEN 1 WHEN regexp_matches(t, '0|none|minimal') THEN 0 END AS impact FROM {_pick(FREE)}""",
+    "judge_stages": _judged_sql("correctness"),
+    "judge_stages_hallucination": _judged_sql("hallucination"),
     "gt_correctness": f"SELECT doc_id, {_gt_correct('answer', 'reference')} AS gt FROM {_QA}",
     "gt_hallucination": f"SELECT l_orderkey, count(*) FILTER ({_HALL}) AS unsupported, count(*) AS n FROM {_COST} GROUP BY 1",
     "gt_risk_direction": f"SELECT l_orderkey, {_DIRECTION} AS direction, count(*) AS n FROM {_COST} GROUP BY 1, 2",

@@ -73,7 +73,7 @@ def passages(spark, sf_dir):
 
     chunks = chunk_fixed(corpus(spark, sf_dir))
     questions = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("question"))
-    return chunks.join(questions, F.contains("text", "question")).select("item_id", "chunk_id")
+    return V.holding(chunks, questions).select("item_id", "chunk_id")
 
 
 def knn_ivf(spark, sf_dir):
@@ -86,29 +86,26 @@ def knn_lsh(spark, sf_dir):
     return _rounded(V.knn_lsh(q, c, 5), "d2")
 
 
-def embed_hashed(spark, sf_dir):
-    """Embeddings of documents by hashed words, as a stand-in for a caller's model."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return V.embed(docs, hashed_words).select("doc_id", F.round(V.squared_distance(F.col("embedding"), F.transform("embedding", lambda x: F.lit(0.0))), 4).alias("norm2"))
+LETTERS = "etaoinsh"
+
 
+def embed_letters(spark, sf_dir):
+    """Embeddings of documents by their length and counts of letters, as a stand-in for a caller's model."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    made = V.embed(docs, letter_counts)
+    return made.select("doc_id", F.size("embedding").alias("dimension"), F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("embedding"))
 
-def hashed_words(texts):
-    import zlib
 
+def letter_counts(texts):
     import numpy as np
 
-    out = np.zeros((len(texts), 64), np.float32)
-    for i, t in enumerate(texts):
-        for w in t.split():
-            out[i, zlib.crc32(w.encode()) % 64] += 1
-    norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norms > 0, norms, 1)
+    return np.array([[len(t), *map(t.count, LETTERS)] for t in texts], np.float32).reshape(len(texts), -1)
 
 
 QUERIES = {
     "embedding_check": lambda s, d: V.check_embeddings(s.read.parquet(f"{d}/embeddings.parquet"), 64).select("vec_id"),
     "index_info": lambda s, d: V.index_info(s.read.parquet(f"{d}/embeddings.parquet")),
-    "embed_documents": embed_hashed,
+    "embed_documents": embed_letters,
     "knn_exact": knn_exact,
     "knn_ivf": knn_ivf,
     "knn_lsh": knn_lsh,
@@ -117,6 +114,8 @@ QUERIES = {
     "score_stats": lambda s, d: _rounded(V.score_stats(_retrieved(s, d)), "avg", "min", "max", "variance"),
     "context_joined": lambda s, d: V.assemble_context(_retrieved(s, d), "paragraph"),
     "context_labelled": lambda s, d: V.assemble_context(_retrieved(s, d), "labelled"),
+    "context_spaced": lambda s, d: V.assemble_context(_retrieved(s, d)),
+    "context_of_all": lambda s, d: V.assemble_context(_retrieved(s, d).filter("example_id % 100 = 0"), "labelled", vectors(s, d)[0]),
     "retrieved_ids": lambda s, d: V.retrieved_ids(_retrieved(s, d)).withColumn("chunk_ids", F.array_join(F.col("chunk_ids").cast("array<string>"), ",")),
     "passage_truth": passages,
     "ir_at_k": lambda s, d: _rounded(_sweep(s, d, [5]).drop("k"), *M.METRICS),
@@ -149,6 +148,9 @@ def _passage_sql() -> str:
 
 SQL = {
     "embedding_check": "SELECT vec_id FROM embeddings WHERE coalesce(len(embedding), -1) <> 64",
+    "embed_documents": f"SELECT doc_id, {len(LETTERS) + 1} AS dimension, concat_ws(',', length(text), " + ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in LETTERS) + ") AS embedding FROM documents",
+    "context_of_all": f"SELECT e.vec_id AS example_id, coalesce(c.context, '[No retrieved context available]') AS context FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) e LEFT JOIN (SELECT example_id, string_agg('[Chunk ID: ' || chunk_id || '] ' || chunk_text, chr(10) ORDER BY rank) AS context FROM {_TOP5} WHERE example_id % 100 = 0 GROUP BY 1) c ON c.example_id = e.vec_id",
+    "context_spaced": f"SELECT example_id, string_agg(chunk_text, ' ' ORDER BY rank) AS context FROM {_TOP5} GROUP BY 1",
     "index_info": "SELECT count(embedding) AS n_vectors, CAST(max(len(embedding)) AS INT) AS dimension FROM embeddings",
     "knn_exact": f"SELECT example_id, chunk_id, round(d2, 6) AS d2, CAST(rank AS INT) AS rank FROM {_KNN.format(k=10)}",
     "retrieve": f"SELECT example_id, rank, chunk_id, document_id, chunk_text, round(-d2, 6) AS similarity_score FROM {_TOP5}",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.operators import summary as S
+from evalloom.sources import tables
 
 from .fixtures import RUNS, duck_rows, spark_rows
 
@@ -51,8 +52,29 @@ def history(s, d):
     return rows.select("conv_id", "turn", messages_to_prompt(F.col("history")).alias("history"))
 
 
+def run_list(s, d):
+    return tables.run_ids(configs(s, d))
+
+
+def complete(s, d):
+    """Runs of odd days have no metrics, those of every seventh no outputs."""
+    day = F.substring("run_id", 9, 2).cast("int")
+    metrics, outputs = summaries(s, d).filter(day % 2 == 0).select("run_id", "total_examples"), runs(s, d).filter(day % 7 != 0).select("run_id", "example_id")
+    return tables.complete_runs(configs(s, d), metrics, outputs).select("run_id", "evaluation_type", "total_examples")
+
+
+def examples(s, d):
+    tasks = s.read.parquet(f"{d}/documents.parquet").select(
+        F.col("doc_id").cast("string").alias("example_id"), F.col("source").alias("question"), F.col("text").alias("reference_answer"), F.when(F.col("doc_id") % 3 != 0, F.array(F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_0")))).alias("ground_truth_chunk_ids"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") / 4).alias("beir_failure_scale_factor")
+    )
+    return tables.to_examples(tasks).withColumn("ground_truth_chunk_ids", F.array_join("ground_truth_chunk_ids", ","))
+
+
 METRICS = ("recall_at_k", "precision_at_k", "ndcg_at_k", "duration_seconds")
 QUERIES = {
+    "to_examples": examples,
+    "list_runs": run_list,
+    "load_all_runs": complete,
     "error_rows": errors,
     "flatten_results": flat,
     "run_summary": lambda s, d: _all(summaries(s, d)),
@@ -104,7 +126,11 @@ _CORR = " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, {_r(f'
 _KPI = f"(SELECT run_id, avg(correctness::INT) AS correctness_rate, avg(hallucination::INT) AS hallucination_rate, avg(judge_correct::INT) AS judge_accuracy, avg(recall_at_k) AS avg_recall, {_share('risk_direction = -1', 'risk_direction IS NOT NULL')} AS care_avoidance_rate, {_share('risk_direction = 1', 'risk_direction IS NOT NULL')} AS unexpected_cost_rate FROM {_R} GROUP BY run_id)"
 _RISK = [("risk_direction = -1", "care_avoidance_rate"), ("risk_direction = 0", "neutral_rate"), ("risk_direction = 1", "unexpected_cost_rate")]
 _GRID = f"(SELECT judge, chunker, avg(recall_at_k) AS recall_at_k, avg(precision_at_k) AS precision_at_k, avg(ndcg_at_k) AS ndcg_at_k, count(*) AS n FROM {_R} GROUP BY 1, 2)"
+_DAY = "CAST(substring(run_id, 9, 2) AS INT)"
 SQL = {
+    "to_examples": "SELECT CAST(doc_id AS VARCHAR) AS example_id, source AS question, text AS reference_answer, CASE WHEN doc_id % 3 <> 0 THEN doc_id || '_chunk_0' ELSE '' END AS ground_truth_chunk_ids, CASE WHEN doc_id % 2 = 0 THEN doc_id / 4.0::DOUBLE ELSE 1.0 END AS beir_failure_scale_factor FROM documents",
+    "list_runs": f"SELECT DISTINCT run_id FROM {_R}",
+    "load_all_runs": f"SELECT run_id, CASE WHEN substring(run_id, 10, 1) <> '1' THEN 'judge' END AS evaluation_type, total_examples FROM {_SUMMARY} WHERE {_DAY} % 2 = 0 AND {_DAY} % 7 <> 0",
     "error_rows": f"""SELECT example_id, CASE WHEN failed THEN 'evaluation_error' END AS failure_mode, NOT failed AND correctness AS correctness, failed OR example_id % 2 = 0 AS hallucination,
   CASE WHEN NOT failed THEN risk_direction END AS risk_direction, CASE WHEN NOT failed THEN risk_impact END AS risk_impact, NOT failed AND judge_correct AS judge_correct, {', '.join(_r(f'CASE WHEN failed THEN 0 ELSE {m} END', m) for m in S.IR)} FROM {_R}""",
     "flatten_results": f"SELECT run_id, example_id, correctness AS judge_correctness, hallucination AS judge_hallucination, risk_direction AS judge_risk_direction, risk_impact AS judge_risk_impact, failure_mode AS judge_failure_mode, judge_correct AS meta_judge_correct, {', '.join(_r(m, 'beir_' + m) for m in S.IR)} FROM {_R}",

@@ -78,6 +78,13 @@ def read_traces(spark: SparkSession, root: str, run_id: str | None = None) -> Da
     return _read_run(spark, root, "traces", run_id)
 
 
+def save_run(rows: DataFrame, summary: DataFrame, traces: DataFrame, root: str, run_id: str) -> None:
+    """The final save of a run: its outputs, its traces, and its metrics."""
+    write_outputs(rows.drop("run_id"), root, run_id)
+    write_traces(traces.drop("run_id"), root, run_id)
+    write_metrics(summary.drop("run_id"), root, run_id)
+
+
 def new_run_id(name: str | None = None, at: datetime | None = None) -> str:
     """A given name as it is; else the time, as yyyy-MM-dd_HHmm_eval_run."""
     return name if name is not None else (at or datetime.now()).strftime("%Y-%m-%d_%H%M_eval_run")
@@ -92,24 +99,34 @@ def read_config(spark: SparkSession, root: str, run_id: str | None = None) -> Da
     return _read_run(spark, root, "run_configs", run_id)
 
 
+def run_ids(configs: DataFrame) -> DataFrame:
+    return configs.select("run_id").distinct().orderBy("run_id")
+
+
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
-    return read_config(spark, root).select("run_id").distinct().orderBy("run_id")
+    return run_ids(read_config(spark, root))
 
 
 def load_results(spark: SparkSession, root: str, run_id: str) -> tuple[DataFrame, DataFrame]:
     return read_outputs(spark, root, run_id), read_metrics(spark, root, run_id)
 
 
+def complete_runs(configs: DataFrame, metrics: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Configs with metrics, for the runs that have all three."""
+    return configs.join(metrics, "run_id").join(outputs.select("run_id").distinct(), "run_id", "left_semi")
+
+
 def load_all_runs(spark: SparkSession, root: str) -> DataFrame:
     """Configs with metrics, for the runs that have configs, outputs and metrics."""
-    have = read_outputs(spark, root).select("run_id").distinct()
-    return read_config(spark, root).join(read_metrics(spark, root), "run_id").join(have, "run_id", "left_semi")
+    return complete_runs(read_config(spark, root), read_metrics(spark, root), read_outputs(spark, root))
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or one of our own where the session names none."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or, in local mode, one of our own where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR") or "/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

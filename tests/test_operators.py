@@ -145,9 +145,149 @@ def test_tasks_round_trip(spark, tmp_path):
     assert got.count() == 6 and got.filter("beir_failure_scale_factor <> 1.0").count() == 0
 
 
-def test_append_index_is_idempotent(spark):
-    a = spark.createDataFrame([("c1", [1.0]), ("c2", [2.0])], "chunk_id string, embedding array<float>")
-    assert [r.chunk_id for r in X.append_index(a.limit(1), a).collect()] == ["c2"]
+def _lengths(texts):
+    import numpy as np
+
+    return np.array([[len(t), t.count("a")] for t in texts], np.float32).reshape(len(texts), 2)
+
+
+def test_index_is_built_and_added_to(spark, tmp_path):
+    path = str(tmp_path)
+    docs = spark.createDataFrame([("a", "aaaa" * 10), ("b", "bb"), ("none", "")], "document_id string, text string")
+    info = X.build_index(docs, _lengths, path, size=20, overlap=5).first()
+    assert (info.n_vectors, info.dimension) == (4, 2)
+    store = {r.chunk_id: r for r in tables.read_docstore(spark, f"{path}/docstore").collect()}
+    found = {r.chunk_id: list(r.embedding) for r in tables.read_embeddings(spark, f"{path}/embeddings").collect()}
+    assert found == {c: [float(len(r.text)), float(r.text.count("a"))] for c, r in store.items()}
+    more = spark.createDataFrame([("b", "bb"), ("c", "cac")], "document_id string, text string")
+    for _ in range(2):
+        assert X.append_index(more, _lengths, path, size=20, overlap=5).first().n_vectors == 5
+    assert tables.read_docstore(spark, f"{path}/docstore").count() == 5
+    with pytest.raises(ValueError):
+        X.build_index(docs.filter("document_id = 'none'"), _lengths, str(tmp_path / "no"))
+
+
+def test_missing_chunks(spark):
+    a = spark.createDataFrame([("c1", [1.0]), ("c2", [2.0]), ("c2", [2.0])], "chunk_id string, embedding array<float>")
+    assert [r.chunk_id for r in X.missing_chunks(a.filter("chunk_id = 'c1'"), a).collect()] == ["c2"]
+
+
+def test_corpora_are_written_and_read(spark, tmp_path):
+    df = spark.createDataFrame([("d", "text")], "document_id string, text string")
+    tables.write_corpus(df, str(tmp_path / "corpus"))
+    assert tables.read_corpus(spark, str(tmp_path / "corpus")).collect() == df.collect()
+
+
+def test_questions_are_found_in_chunks(spark):
+    chunks = spark.createDataFrame([("x", "so one two three four five six"), ("y", "one  two three four five"), ("z", "one two"), ("w", None)], "chunk_id string, text string")
+    questions = spark.createDataFrame([(1, "ne two three four fi"), (2, "one two"), (3, "one  two three four five"), (4, "o"), (5, None), (6, "a b c d e f")], "item_id int, question string")
+    want = {(c.chunk_id, q.item_id) for c in chunks.collect() for q in questions.collect() if c.text and q.question and q.question in c.text}
+    assert {(r.chunk_id, r.item_id) for r in X.holding(chunks, questions).collect()} == want and len(want) > 5
+
+
+def test_contexts_of_all_examples(spark):
+    found = spark.createDataFrame([("a", 1, "c", " t ")], "example_id string, rank int, chunk_id string, chunk_text string")
+    every = spark.createDataFrame([("a",), ("b",)], "example_id string")
+    got = lambda style: {r.example_id: r.context for r in X.assemble_context(found, style, every).collect()}
+    assert got("labelled") == {"a": "[Chunk ID: c] t", "b": "[No retrieved context available]"} and got("space") == {"a": " t ", "b": ""}
+
+
+def test_quartiles_equal_the_percentile(spark):
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS g", "CASE WHEN id % 11 = 0 THEN NULL ELSE CAST((id * 7919) % 1013 AS DOUBLE) / 3 END AS v")
+    rows = rows.unionByName(spark.createDataFrame([("one", 5.0), ("nulls", None), ("same", 2.0), ("same", 2.0)], "g string, v double"))
+    want = rows.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"), F.avg("v").alias("m"))
+    want = {r.g: [*(r.q or [None] * 5), r.m] for r in want.collect()}
+    got = {r.g: [r["min"], r.q1, r.median, r.q3, r["max"], r["mean"]] for r in S.group_quartiles(rows, "g", "v").collect()}
+    assert got.keys() == want.keys() == {"a", "b", None, "one", "nulls", "same"}
+    assert all((x is None and y is None) or math.isclose(x, y, abs_tol=1e-9) for g in want for x, y in zip(got[g], want[g], strict=True))
+
+
+def test_short_answer_lists_and_times(spark):
+    def short(prompts, temperature, max_tokens):
+        return [p.upper() for p in prompts][:1]
+
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "prompt string").coalesce(1)
+    got = {r.prompt: r for r in J.call_model(df, short, times=("t0", "t1")).collect()}
+    assert (got["a"].response, got["b"].response, got[None].response) == ("A", "B", None)
+    assert got["a"].t0 <= got["a"].t1 <= got["b"].t1 and got[None].t0 is None
+
+
+def test_failed_cost_calls_are_errors(spark):
+    def fn(prompts, temperature, max_tokens):
+        if any('"money"' in p for p in prompts):
+            raise RuntimeError("down")
+        return stub(prompts, temperature, max_tokens)
+
+    rows = spark.createDataFrame([(f"e{i}", "what?", "x" * i, "y", "context") for i in range(9)], "example_id string, question string, model_answer string, reference_answer string, context string")
+    got = J.judge(rows, fn, tables.kept).collect()
+    assert {r.judge_error for r in got if r.correctness} == {"RuntimeError: down"} and {r.risk_impact for r in got} == {None}
+    assert all(r.judge_error is None for r in got if not r.correctness) and any(r.correctness for r in got)
+
+
+@pytest.mark.parametrize("gate", ["correct", "hallucination"])
+def test_judged_by_the_gate(spark, gate):
+    rows = spark.createDataFrame([(f"e{i}", "what?", "x" * i, "y", "context") for i in range(15)], "example_id string, question string, model_answer string, reference_answer string, context string")
+    for r in J.judge(rows, stub, tables.kept, gate=gate).collect():
+        assert (r.risk_direction is not None) == (r.correctness if gate == "correct" else r.hallucination) and r.judge_error is None
+        assert r.judged_at is not None
+
+
+def test_judging_by_keywords(spark):
+    said = {"correctness": "Yes.", "hallucination": "No.", "risk_direction": "unexpected cost", "risk_impact": "severe"}
+    df = spark.createDataFrame([("q", "r", "g", ["c", "d"]), ("q", "r", None, None)], "question string, reference_answer string, generated_answer string, context array<string>")
+    for stage, want in (("correctness", True), ("hallucination", False), ("risk_direction", 1), ("risk_impact", 3)):
+        got = J.keyword_judge(df, lambda prompts, temperature, max_tokens, stage=stage: [f"{said[stage]}" for _ in prompts], stage).collect()
+        assert [r[stage] for r in got] == [want, want] and {r[f"{stage}_error"] for r in got} == {None}
+        assert set(got[0].asDict()) == {*df.columns, stage, f"{stage}_error"}
+
+
+def test_agents_answer_and_are_timed(spark):
+    corpus = spark.createDataFrame([("c1", [0.0, 1.0]), ("c2", [1.0, 0.0])], "chunk_id string, embedding array<float>")
+    store = corpus.select("chunk_id", F.concat(F.lit("text "), "chunk_id").alias("text"), F.lit("d").alias("document_id"))
+    asked = spark.createDataFrame([("one", [0.0, 1.0]), ("two", [1.0, 0.1])], "question string, embedding array<float>")
+    fn = lambda prompts, temperature, max_tokens: [p[-30:] for p in prompts]
+    got = S.answer_queries(asked, corpus, store, fn, k=1).collect()
+    assert all(r.example_id.startswith("batch_query_") for r in got) and len({r.example_id for r in got}) == 2
+    assert {r.question: r.chunk_ids for r in got} == {"one": ["c1"], "two": ["c2"]}
+    examples = tables.kept(S.numbered(asked, "example_"))
+    results = S.agent_results(tables.kept(S.answer_queries(examples, corpus, store, fn, k=2)), examples.drop("embedding")).collect()
+    assert all(r.example_id.startswith("example_") and r.n_chunks == 2 and r.duration_seconds >= 0 and r.expected_answer == "" for r in results)
+    assert S.agent_summary(S.agent_results(S.answer_queries(examples, corpus, store, fn), examples)).first().n == 2
+
+
+def test_runs_are_evaluated_and_saved(spark, tmp_path):
+    found = spark.createDataFrame([(f"e{i}", 1, "c1", "a context") for i in range(5)], "example_id string, rank int, chunk_id string, chunk_text string")
+
+    def generate(prompts, temperature, max_tokens):
+        return ["it costs $5" for _ in prompts]
+
+    S.evaluate_and_save(str(tmp_path), "r1", examples=_examples(spark), retrieved=found, generate_fn=generate, judge_fn=stub, keep=tables.kept)
+    outputs, metrics = tables.load_results(spark, str(tmp_path), "r1")
+    assert outputs.count() == 6 and metrics.first().total_examples == 6
+    traces = tables.read_traces(spark, str(tmp_path), "r1").collect()
+    assert len(traces) == 6 and all(r.duration_seconds > 0 for r in traces if r.success) and sum(r.success for r in traces) == 4
+    plain = S.evaluate(_examples(spark).drop("ground_truth_chunk_ids"), found, generate, stub, tables.kept, "r", with_ir=False)
+    assert {r.recall_at_k for r in plain.collect()} == {None}
+
+    def broken(prompts, temperature, max_tokens):
+        raise RuntimeError("down")
+
+    with pytest.raises(ValueError, match="all 6"):
+        S.evaluate(_examples(spark), found, broken, stub, tables.kept, "r", on_error="drop")
+
+
+def test_sentences_grow_in_proportion(spark):
+    """A sentence is cut once, whatever the text's number of them: ten times the text takes far less than a hundred times the time."""
+    import time
+
+    def took(n):
+        df = spark.range(1).select(F.lit("a").alias("document_id"), F.repeat(F.lit("some words here. "), n).alias("text"))
+        start = time.time()
+        assert C.chunk_sentences(df).agg(F.sum(F.length("text"))).first()[0] > 15 * n
+        return time.time() - start
+
+    took(2000)
+    assert took(40_000) < 20 * max(0.5, took(4000))
 
 
 def test_strip_and_sentences(spark):
