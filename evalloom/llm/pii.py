@@ -2,7 +2,7 @@
 
 A value is found by a pattern, validated, and read as an integer below the size N of its format (15 free digits of a card number,
 the digits of a telephone number, 32 bits of an IPv4 address, the day within 1900 to 2099, the free digits of an IBAN's account
-part, the letters and digits of an address's local part, the digits of a hexadecimal secret). The network permutes 0..N-1, cycle
+part, the lower-cased letters and the digits of an address's local part, the digits of a hexadecimal secret). The network permutes 0..N-1, cycle
 walking where N has no exact halves; check digits are computed anew. As the permutation depends on the key and the kind
 of value alone, equal values stay equal in all documents and different ones stay different, without any table or join.
 
@@ -10,13 +10,17 @@ Telephone numbers have a country code (+ or 00) and a number of digits that fits
 with a leading 0, or as nine digits in groups from 6, 7, 8 or 9 on. Ten digits without any separator are no telephone number. Dates have the day first,
 or the month where there is no such day; one-digit days and months count.
 
-Nulls: a null text stays null, with all counts 0. Empty texts stay empty. Rows are treated one by one, so repeats give repeats.
+A number that its check digit, its country's plan or the calendar does not validate stays as it is.
+
+Nulls: a null text stays null, with all counts 0. Empty texts stay empty, an empty table gives no rows. Rows are treated one by one, so repeats give repeats.
+Further columns are not returned.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -36,9 +40,7 @@ def feistel(x: int, size: int, key: bytes, kind: str, back: bool = False) -> int
     """The image of x under a keyed permutation of 0..size-1 (back: its inverse)."""
     if size < 2:
         return x
-    a = int(size**0.5)
-    while a * a < size:
-        a += 1
+    a = math.isqrt(size - 1) + 1
     b = -(-size // a)
     width = (max(a, b).bit_length() + 7) // 8 + 1
     rounds = range(ROUNDS)[::-1] if back else range(ROUNDS)
@@ -80,9 +82,19 @@ def _card(m: re.Match, key: bytes) -> str | None:
     return refill(m[0], body + luhn_digit(body))
 
 
-def _number(m: re.Match, key: bytes) -> str | None:
-    """A long number without a valid check digit: an account number of unknown make."""
-    return _card(m, key) or refill(m[0], str(feistel(int(d := re.sub(r"\D", "", m[0])), 10 ** len(d), key, f"number{len(d)}")).zfill(len(d)))
+def _nanp(digits: str, key: bytes) -> str:
+    """Ten digits: numbers whose area and exchange codes may be in use (neither begins with 0 or 1) stay among those, and all others among the others."""
+    used = lambda x: x[0] > "1" and x[3] > "1"
+    if used(digits):
+        x = ((int(digits[0]) - 2) * 100 + int(digits[1:3])) * 8 + int(digits[3]) - 2
+        x = feistel(x * 10**6 + int(digits[4:]), 64 * 10**8, key, "nanp")
+        area, rest = divmod(x, 10**6)
+        area, exchange = divmod(area, 8)
+        return f"{area // 100 + 2}{area % 100:02d}{exchange + 2}{rest:06d}"
+    while True:
+        digits = str(feistel(int(digits), 10**10, key, "phone")).zfill(10)
+        if not used(digits):
+            return digits
 
 
 def _phone(m: re.Match, key: bytes) -> tuple[str, int] | None:
@@ -97,7 +109,7 @@ def _phone(m: re.Match, key: bytes) -> tuple[str, int] | None:
         digits = re.sub(r"\D", "", body)
         if least <= len(digits) <= most:
             if code == "1":
-                new = str(feistel(int(digits), 10**10, key, "phone")).zfill(10)
+                new = _nanp(digits, key)
             else:  # the first digit names the kind of line and stays
                 n = len(digits) - 1
                 new = digits[0] + str(feistel(int(digits[1:]), 10**n, key, f"phone{len(digits)}{digits[0]}")).zfill(n)
@@ -173,7 +185,9 @@ def permute_classes(text: str, key: bytes, kind: str) -> str:
 
 
 def _email(m: re.Match, key: bytes) -> str | None:
-    return permute_classes(m["local"], key, "email") + m[0][len(m["local"]) :]
+    """The local part, whatever its case, is one value; its capitals stay where they are. The domain stays."""
+    new = permute_classes(m["local"].lower(), key, "email")
+    return "".join(x.upper() if c.isupper() else x for c, x in zip(m["local"], new, strict=True)) + m[0][len(m["local"]) :]
 
 
 def _secret(m: re.Match, key: bytes) -> str | None:
@@ -201,7 +215,7 @@ PATTERN = re.compile(
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
 )
 #: What takes the place of a match, or nothing; with the place where it ends if that is before the match does.
-RULES: dict[str, Callable[[re.Match, bytes], str | tuple[str, int] | None]] = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "phone": _phone, "card": _number}
+RULES: dict[str, Callable[[re.Match, bytes], str | tuple[str, int] | None]] = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "phone": _phone, "card": _card}
 MAY = re.compile(r"[0-9@]")
 
 
