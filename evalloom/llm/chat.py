@@ -1,15 +1,17 @@
 r"""Chat formatting: records of several layouts become canonical turns, then one text with a loss mask.
 
-A record is a JSON object. Its schema fingerprint is the hash of its sorted nested field paths (an array adds "[]");
-the fingerprint selects a declarative mapping, which names where the turns' roles and texts are. New layouts are new
-entries of LAYOUTS, no new code.
+A record is a JSON object. Its schema fingerprint is the hash of its sorted nested field paths (an array adds "[]"), of those that some mapping names:
+ids, scores and the like do not change it. The fingerprint selects a declarative mapping, which names where the turns' roles and texts are,
+with and without its optional fields. A record that has fields of several layouts goes to the first of which it has all the required ones. New
+layouts are new entries of LAYOUTS, no new code. Role names are made canonical in the layouts of other makers; the layout "turns" is this library's own, and its roles stay.
 
 Template: a turn is `<s>[role]text</s>`. Inside roles and texts, each of `\`, `<`, `[` and `]` is written after a `\`, so
 that no control string can come from a text, and removing those backslashes gives the text back. The loss mask is a
 list of code-point spans of the formatted text: the assistants' texts.
 
-Nulls: a null text or role is empty, a null turn number comes first. Equal turn numbers are ordered by role, then text. A record
-of an unknown layout has no turns and `layout` null. A missing or empty optional field (system, input) gives no turn.
+Nulls: a null text or role is empty, a null turn number comes first, rows of a null conv_id are one conversation. Equal turn numbers are ordered by role, then text;
+repeated rows are turns of their own. A record of an unknown layout has `layout` null and is one turn of the role "record", so that no text is lost; a null record has
+no turns. A missing or empty optional field (system, input) gives no turn. A text or role that is no string is written as JSON. Empty tables give no rows. Further columns are left out.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,81 +34,100 @@ BACK = re.compile(r"\\(.)", re.S)
 TURN = re.compile(r"<s>\[((?:[^\\\]]|\\.)*)\]((?:[^\\<]|\\.)*)</s>", re.S)
 LEARNED = "assistant"
 #: Names of roles in public datasets, and the canonical ones.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+ROLES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 
 
 @dataclass(frozen=True)
 class Layout:
-    """paths: the nested field paths that make the fingerprint. items: the field of a list of turns, with the fields of role and
-    text in each; or fields: pairs of role and top-level field, and joined: fields added to a turn's text after a blank line."""
+    """paths: the nested field paths that a record must have; optional: others that it may have. items: the field of a list of turns, with the
+    fields of role and text in each; or fields: pairs of role and top-level field, and joined: fields added to a turn's text after a blank line.
+    roles: canonical names of roles."""
 
     name: str
     paths: tuple[str, ...]
     items: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, str], ...] = ()
     joined: tuple[tuple[str, str], ...] = ()
+    optional: tuple[str, ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()
 
     @property
-    def fingerprint(self) -> str:
-        return path_hash(self.paths)
+    def fingerprints(self) -> list[str]:
+        return [path_hash((*self.paths, *some)) for n in range(len(self.optional) + 1) for some in combinations(self.optional, n)]
 
     def turns(self, record: dict) -> list[tuple[str, str]]:
         if self.items:
             where, role, text = self.items
-            return [(ROLES.get(x.get(role) or "", x.get(role) or ""), x.get(text) or "") for x in record.get(where) or [] if isinstance(x, dict)]
+            names = dict(self.roles)
+            found = [(_text(x.get(role)), _text(x.get(text))) for x in record.get(where) or [] if isinstance(x, dict)]
+            return [(names.get(r, r), t) for r, t in found]
         more = dict(self.joined)
         out = []
         for role, field in self.fields:
-            text = record.get(field) or ""
-            if added := record.get(more.get(field, "")) or "":
+            text = _text(record.get(field))
+            if added := _text(record.get(more.get(field, ""))):
                 text = f"{text}\n\n{added}"
             if text or role != "system":
                 out.append((role, text))
         return out
 
 
+def _text(value) -> str:
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
 LAYOUTS = (
     Layout("turns", ("turns[].role", "turns[].text"), ("turns", "role", "text")),
-    Layout("messages", ("messages[].role", "messages[].content"), ("messages", "role", "content")),
-    Layout("from_value", ("conversations[].from", "conversations[].value"), ("conversations", "from", "value")),
-    Layout("prompt", ("prompt", "response"), fields=(("user", "prompt"), ("assistant", "response"))),
-    Layout("prompt_completion", ("prompt", "completion"), fields=(("user", "prompt"), ("assistant", "completion"))),
-    Layout("system_prompt", ("system", "prompt", "response"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Layout("instruction", ("instruction", "input", "output"), fields=(("user", "instruction"), ("assistant", "output")), joined=(("instruction", "input"),)),
-    Layout("instruction_only", ("instruction", "output"), fields=(("user", "instruction"), ("assistant", "output"))),
+    Layout("messages", ("messages[].role", "messages[].content"), ("messages", "role", "content"), roles=ROLES),
+    Layout("from_value", ("conversations[].from", "conversations[].value"), ("conversations", "from", "value"), roles=ROLES),
+    Layout("prompt", ("prompt", "response"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system",)),
+    Layout("prompt_completion", ("prompt", "completion"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "completion")), optional=("system",)),
+    Layout("instruction", ("instruction", "output"), fields=(("system", "system"), ("user", "instruction"), ("assistant", "output")), joined=(("instruction", "input"),), optional=("input", "system")),
 )
 
 
+class Mappings:
+    """Layouts by fingerprint."""
+
+    def __init__(self, layouts: tuple[Layout, ...] = LAYOUTS):
+        self.layouts = layouts
+        self.known = {p for x in layouts for p in (*x.paths, *x.optional)}
+        self.by_hash = {h: x for x in reversed(layouts) for h in x.fingerprints}
+
+    def layout(self, record: dict) -> Layout | None:
+        paths = set(nested_paths(record))
+        if found := self.by_hash.get(path_hash(paths & self.known)):
+            return found
+        # fields of several layouts, or a list without any turn
+        return next((x for x in self.layouts if paths.issuperset(x.paths) or x.items and record.get(x.items[0]) == []), None)
+
+
 def path_hash(paths) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
 
 
 def nested_paths(value, at: str = "") -> Iterator[str]:
-    """The paths of all leaves; fields with other than text, and ids beside the turns, are left to the mapping."""
+    """The paths of all fields below the top, those of lists and objects included."""
     if isinstance(value, dict):
         for k, v in value.items():
-            yield from nested_paths(v, f"{at}.{k}" if at else k)
+            path = f"{at}.{k}" if at else k
+            yield path
+            yield from nested_paths(v, path)
     elif isinstance(value, list):
         for v in value:
             yield from nested_paths(v, at + "[]")
-        if not value:
-            yield at + "[]"
-    else:
-        yield at
 
 
-def canonical(record: str | None, mappings: dict[str, Layout]) -> tuple[str | None, list[tuple[str, str]]]:
+def canonical(record: str | None, mappings: Mappings) -> tuple[str | None, list[tuple[str, str]]]:
     """The name of a record's layout and its turns."""
-    try:
-        value = json.loads(record or "")
-    except ValueError:
+    if record is None:
         return None, []
-    if not isinstance(value, dict):
-        return None, []
-    layout = mappings.get(path_hash(nested_paths(value)))
-    if layout is None:  # a record without any turn shows the list alone
-        layout = next((x for x in mappings.values() if x.items and value == {x.items[0]: []}), None)
-    return (layout.name, layout.turns(value)) if layout else (None, [])
+    try:
+        value = json.loads(record)
+        layout = mappings.layout(value) if isinstance(value, dict) else None
+    except (ValueError, RecursionError):
+        layout = None
+    return (layout.name, layout.turns(value)) if layout else (None, [("record", record)])
 
 
 def escape(text: str) -> str:
@@ -134,7 +156,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 def format_chats(records: DataFrame, column: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """records (conv_id and a JSON column) -> conv_id, layout, formatted, loss_spans."""
-    mappings = {x.fingerprint: x for x in layouts}
+    mappings = Mappings(layouts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
