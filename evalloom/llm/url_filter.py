@@ -6,9 +6,10 @@ lets no wrong key through. A key of the universe is listed if the first level th
 if all accept and their number is odd. So membership is exact and the large table is never joined or shuffled for it.
 
 The cascade takes about 1.44 * log2(unlisted / listed) + 4 bits a listed key. It is sent to the workers only up to MOST_BITS;
-a longer list is held by several cascades, each for a part of the keys by their hash, applied one after the other.
+for a longer list the keys are parted by their hash, and each part's cascade is made, applied and forgotten before the next one's turn (a table is written between).
 
-Nulls: a null url, or one without "://", has an empty host and path and is allowed, as no rule fits an empty host and no list has it.
+Nulls: a null url, or one without "://", has an empty host and path and is allowed, as no rule fits an empty host and no list has it. Null hosts of a
+list are left out, repeated ones count once. Repeated rows give repeated results, an empty table none; an empty list blocks nothing. Further columns are left out.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, written
 
 MOST_BITS = 1 << 28
-#: Labels (parts of a host between dots and hyphens) that put a host on the default list.
-LISTED_LABELS = ("adult", "casino", "malware", "phish", "porn", "spam", "torrent", "xxx")
+#: The registered query's block list, in place of an outside one: hosts whose SHA-256 begins with one of these.
+LISTED_DIGITS = ("0", "7", "e")
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
@@ -68,11 +69,12 @@ def _passing(keys: DataFrame, levels: list[Level]) -> DataFrame:
     """The keys that all levels let through."""
     if not levels:
         return keys
+    shared = keys.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             hashes = [key_hash(x) for x in part.column("key").to_pylist()]
-            yield part.filter(pa.array([all(level.passes(a, b, i) for i, level in enumerate(levels)) for a, b in hashes], pa.bool_()))
+            yield part.filter(pa.array([all(level.passes(a, b, i) for i, level in enumerate(shared.value)) for a, b in hashes], pa.bool_()))
 
     return keys.mapInArrow(run, keys.schema)
 
@@ -91,8 +93,8 @@ def _encoded(keys: DataFrame, n: int, at: int, rate: float) -> Level:
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
     words = np.zeros(m // 64 + 1, np.uint64)
-    for word, bits in keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits")).collect():  # m / 64 rows at most
-        words[word] = np.uint64(bits & (1 << 64) - 1)
+    found = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # m / 64 rows at most
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return Level(words, m, k)
 
 
@@ -114,35 +116,36 @@ def build_cascade(universe: DataFrame) -> list[Level]:
     return levels
 
 
-def cascades(universe: DataFrame, most_bits: int = MOST_BITS) -> list[list[Level]]:
-    """One cascade, or several by hash of the key where one would be too large to send."""
-    n, total = universe.agg(F.count_if("listed"), F.count("*")).first()
-    bits = n * (1.44 * max(1.0, math.log2(max(2, total) / max(1, n))) + 4)
-    parts = max(1, math.ceil(bits / most_bits))
-    if parts == 1:
-        return [build_cascade(universe)]
-    return [build_cascade(universe.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == i)) for i in range(parts)]
-
-
-def _member(shared):
+def _member(levels):
     @F.pandas_udf("boolean")
     def member(keys: pd.Series) -> pd.Series:
-        known = {x: is_listed(shared.value, x) for x in keys.unique()}
+        known = {x: is_listed(levels.value, x) for x in keys.unique()}
         return keys.map(known).astype(bool)
 
     return member
 
 
-def with_listed(df: DataFrame, held: list[list[Level]], key: str = "host", out: str = "is_listed") -> DataFrame:
-    """df with the boolean column `out`: the membership of its key, a narrow map per cascade."""
-    spark, parts = df.sparkSession, len(held)
+def part_count(universe: DataFrame, most_bits: int = MOST_BITS) -> int:
+    """Parts of the keys so that the cascade of each takes about `most_bits` at most."""
+    n, total = universe.agg(F.count_if("listed"), F.count("*")).first()
+    return max(1, math.ceil(n * (1.44 * max(1.0, math.log2(max(2, total) / max(1, n))) + 4) / most_bits))
+
+
+def with_listed(df: DataFrame, universe: DataFrame, key: str = "host", out: str = "is_listed", most_bits: int = MOST_BITS) -> DataFrame:
+    """df with the boolean column `out`: the membership of its key. universe: key, listed; all keys of df, each once.
+
+    One cascade, a narrow map; or one for each part of the keys, one after the other, so that the driver and the workers hold one at a time."""
+    context, parts = df.sparkSession.sparkContext, part_count(universe, most_bits)
     result = df.withColumn(out, F.lit(False))
-    for i, levels in enumerate(held):
-        if not levels:
-            continue
-        member = _member(spark.sparkContext.broadcast(levels))
-        mine = F.pmod(F.xxhash64(key), F.lit(parts)) == i
-        result = result.withColumn(out, F.when(mine, member(F.col(key))).otherwise(F.col(out)) if parts > 1 else member(F.col(key)))
+    for i in range(parts):
+        levels = build_cascade(universe.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == i) if parts > 1 else universe)
+        if levels:
+            shared = context.broadcast(levels)
+            mine = F.pmod(F.xxhash64(key), F.lit(parts)) == i
+            result = result.withColumn(out, F.when(mine, _member(shared)(F.col(key))).otherwise(F.col(out)))
+            if parts > 1:
+                result = written(result, "listed")
+                shared.destroy()
     return result
 
 
@@ -166,25 +169,21 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def default_listed(host: Column) -> Column:
-    return F.arrays_overlap(F.split(host, "[.-]"), F.array(*map(F.lit, LISTED_LABELS)))
-
-
-def judge_urls(pages: DataFrame, rules=RULES, listed=default_listed) -> DataFrame:
-    """page_id, host, path, rule, verdict. listed: a boolean column of a host, or a DataFrame of listed hosts (column host)."""
+def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict. listed: a DataFrame of blocked hosts (column host)."""
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     hosts = parts.select(F.col("host").alias("key")).distinct()
-    if isinstance(listed, DataFrame):
-        marked = hosts.join(listed.select(F.col("host").alias("key"), F.lit(True).alias("listed")).distinct(), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
-    else:
-        marked = hosts.select("key", F.coalesce(listed(F.col("key")), F.lit(False)).alias("listed"))
-    held = cascades(cut(marked))
+    known = listed.select(F.col("host").cast("string").alias("key"), F.lit(True).alias("listed")).filter("key is not null").distinct()
+    universe = cut(hosts.join(known, "key", "left").select("key", (F.coalesce("listed", F.lit(False)) & (F.col("key") != "")).alias("listed")))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    return with_listed(parts, held).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("is_listed"), "block").otherwise("allow")).alias("verdict"))
+    return with_listed(parts, universe).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("is_listed"), "block").otherwise("allow")).alias("verdict"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(read(spark, sf_dir, "pages"))
+    pages = read(spark, sf_dir, "pages")
+    host = url_host(F.col("url"))
+    listed = pages.select(host.alias("host")).filter(F.substring(F.sha2("host", 256), 1, 1).isin(*LISTED_DIGITS)).distinct()
+    return judge_urls(pages, listed)
 
 
 def _rule_sql() -> str:
@@ -192,13 +191,13 @@ def _rule_sql() -> str:
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, kind) for kind, h, p in cases]
     rule = " ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in fits)
     verdict = " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in fits)
-    labels = ", ".join(f"'{x}'" for x in LISTED_LABELS)
+    digits = ", ".join(f"'{x}'" for x in LISTED_DIGITS)
     return f"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOW}') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
 SELECT page_id, host, path, CASE {rule} END AS rule,
-  CASE {verdict} WHEN list_has_any(string_split_regex(host, '[.-]'), [{labels}]) THEN 'block' ELSE 'allow' END AS verdict
+  CASE {verdict} WHEN host <> '' AND sha256(host)[1] IN ({digits}) THEN 'block' ELSE 'allow' END AS verdict
 FROM p"""
 
 
