@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, doc_columns, partitions
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def block_count(docs: DataFrame) -> int:

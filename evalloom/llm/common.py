@@ -49,14 +49,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder."""
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder; path: one that `folder` gave, for who wants to delete it later."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = path or folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that `written` made, once nothing that is still to be computed reads it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions: what a cluster sets in proportion to its data."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

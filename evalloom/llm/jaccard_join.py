@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import answered, asked, blocks_of, column, in_blocks, per_block_with, resolve, unpacked
-from .common import U64, cut, doc_columns, map_texts, mix, read, slices, windows, written
+from .common import U64, cut, doc_columns, folder, forget, map_texts, mix, read, slices, windows, written
 from .components import components
 from .wordbytes import Words
 
@@ -258,14 +258,17 @@ def similar_components(docs: DataFrame, length: int = SHINGLE, percent: int = PE
     docs = doc_columns(docs)
     prints = written(set_prints(docs, length), "prints")
     sets = prints.filter("n_shingles > 0 and doc_id is not null")
-    classes = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
+    # cut, so that the join below has an exchange of its own on either side, and Spark can split the rows of a large class
+    classes = cut(sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")))
     node_of = cut(sets.join(classes, ["set_a", "set_b"]).groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")))
     nodes = classes.select(F.col("node").alias("doc_id")).distinct()
-    rows = written(signature_rows(docs, nodes, length, percent), "signatures")
+    path = folder(docs.sparkSession, "signatures")
+    rows = written(signature_rows(docs, nodes, length, percent), "signatures", path)
     tight = (100 + percent) * F.col("s").cast("long") >= 2 * percent * F.col("n").cast("long")
     first = F.min(F.when(tight, F.struct("node", "n", "s")))
     hubs = rows.groupBy("key").agg(first.alias("hub"), F.min("node").alias("low"), F.max("node").alias("high")).filter("hub is not null and low < high")
     rows = cut(rows.join(hubs.select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("an"), F.col("hub.s").alias("as")), "key"))
+    forget(docs.sparkSession, path)
     near = rows.filter("a <> node").filter(may_link("a", "", percent)).groupBy("a", "node").count()
     pairs = cut(near.groupBy("node").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", F.col("node").alias("b")))
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")

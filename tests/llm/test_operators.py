@@ -40,16 +40,39 @@ def test_every_operator_takes_odd_rows_and_empty_tables(spark, docs):
         assert quality.keep(df).columns == df.columns
         assert substring_dedup.removed_words(df).count() == len(rows)
         assert jaccard_join.similar_components(df).count() == len(rows)
-        assert lm_score.scores(df, np.zeros((3, 1 << lm_score.BITS), np.float32)).count() == len(rows)
+        assert lm_score.scores(df, lm_score.train(df)).count() == len(rows)
         assert pii.pseudonymised(df).count() == len(rows)
         assert line_dedup.line_verdicts(df).count() == len(rows)
         assert line_dedup.dedup_lines(df).columns == df.columns
-        assert bpe.decode(bpe.encode(df)).filter("decoded <> cast(coalesce(text, '') as binary)").count() == 0
+        for coded in (bpe.decode(bpe.encode(df)), bpe.round_trip(df)):
+            assert coded.count() == len(rows) and coded.filter("decoded <> cast(coalesce(text, '') as binary)").count() == 0
         found = decontaminate.with_leaks(df, bench)
         assert found.count() == len(rows) and decontaminate.clean(df, bench).columns == df.columns
         assert {tuple(r.leaked_items) for r in found.collect()} <= {(), (3,)}
 
 
+def test_texts_above_one_slice(docs, spark):
+    """A text of more than SLICE_BYTES, with a repeat, personal data and a benchmark item at its end."""
+    item = prose(30, 31)
+    long = prose(60_000, 30)
+    long = "\n".join(long[i : i + 2000] for i in range(0, len(long), 2000))
+    long = "\n".join([long] * (common.SLICE_BYTES // len(long) + 1)) + f"\n{item}\nwrite to me@example.org"
+    assert len(long) > common.SLICE_BYTES
+    df = docs([(1, long), (2, item), (3, "short")])
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id: r.leaked_items for r in decontaminate.with_leaks(df, bench).collect()} == {1: [7], 2: [7], 3: []}
+    assert {r.doc_id: r.n_email for r in pii.pseudonymised(df).collect()} == {1: 1, 2: 0, 3: 0}
+    n = len(common.WORD.findall(long))
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.removed_words(df).collect()} == {1: (n, 0), 2: (30, 30), 3: (1, 0)}
+    assert {r.doc_id: r.n_words for r in quality.judge(df).collect()} == {1: n, 2: 30, 3: 1}
+    assert {r.doc_id: r.component_id for r in jaccard_join.similar_components(df).collect()} == {1: 1, 2: 2, 3: 3}
+    assert {r.doc_id: r.n_bytes for r in lm_score.scores(df, lm_score.train(df)).collect()} == {1: len(long), 2: len(item), 3: 5}
+    lines = long.split("\n")
+    assert {r.doc_id: len(r.removed) for r in line_dedup.line_verdicts(df).collect()} == {1: len(lines) - len(set(lines)), 2: 1, 3: 0}
+    bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path(byte_bpe.RANKS))
+    assert bpe.round_trip(df).filter("decoded <> cast(text as binary)").count() == 0
+
+
 def test_pipeline_registered():
     import __spark_entry__
 
@@ -70,17 +93,24 @@ def test_repeat_words_brute_force():
 
 
 def test_quality_rejects_junk_and_keeps_prose(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = {r.doc_id: r for r in quality.judge(df).collect()}
-    for r in df.collect():
-        g = got[r.doc_id]
-        if g.n_symbols > g.n_words and g.word_chars >= 200 and "|" not in r.text:
-            assert not g.kept
-        if g.n_symbols == 0 and not g.base_failed:
-            assert g.kept
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    got = quality.judge(df).join(df.select("doc_id", "text"), "doc_id").join(labels, "doc_id", "left").select("quality", "base_failed", "kept", F.col("text").contains(" | ").alias("menu")).collect()
+    share = lambda rows: sum(r.kept for r in rows) / len(rows)
+    assert share([r for r in got if r.quality == 1 and not r.base_failed]) > 0.995
+    assert share([r for r in got if r.quality == 0]) < 0.05
+    assert share([r for r in got if r.menu]) < 0.06
     assert quality.js_distances(np.array([1, 0]), np.array([[0, 5], [3, 0]])).tolist() == [1.0, 0.0]
 
 
+def test_junk_of_unknown_language_does_not_vouch_for_itself(spark):
+    r = random.Random(4)
+    plain = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = spark.createDataFrame([(-i, " ".join("".join(r.choice("#*$%&<>0123") for _ in range(6)) for _ in range(200)), r.choice((None, "xx"))) for i in range(1, 300)], "doc_id long, text string, lang string")
+    assert quality.judge(plain.unionByName(junk)).filter("doc_id < 0 and kept").count() == 0
+    assert quality.judge(junk).filter("kept").count() == 0
+
+
 # 2
 
 
@@ -148,19 +178,23 @@ def test_jaccard_join_brute_force(docs, length, percent):
 
 def test_signatures_lose_no_similar_pair():
     r = np.random.default_rng(3)
-    frequent = np.arange(30, dtype=np.uint64)
-    for _ in range(300):
+    met = 0
+    for i in range(600):
+        percent, frequent, long = ((85, 3, 400), (60, 3, 20), (34, 5, 400))[i % 3]
         x = np.unique(r.integers(0, 60, r.integers(1, 40))).astype(np.uint64)
         y = np.unique(np.concatenate((r.permutation(x)[: max(1, int(len(x) * 0.95))], r.integers(0, 60, 2).astype(np.uint64))))
+        held = (np.arange(60) % 7 + 2).astype(np.int64)
         sides = []
         for s in (x, y):
-            often = np.isin(s, frequent)
-            order = np.lexsort((s, often))
-            token = s[order]
-            _, alone, more = jaccard_join.prefixes(token, np.zeros(len(token), np.int64), often[order], np.array([len(token)]))
-            sides.append({*token[alone].tolist(), *(more.get(0, np.empty(0)).tolist())})
-        if jaccard_join.linked(x, y):
-            assert sides[0] & sides[1]
+            key, _, bound = jaccard_join.signatures(s, np.zeros(len(s), np.int64), held[s.astype(np.int64)], np.array([len(s)]), percent, frequent, long)
+            sides.append(dict(zip(key.tolist(), bound.tolist(), strict=True)))
+        if jaccard_join.linked(x, y, percent):
+            n, m = len(x), len(y)
+            small = sides[0] if n <= m else sides[1]
+            fit = [k for k in sides[0].keys() & sides[1].keys() if (100 + percent) * min(sides[0][k], sides[1][k]) >= percent * (n + m)]
+            assert any((100 + percent) * small[k] >= 2 * percent * min(n, m) for k in fit)
+            met += 1
+    assert met > 200
 
 
 def test_components(spark):
@@ -184,12 +218,34 @@ def test_chat_layouts_and_round_trip(spark):
     df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(records)] + [(8, "{"), (9, None), (10, '{"other": 1}')], "conv_id long, record string")
     got = {r.conv_id: r for r in chat.format_chats(df).collect()}
     assert [got[i].layout for i in (8, 9, 10)] == [None] * 3
+    assert [chat.read_back(got[i].formatted) for i in (8, 9, 10)] == [[("record", "{")], [], [("record", '{"other": 1}')]]
     for i in range(4):
         assert chat.read_back(got[i].formatted) == [("user", tricky), ("assistant", tricky)]
         a, b = got[i].loss_spans
         assert chat.unescape(got[i].formatted[a:b]) == tricky
-    joined = chat.canonical(json.dumps({"instruction": "do", "input": "this", "output": "done"}), {x.fingerprint: x for x in chat.LAYOUTS})
-    assert joined == ("instruction", [("user", "do\n\nthis"), ("assistant", "done")])
+    of = lambda x: chat.canonical(json.dumps(x), chat.Mappings())
+    turns = [("user", "hi"), ("assistant", "yes")]
+    assert of({"instruction": "do", "input": "this", "output": "done"}) == ("instruction", [("user", "do\n\nthis"), ("assistant", "done")])
+    assert of({"instruction": "hi", "output": "yes", "source": {"id": 3}}) == ("instruction", turns)
+    assert of({"system": "be", "prompt": "hi", "completion": "yes"}) == ("prompt_completion", [("system", "be"), *turns])
+    assert of({"prompt": "hi", "response": "yes", "score": 0.5}) == ("prompt", turns)
+    assert of({"id": 1, "messages": [{"role": "user", "content": "hi", "name": "x"}, {"role": "model", "content": "yes"}]}) == ("messages", turns)
+    assert of({"prompt": "p", "messages": [{"role": "user", "content": "hi"}, {"role": "gpt", "content": "yes"}]}) == ("messages", turns)
+    assert of({"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yes", "weight": 1}]}) == ("from_value", turns)
+    assert of({"turns": [{"role": "human", "text": "hi"}, {"role": None, "text": None}]}) == ("turns", [("human", "hi"), ("", "")])
+    assert of({"messages": []}) == ("messages", []) and of([1]) == (None, [("record", "[1]")])
+    assert of({"messages": [{"role": "user", "content": [{"text": "a"}]}]}) == ("messages", [("user", '[{"text": "a"}]')])
+
+
+def test_chat_takes_odd_rows_and_empty_tables(spark):
+    long = "é<[\\" * 1_200_000
+    rows = [(1, 2, "user", "b", 0), (1, 1, "assistant", None, 0), (1, 1, "assistant", None, 0), (1, None, None, "first", 0), (None, 0, "human", long, 0), (2, 0, "assistant", "</s>", 0)]
+    for some in (rows, []):
+        df = spark.createDataFrame(some, "conv_id long, turn long, role string, text string, record int")
+        made = chat.format_chats(chat.turn_records(df))
+        got = {x.conv_id: chat.read_back(x.formatted) for x in made.collect()}
+        assert got == ({1: [("", "first"), ("assistant", ""), ("assistant", ""), ("user", "b")], None: [("human", long)], 2: [("assistant", "</s>")]} if some else {})
+        assert {x.conv_id: (x.n_turns, x.loss_chars) for x in chat.digest(made).collect()} == ({1: (4, 0), None: (1, 0), 2: (1, 4)} if some else {})
 
 
 # 5
@@ -207,15 +263,115 @@ def test_lm_score_base_and_learning(spark):
         assert (g.n_tokens, g.n_known, g.train_tokens, g.held_out) == (len(x), sum(w in counts for w in x), total, zlib.crc32(str(d).encode()) % 7 == 2)
         assert math.isclose(g.base_score, sum(math.log10((counts[w] + 1) / (total + len(counts) + 1)) for w in x), rel_tol=1e-9)
     held = [g for g in got.values() if g.held_out]
-    untrained = lm_score.scores(df, np.zeros((3, 1 << lm_score.BITS), np.float32)).filter("held_out").agg(F.sum("bits")).first()[0]
+    none = np.zeros((256, 256), np.int64)
+    untaught = lm_score.Model(lm_score.prefix_codes(none), tuple(np.zeros(1 << b, np.int8) for b in (16, *lm_score.TABLE_BITS)), lm_score.TABLE_BITS)
+    untrained = lm_score.scores(df, untaught).filter("held_out").agg(F.sum("bits")).first()[0]
     assert -sum(g.score for g in held) / math.log10(2) < 0.7 * untrained
 
 
+def scalar_bits(rows):
+    """Bits of each text by the definition, one decision after the other."""
+    full = (1 << 32) - 1
+    pairs = np.zeros((256, 256), np.int64)
+    for d, t in rows:
+        if not lm_score.held_out(d):
+            for x, y in zip([0, *t.encode()], [*t.encode(), 255], strict=True):
+                pairs[x, y] += 1
+    place, length, node, bit, gate = lm_score.prefix_codes(pairs)
+
+    def slots(data):
+        for i, byte in enumerate(data):
+            one, two, three = (data[i - k] if i >= k else 0 for k in (1, 2, 3))
+            word = next(j for j in range(i, -1, -1) if j == 0 or data[j - 1] <= 32)
+            spelled = sum((x + 7) * pow(0x4F6CDD1D, k + 1, 1 << 32) for k, x in enumerate(data[word:i]))
+            out = []
+            for c in ((one | two << 8 | three << 16) + (1 << 24), spelled * 0x85EBCA6B):
+                c = c * 0xC2B2AE35 & full
+                out.append(c ^ c >> 15)
+            p = 256 * one + byte
+            for d in range(place[p], place[p] + length[p]):
+                yield i, d, [int(node[d])] + [((c ^ int(node[d]) * 0x9E3779B1 & full) * 0x27D4EB2F & full) >> (32 - b) for c, b in zip(out, lm_score.TABLE_BITS, strict=True)]
+
+    def segments(text):
+        """context, start, end, the segment and its fingerprint, for each."""
+        words = lm_score.Words(pa.array([text]), lower=True)
+        found, h, data = lm_score.Segments(words), words.hashes.tolist(), text.encode()
+        ends = (words.starts + words.lengths).tolist()
+        anchors = [i for i in range(2, len(h)) if int(common.mix(np.array([h[i - 2] * 3 + h[i - 1] & (1 << 64) - 1], np.uint64))[0]) % lm_score.ANCHOR == 0]
+        assert len(anchors) == len(found.context)
+        for k, i in enumerate(anchors):
+            last = (anchors[k + 1] if k + 1 < len(anchors) else len(h)) - 1
+            yield (h[i - 2], h[i - 1]), ends[i - 1], ends[last], (data[ends[i - 1] : ends[last]], last == len(h) - 1), int(found.print[k])
+
+    counts, follow = defaultdict(lambda: [0, 0]), defaultdict(Counter)
+    for d, t in rows:
+        if not lm_score.held_out(d):
+            for _, x, s in slots([*t.encode(), 255]):
+                for k in enumerate(s):
+                    counts[k][int(bit[x])] += 1
+            for c, _, _, x, p in segments(t):
+                follow[c][p, x] += 1
+    odds = {k: float(np.clip(np.round(8 * np.log((b + 0.4) / (a + 0.4))), -127, 127)) / 8 for k, (a, b) in counts.items()}
+    out = {}
+
+    def walk(stream, gates, begin, rate, step):
+        weights, cost, at = [list(begin) for _ in range(gates)], 0.0, None
+        for r, g, y, inputs in stream:
+            if r // step != at:
+                at, now = r // step, [list(w) for w in weights]
+            z = sum(w * x for w, x in zip(now[g], [*inputs, 1.0], strict=True))
+            cost += math.log1p(math.exp(-abs(z))) + max(z, 0) - y * z
+            error = y - 1 / (1 + math.exp(-z))
+            for i, x in enumerate([*inputs, 1.0]):
+                weights[g][i] += rate * error * x
+        return cost, weights
+
+    for d, t in rows:
+        flags, skip = [], set()
+        for c, start, end, x, _ in segments(t):
+            best = min(follow[c].items(), key=lambda v: (-v[1], v[0][0]), default=(None, 0))
+            if best[1] > 1:
+                flags.append((len(flags), 0, float(best[0][1] == x), [math.log((best[1] + 0.4) / (sum(follow[c].values()) - best[1] + 0.4))]))
+                skip |= set(range(start, end)) if best[0][1] == x else set()
+        left = {i: k for k, i in enumerate(i for i in range(len(t.encode()) + 1) if i not in skip)}
+        stream = [(left[i], int(gate[x]), float(bit[x]), [odds.get(k, 0.0) for k in enumerate(s)]) for i, x, s in slots([*t.encode(), 255]) if i in left]
+        cost, weights = walk(stream, lm_score.GATES, lm_score.BEGIN, lm_score.RATE, lm_score.STEP)
+        out[d] = (cost + walk(flags, 1, lm_score.SEGMENT_BEGIN, lm_score.SEGMENT_RATE, lm_score.SEGMENT_STEP)[0]) / math.log(2), weights, len(flags)
+    return out
+
+
+def test_lm_score_brute_force(docs):
+    r = random.Random(6)
+    base = [prose(120, i) for i in range(8)]
+    rows = [(i, " ".join(r.choice(base).split()[: r.choice((5, 60, 120))]) if i % 3 else prose(r.randint(0, 50), i + 99)) for i in range(40)] + [(50, ""), (51, "É\n b")]
+    want = scalar_bits(rows)
+    df = docs(rows)
+    got = {x.doc_id: x.bits for x in lm_score.scores(df, lm_score.train(df)).collect()}
+    assert all(math.isclose(got[d], want[d][0], rel_tol=1e-4, abs_tol=1e-3) for d, _ in rows)
+    assert sum(n > 0 for _, _, n in want.values()) > 5
+    for d, t in rows:
+        if 100 <= len(t) <= 400 and not want[d][2]:  # weights move within a short text
+            assert max(abs(w - b) for g in want[d][1] for w, b in zip(g, lm_score.BEGIN, strict=True)) > 0.02
+
+
+def test_lm_weights_refined_online_beat_fixed_ones(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = lm_score.train(common.doc_columns(rows))
+    held = [lm_score._bytes(t) for d, t in rows.collect() if lm_score.held_out(d)]
+    online = lm_score.mixed_bits(held, model).sum()
+    monkeypatch.setattr(lm_score, "RATE", 0.0)
+    assert online < 0.99 * lm_score.mixed_bits(held, model).sum()
+
+
 def test_lm_code_is_a_probability():
-    place, length, node, bit, gate = lm_score.code()
-    assert math.isclose(sum(2.0 ** -int(n) for n in length), 1.0)
-    codes = {tuple(zip(node[p : p + n].tolist(), bit[p : p + n].tolist(), strict=True)) for p, n in zip(place, length, strict=True)}
-    assert len(codes) == 256
+    pairs = np.random.default_rng(2).integers(0, 50, (256, 256)) ** 3
+    pairs[7] = 0
+    place, length, node, bit, gate = lm_score.prefix_codes(pairs)
+    for before in (0, 7, 255):
+        own = slice(256 * before, 256 * before + 256)
+        assert math.isclose(sum(2.0 ** -int(n) for n in length[own]), 1.0)
+        assert len({tuple(zip(node[p : p + n].tolist(), bit[p : p + n].tolist(), strict=True)) for p, n in zip(place[own], length[own], strict=True)}) == 256
+        assert {int(x) >> 8 for x in node[place[256 * before] : place[256 * before] + 3]} == {before}
 
 
 # 6
@@ -229,6 +385,61 @@ def test_feistel_is_a_permutation():
         assert size < 100 or image != [pii.feistel(x, size, b"other", "t") for x in range(size)]
 
 
+def test_addresses_of_any_length_end_and_come_back():
+    for n in range(1, 65):
+        for local in ("a" * n, "9" * n, ("aZ3." * 16)[: n - 1] + "x"):
+            new = pii.pseudonymise(f"{local}@example.org", b"key")[0].split("@")[0]
+            kinds = lambda x: ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else c for c in x]
+            assert kinds(new) == kinds(local)
+            size = 26 ** sum(c.isalpha() for c in local) * 10 ** sum(c.isdigit() for c in local)
+            assert pii.feistel(_mixed(new.lower()), size, b"key", "email", back=True) == _mixed(local.lower())
+    assert pii.pseudonymise("Bob.Lee@x.com", b"k")[0].lower() == pii.pseudonymise("bob.lee@x.com", b"k")[0]
+
+
+def _mixed(text):
+    """The letters and digits of a lower-case text as one number."""
+    x = 0
+    for c in text:
+        if c.isascii() and c.isalpha():
+            x = x * 26 + ord(c) - 97
+        elif c.isdigit():
+            x = x * 10 + int(c)
+    return x
+
+
+def test_only_validated_numbers_change():
+    for x in ("order 1234567890123 of 20240101000000", "4111111111111112", "GB82 WEST 1234 5698 7654 33", "2023-02-29", "256.1.1.1"):
+        assert pii.pseudonymise(x, b"key")[0] == x
+    for x in ("2125550100", "9998887777", "1234567890", "5551234567"):
+        new = pii._nanp(x, b"key")
+        assert (new[0] > "1" and new[3] > "1") == (x[0] > "1" and x[3] > "1")
+    assert len({pii._nanp(f"21255501{i:02d}", b"key") for i in range(100)}) == 100
+
+
+def test_pseudonyms_brute_force(spark):
+    """Values found by simple means in the given texts, one kind after the other, and their images taken back."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text rlike '[0-9@]'").select("doc_id", "text")
+    got = {x.doc_id: x for x in pii.pseudonymised(rows).collect()}
+    seen = Counter()
+    for d, t in rows.collect():
+        g, digits = got[d], lambda x: "".join(filter(str.isdigit, x))
+        olds, news = t.split(), g.text.split()
+        assert len(olds) == len(news)
+        for old, new in zip(olds, news, strict=True):
+            a, b = old.strip(".,;:()"), new.strip(".,;:()")
+            if "@" in a:
+                assert a.split("@")[1] == b.split("@")[1] and pii.feistel(_mixed(b.split("@")[0].lower()), 26 ** sum(map(str.isalpha, a.split("@")[0])) * 10 ** len(digits(a.split("@")[0])), pii.QUERY_KEY, "email", back=True) == _mixed(a.split("@")[0].lower())
+                seen["email"] += 1
+            elif a.count(".") == 3 and all(x.isdigit() and int(x) < 256 for x in a.split(".")):
+                number = lambda x: int.from_bytes(bytes(map(int, x.split("."))), "big")
+                assert pii.feistel(number(b), 2**32, pii.QUERY_KEY, "ip", back=True) == number(a)
+                seen["ip"] += 1
+        if not g.n_secret + g.n_ip + g.n_date:  # the images of the others have as many characters, of the same kinds
+            assert all(x == y or x.isdigit() == y.isdigit() and x.isalpha() == y.isalpha() for x, y in zip(t, g.text, strict=True))
+        assert (g.n_found > 0) == (t != g.text)
+    assert seen["email"] > 20
+
+
 def test_pseudonyms_keep_formats_and_links():
     card = "411111111111111" + pii.luhn_digit("411111111111111")
     text = f"mail ab.12@mail.example.com, card {card}, 4111-1111-1111-1111, +1 (212) 555-0100, ip 10.0.0.255, on 2024-02-29 or 31/12/1999, GB82 WEST 1234 5698 7654 32, no 2024-02-30, 300.1.1.1, v 1.2"
@@ -268,13 +479,24 @@ def test_cascade_is_exact(spark):
     listed = set(keys[::7])
     df = spark.createDataFrame([(k, k in listed) for k in keys], "key string, listed boolean")
     for most in (url_filter.MOST_BITS, 2000):
-        held = url_filter.cascades(df, most)
-        assert (len(held) > 1) == (most == 2000)
-        got = {r.key for r in url_filter.with_listed(df, held, "key").filter("is_listed").collect()}
+        assert (url_filter.part_count(df, most) > 1) == (most == 2000)
+        got = {r.key for r in url_filter.with_listed(df.select("key"), df, "key", most_bits=most).filter("is_listed").collect()}
         assert got == listed
     assert url_filter.build_cascade(df.filter("not listed")) == []
 
 
+def test_urls_against_a_list(spark):
+    urls = [(1, "http://A.net/x"), (2, None), (3, "no scheme"), (4, "https://b.net?q"), (4, "https://b.net?q"), (5, "http://sub.example.org/es/x"), (6, "http://example.org/en/1"), (7, "http://x.com/de/"), (None, "ftp://a.net#f"), (8, "http://")]
+    want = {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "block", None: "block", 8: "allow"}
+    pages = spark.createDataFrame([(i, u, "h", 1) for i, u in urls], "page_id long, url string, host string, key int")
+    listed = spark.createDataFrame([("a.net",), ("a.net",), (None,), ("unseen.net",), ("",), ("sub.example.org",)], "host string")
+    got = url_filter.judge_urls(pages, listed).collect()
+    assert len(got) == len(urls) and {r.page_id: r.verdict for r in got} == want
+    assert {r.page_id: r.rule for r in got}[5] == "example.org/es/"
+    assert url_filter.judge_urls(pages.limit(0), listed).count() == 0
+    assert {r.verdict for r in url_filter.judge_urls(pages.filter("page_id in (1, 4)"), listed.limit(0)).collect()} == {"allow"}
+
+
 # 8
 
 
@@ -310,13 +532,15 @@ def test_bit_parallel_distance(spark):
 
 def test_line_dedup_brute_force(docs):
     r = random.Random(8)
-    base = [prose(9, i) for i in range(12)]
-    rows = [(i, "\n".join(edited(r.choice(base), r.choice((0, 0, 1, 2, 3, 4)), r) for _ in range(r.randint(1, 5)))) for i in range(25)]
+    base = [prose(9, i) for i in range(12)] + ["short", "short line", "é", "", " \t"]
+    rows = [(i, "\n".join(edited(r.choice(base), r.choice((0, 0, 1, 2, 3, 4)), r) for _ in range(r.randint(1, 8)))) for i in range(40)]
     lines = [(d, n, x.encode()) for d, t in rows for n, x in enumerate(t.split("\n"))]
     want = defaultdict(list)
     for i, (d, n, x) in enumerate(lines):
-        if len(x) >= line_dedup.MIN_BYTES and any(len(y) >= line_dedup.MIN_BYTES and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for _, _, y in lines[:i]):
+        near = lambda y: len(y) >= line_dedup.MIN_BYTES <= len(x) and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2  # noqa: B023, E731
+        if x.strip(b" \t\n\x0b\x0c\r") and any(x == y or near(y) for _, _, y in lines[:i]):
             want[d].append(n)
+    assert {len(lines[i][2]) < line_dedup.MIN_BYTES for i in range(len(lines)) if lines[i][1] in want[lines[i][0]]} == {True, False}
     df = docs(rows)
     assert {x.doc_id: x.removed for x in line_dedup.line_verdicts(df).collect()} == {d: want[d] for d, _ in rows}
     kept = {d: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[d]) for d, t in rows}
@@ -327,13 +551,15 @@ def test_line_dedup_brute_force(docs):
 
 
 def test_byte_bpe_equals_tiktoken(spark):
-    ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.RANKS))
-    coder = byte_bpe.Coder(byte_bpe.model_proto(ranks), np.array(sorted(ranks.values()), np.int32), public_tokenizers.PATTERN)
+    ranks = dict(sorted(byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.RANKS)).items(), key=lambda x: x[1]))
+    coder = byte_bpe.Coder(byte_bpe.model_proto(ranks), np.array([*ranks.values()], np.int32), public_tokenizers.PATTERN, [*ranks])
     theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(9)
     texts = [x or "" for x in ODD] + ["".join(chr(r.choice((r.randrange(32, 127), r.randrange(32, 0x250), r.randrange(0x400, 0x450), 32, 10))) for _ in range(200)) for _ in range(60)]
-    ours = [np.frombuffer(coder.encode(t), np.int32).tolist() for t in texts]
+    ours = coder.encode(texts).to_pylist()
     assert ours == [theirs.encode_ordinary(t) for t in texts]
+    coder.held = byte_bpe.MEMO_BYTES + 1  # begins anew
+    assert coder.encode(texts[:9]).to_pylist() == ours[:9] and coder.held < byte_bpe.MEMO_BYTES
     assert [x.as_py() for x in coder.decode(pa.array(ours, pa.list_(pa.int32())))] == [t.encode() for t in texts]
     got = byte_bpe.op9_byte_bpe(spark, "/root/testdata/sf0.001").collect()
     text = {x.doc_id: x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
@@ -368,10 +594,7 @@ def test_decontamination_brute_force(spark, docs):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for chars in (decontaminate.PART_CHARS, 400):
         got = {x.doc_id: x.leaked_items for x in decontaminate.with_leaks(docs(rows), bench, part_chars=chars).collect()}
-        if chars > 400:
-            assert got == want and sum(map(len, want.values())) > 10
-        else:  # weights follow the part, so only exact leaks are the same
-            assert all(set(want[d]) >= {50} <= set(got[d]) for d in (7,))
+        assert got == want and sum(map(len, want.values())) > 10
 
 
 def test_leaks_do_not_depend_on_the_parts(spark, docs):
@@ -395,11 +618,31 @@ def test_leaks_do_not_depend_on_the_parts(spark, docs):
 
 def test_hamming_blocks_miss_nothing():
     r = np.random.default_rng(1)
-    near = decontaminate.near_bytes(decontaminate.RADIUS // decontaminate.BLOCKS)
-    for _ in range(500):
-        a = r.integers(0, 2**63, dtype=np.int64).view(np.uint64)
-        b = a
-        for i in r.permutation(64)[: r.integers(0, decontaminate.RADIUS + 1)]:
-            b = b ^ np.uint64(1 << int(i))
-        x, y = (np.array([v], np.uint64).view(np.uint8) for v in (a, b))
-        assert near[x, y].any()
+    prints = r.integers(0, 2**63, 3000, dtype=np.int64).view(np.uint64)
+    sizes = np.arange(3000) % 3
+    near = prints[:600].copy()
+    for i in range(len(near)):
+        for b in r.permutation(64)[: r.integers(0, decontaminate.RADIUS + 4)]:
+            near[i] ^= np.uint64(1 << int(b))
+    index = decontaminate.HammingIndex(prints, sizes)
+    for size in range(3):
+        want = {(i, j) for i in range(len(near)) for j in np.flatnonzero((np.bitwise_count(near[i] ^ prints) <= decontaminate.RADIUS) & (sizes == size)).tolist()}
+        assert {tuple(x) for x in index.near(near, size).tolist()} == want and len(want) > 100
+    assert decontaminate.HammingIndex(prints[:0], sizes[:0]).near(near, 1).shape == (0, 2)
+
+
+def test_radius_reaches_similar_windows():
+    """Recall of the index against exact search, for windows of a similarity from 0.8 on, and how little else it lets through."""
+    r = random.Random(3)
+    items = [(i, prose(r.randint(12, 60), 500 + i)) for i in range(120)]
+    index = decontaminate.Items(items)
+    reached = []
+    for k, (_, text) in enumerate(items):
+        for _ in range(12):
+            words = text.split()
+            for _ in range(r.choice((1, 1, 2))):
+                words[r.choice((r.randrange(len(words)), r.choice((0, 1, -1, -2))))] = prose(1, r.random())
+            s = decontaminate.shingles(" ".join(words))
+            if 0.8 <= index.similarity(Counter(s.tolist()), k) < 1:
+                reached.append([0, k] in index.index.near(index.fingerprints(s, len(s)), len(s)).tolist())
+    assert len(reached) > 200 and np.mean(reached) >= 0.9
