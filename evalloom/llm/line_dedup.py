@@ -1,17 +1,17 @@
 """Line dedup by a segment-partition edit join, with DataFrame functions only.
 
-A line is removed if an earlier line, by (doc_id, line number), is equal to it or within MAX_EDITS edits. Lines are judged on the input. Edits are
-counted on UTF-8 bytes. Lines of fewer than MIN_BYTES bytes are left alone: short ones are alike by chance.
+A line is removed if an earlier line, by (doc_id, line number), is equal to it or, where both have MIN_BYTES bytes at least, within MAX_EDITS edits.
+Lines are judged on the input. Edits are counted on UTF-8 bytes. Shorter lines are alike by chance within two edits, so of those equal ones alone
+are removed. Blank lines (of spaces and U+0009 to U+000D) are never removed.
 
-Equal lines are one row, of their first place. A line of n bytes is cut into MAX_EDITS + 1 even segments; by the pigeonhole principle a line within
-MAX_EDITS edits holds one of them unchanged, at a place that is shifted by no more edits than are left on either side. So each line is
+Equal lines are one row, of their first place; 96 bits of hash decide equality. A line of n bytes is cut into MAX_EDITS + 1 even segments; by the pigeonhole principle a
+line within MAX_EDITS edits holds one of them unchanged, at a place that is shifted by no more edits than are left on either side. So each line is
 indexed under its own segments (with length and segment number), and probes, for each length from its own down to MAX_EDITS less, the
-substrings at those places. Pairs that meet and whose
-sketches (counts of letters by eight buckets, part of a line's key) allow so few edits are verified on what remains between their common prefix and suffix, with a bit vector of the
-2 * MAX_EDITS + 1 diagonals for each number of edits.
+substrings at those places. Pairs that meet and whose sketches (counts of sixteen letters) allow so few edits are verified on what remains between
+their common prefix and suffix, with a bit vector of the 2 * MAX_EDITS + 1 diagonals for each number of edits.
 
 Nulls: a null text has one empty line; a null doc_id comes before all others. Equal lines of the same number in rows that share a doc_id are at one place. Empty tables
-give no rows.
+give no rows. Further columns, however named, are kept by dedup_lines.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read
 
 MAX_EDITS, MIN_BYTES = 2, 32
 
@@ -44,7 +44,7 @@ def index_keys(line: Column, n: Column, edits: int = MAX_EDITS) -> Column:
 
 
 def probe_keys(line: Column, n: Column, edits: int = MAX_EDITS, least: int = MIN_BYTES) -> Column:
-    """All probes but those of the same length and place, which are the line's own index keys."""
+    """All probes but those of the same length and place, which are the line's own index keys; null for lengths below the least."""
     keys = []
     for less in range(edits + 1):
         length = n - less
@@ -53,29 +53,28 @@ def probe_keys(line: Column, n: Column, edits: int = MAX_EDITS, least: int = MIN
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 if less or shift:
                     keys.append(F.when(length >= least, _key(line, length, i, start + shift, size)))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull()) if keys else F.array().cast("array<long>")
+    return F.array(*keys) if keys else F.array().cast("array<long>")
 
 
-#: Letters by bucket of the sketch: eight groups of about the same frequency.
-BUCKETS = ("ezd", "tjl", "aqu", "oxc", "nkm", "ivf", "sbp", "rhgwy")
+#: Frequent letters of European texts.
+LETTERS = "entairsoludcmpgh"
+#: The characters of a blank line.
+BLANK = " \t\n\x0b\x0c\r"
 
 
-def sketch(line: Column) -> Column:
-    """How often a line holds characters of each bucket, modulo 16, as eight times four bits."""
-
-    def packed(put: Column) -> Column:
-        counts = [(F.length(put) - F.length(F.replace(put, F.lit(str(i)), F.lit("")))).bitwiseAND(F.lit(15)).cast("long") for i in range(len(BUCKETS))]
-        return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(c, 4 * i) for i, c in enumerate(counts)))
-
-    return let(F.translate(line, "".join(BUCKETS), "".join(str(i) * len(b) for i, b in enumerate(BUCKETS))), packed)
+def sketch(line: Column, low: Column) -> Column:
+    """How often a line holds each of LETTERS, modulo 4, as sixteen times two bits, above the 32 bits of low."""
+    n = F.octet_length(line)
+    counts = ((n - F.octet_length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(3)).cast("long") for c in LETTERS)
+    return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(c, 32 + 2 * i) for i, c in enumerate(counts)), low)
 
 
 def sketches_allow(a: Column, b: Column, edits: int) -> Column:
-    """An edit takes one character from a bucket and puts one into another, at most; differences are taken around 16, so never too large."""
+    """An edit takes away one letter and brings one, at most; differences are taken around 4, so never too large."""
     total = F.lit(0).cast("long")
-    for i in range(len(BUCKETS)):
-        up = (F.shiftright(a, 4 * i) - F.shiftright(b, 4 * i)).bitwiseAND(F.lit(15))
-        total = total + F.least(up, 16 - up)
+    for i in range(len(LETTERS)):
+        up = (F.shiftright(a, 32 + 2 * i) - F.shiftright(b, 32 + 2 * i)).bitwiseAND(F.lit(3))
+        total = total + F.least(up, 4 - up)
     return total <= 2 * edits
 
 
@@ -155,24 +154,29 @@ def _bit(state: Column, base: int, offset: Column, edits: int) -> Column:
 
 
 def similar_pairs(lines: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYTES) -> DataFrame:
-    """lines: h, g (a line's key; g is its sketch), place, line (binary), each line once. The pairs within `edits`, as keys and places of both."""
-    n = F.octet_length("line")
-    # place is kept, so that all uses of lines share one exchange
-    known = lines.filter(F.col("place").isNotNull())
-    index = known.select(F.explode(index_keys(F.col("line"), n, edits)).alias("key"), "h", "g")
-    probes = known.select(F.explode(probe_keys(F.col("line"), n, edits, least)).alias("key"), F.col("h").alias("hb"), F.col("g").alias("gb"))
-    again = index.select("key", F.col("h").alias("hb"), F.col("g").alias("gb"))
-    near = sketches_allow(F.col("g"), F.col("gb"), edits)
-    differ = ((F.col("h") != F.col("hb")) | (F.col("g") != F.col("gb"))) & near
-    met = probes.join(index.hint("shuffle_hash"), "key").filter(differ)
-    equal_length = again.join(index.hint("shuffle_hash"), "key").filter((F.struct("h", "g") < F.struct("hb", "gb")) & near)
-    low = F.struct("h", "g") < F.struct("hb", "gb")
-    ends = [F.when(low, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("h", "hb", "ha"), ("g", "gb", "ga"), ("hb", "h", "hb"), ("gb", "g", "gb"))]
-    pairs = met.unionByName(equal_length).select(*ends).distinct()
-    a = known.select(F.col("h").alias("ha"), F.col("g").alias("ga"), F.col("place").alias("place_a"), F.col("line").alias("a"))
-    b = known.select(F.col("h").alias("hb"), F.col("g").alias("gb"), F.col("place").alias("place_b"), F.col("line").alias("b"))
-    both = pairs.join(a, ["ha", "ga"]).join(b, ["hb", "gb"]).filter(F.abs(F.octet_length("a") - F.octet_length("b")) <= edits)
-    return both.filter(similar(F.col("a"), F.col("b"), edits)).select("ha", "ga", "place_a", "hb", "gb", "place_b")
+    """lines: h, c (a line's hashes), place, m (how often it stands), line, each line once. The pairs within `edits`, as hashes and places of both."""
+    # place and m are kept, so that all uses of lines share one exchange
+    known = lines.filter(F.col("place").isNotNull() & (F.col("m") > 0) & (F.octet_length("line") >= least))
+    bytes_, n = F.col("line").cast("binary"), F.octet_length("line")
+    drawn = known.withColumn("g", sketch(F.col("line"), F.col("c")))  # before the rows of a line are made, so once for each
+
+    def rows(keys: Column, h: str, g: str) -> DataFrame:
+        return drawn.select(F.explode(keys).alias("key"), F.col("h").alias(h), F.col("g").alias(g))
+
+    # alike but for names, so that both share one exchange
+    index, again = rows(index_keys(bytes_, n, edits), "ha", "ga"), rows(index_keys(bytes_, n, edits), "hb", "gb")
+    probes = rows(probe_keys(bytes_, n, edits, least), "hb", "gb").filter("key is not null")
+    near = sketches_allow(F.col("ga"), F.col("gb"), edits)
+    met = probes.join(index.hint("shuffle_hash"), "key").filter((F.col("ha") != F.col("hb")) & near)
+    equal_length = again.join(index.hint("shuffle_hash"), "key").filter((F.col("ha") < F.col("hb")) & near)
+    low = F.col("ha") < F.col("hb")
+    each = [F.when(low, F.col(x)).otherwise(F.col(y)) for x, y in (("ha", "hb"), ("ga", "gb"), ("hb", "ha"), ("gb", "ga"))]
+    hash_ = lambda g: g.bitwiseAND(F.lit((1 << 32) - 1))
+    pairs = met.unionByName(equal_length).select(each[0].alias("ha"), hash_(each[1]).alias("ca"), each[2].alias("hb"), hash_(each[3]).alias("cb")).distinct()
+    # joined on all columns that lines are grouped by, so that lines are not exchanged again
+    ends = {x: known.select(F.col("h").alias(f"h{x}"), F.col("c").alias(f"c{x}"), F.col("place").alias(f"place_{x}"), F.col("line").alias(x)) for x in "ab"}
+    both = pairs.join(ends["a"], ["ha", "ca"]).join(ends["b"], ["hb", "cb"]).filter(F.abs(F.octet_length("a") - F.octet_length("b")) <= edits)
+    return both.filter(similar(F.col("a").cast("binary"), F.col("b").cast("binary"), edits)).drop("a", "b")
 
 
 def _documents(docs: DataFrame, *more: str) -> DataFrame:
@@ -185,18 +189,18 @@ def removed_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYTE
     """d, t, removed (line numbers from 0, in order) of the documents that lose a line."""
     occurring = (
         _documents(docs)
-        .select("d", "t", F.posexplode("lines").alias("no", "text"))
-        .filter(F.octet_length("text") >= least)
-        .select("d", "t", "no", F.col("text").cast("binary").alias("line"), F.xxhash64("text").alias("h"), sketch(F.col("text")).alias("g"))
+        .select("d", "t", F.posexplode("lines").alias("no", "line"))
+        .filter(F.octet_length(F.btrim("line", F.lit(BLANK))) > 0)
+        .select("d", "t", "no", "line", F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("c"))
     )
-    place = F.struct("d", "no").alias("place")
-    lines = occurring.groupBy("h", "g").agg(F.min(place).alias("place"), F.first("line").alias("line"))
+    lines = occurring.groupBy("h", "c").agg(F.min(F.struct("d", "no")).alias("place"), F.first("line").alias("line"), F.count("*").alias("m"))
     pairs = similar_pairs(lines, edits, least)
     later = F.col("place_a") > F.col("place_b")
-    late = pairs.select(F.when(later, F.col("ha")).otherwise(F.col("hb")).alias("h"), F.when(later, F.col("ga")).otherwise(F.col("gb")).alias("g")).distinct().withColumn("late", F.lit(True))
-    # line is kept, so that this reads the exchange of lines once more
-    firsts = lines.filter(F.col("line").isNotNull()).select("h", "g", "place").join(late, ["h", "g"], "left")
-    gone = occurring.select("d", "t", "no", "h", "g").join(firsts, ["h", "g"]).filter(F.col("late").isNotNull() | (F.struct("d", "no") != F.col("place")))
+    late = pairs.select(F.when(later, F.col("ha")).otherwise(F.col("hb")).alias("h"), F.when(later, F.col("ca")).otherwise(F.col("cb")).alias("c")).distinct().withColumn("late", F.lit(True))
+    # line is kept, so that this reads the exchange of lines once more. What is cut holds those lines alone of which some place goes; as it has no
+    # grouping left, Spark can split the places of a very common line in the join
+    firsts = lines.filter(F.col("line").isNotNull()).select("h", "c", "place", "m").join(late, ["h", "c"], "left").filter("late is not null or m > 1")
+    gone = occurring.select("d", "t", "no", "h", "c").join(cut(firsts.drop("m")), ["h", "c"]).filter(F.col("late").isNotNull() | (F.struct("d", "no") != F.col("place")))
     return gone.groupBy("d", "t").agg(F.array_sort(F.collect_set("no")).alias("removed"))
 
 
@@ -225,8 +229,8 @@ SQL = {
     "op8_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 o AS (SELECT doc_id, unnest(range(len(lines))) AS no, unnest(lines) AS line FROM d),
-l AS (SELECT line, strlen(line) AS n, min((doc_id, no)) AS place FROM o WHERE strlen(line) >= {MIN_BYTES} GROUP BY line),
-late AS (SELECT DISTINCT b.line FROM l a JOIN l b ON a.n BETWEEN b.n - {MAX_EDITS} AND b.n + {MAX_EDITS} AND a.place < b.place AND levenshtein(a.line, b.line) <= {MAX_EDITS}),
+l AS (SELECT line, strlen(line) AS n, min((doc_id, no)) AS place FROM o WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line),
+late AS (SELECT DISTINCT b.line FROM l a JOIN l b ON a.n >= {MIN_BYTES} AND b.n >= {MIN_BYTES} AND a.n BETWEEN b.n - {MAX_EDITS} AND b.n + {MAX_EDITS} AND a.place < b.place AND levenshtein(a.line, b.line) <= {MAX_EDITS}),
 g AS (SELECT o.doc_id, o.no FROM o JOIN l USING (line) WHERE l.place <> (o.doc_id, o.no) OR line IN (SELECT line FROM late)),
 r AS (SELECT doc_id, count(*) AS n, string_agg(no, ',' ORDER BY no) AS removed FROM g GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, coalesce(r.removed, '') AS removed_lines
