@@ -4,7 +4,10 @@ Each byte b of a token becomes the character U+0100 + b, so that a piece is a wo
 score is minus its rank, the normaliser is the identity. sentencepiece then joins the neighbouring pair of highest
 score first, which is the rank order of byte-level BPE. Decoding is the inverse mapping of the pieces.
 
-Nulls: a null text is encoded as the empty text. Empty text: no ids, empty bytes. Repeated rows give repeated results.
+Encoding and decoding go through one worker, which decodes by a table of the pieces' bytes and remembers the ids of pre-tokens up to MEMO_BYTES.
+
+Nulls: a null text is encoded as the empty text. Empty text: no ids, empty bytes. Repeated rows give repeated results, an empty table none. Further
+columns are kept; one that is named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from .common import doc_columns, read, slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 FIRST = 0x100
-#: Pre-tokens whose ids a worker remembers.
-MEMO = 300_000
+#: Bytes of pre-tokens whose ids a worker remembers, the upkeep of each included.
+MEMO_BYTES, UPKEEP = 32 << 20, 150
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -75,32 +78,37 @@ def model_proto(ranks: dict[bytes, int]) -> bytes:
 
 
 class Coder:
-    """A worker's encoder and decoder of one model."""
+    """A worker's encoder and decoder of one model; pieces: the model's pieces by id, as bytes."""
 
-    def __init__(self, proto: bytes, order: np.ndarray, pattern: str):
+    def __init__(self, proto: bytes, order: np.ndarray, pattern: str, pieces: list[bytes]):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.order = order.astype(np.int32)
         self.find = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
+        self.held = 0
         tokens: list[bytes] = [b""] * (int(order.max(initial=-1)) + 1)
-        for i, rank in enumerate(order):
-            tokens[rank] = to_bytes(self.model.id_to_piece(i + 1))
+        for rank, piece in zip(order.tolist(), pieces, strict=True):
+            tokens[rank] = piece
         self.tokens = pa.array(tokens, pa.large_binary())
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, as little-endian 32-bit integers."""
-        parts, memo = self.find(text), self.memo
-        if fresh := set(parts).difference(memo):
-            if len(memo) > MEMO:
-                memo.clear()
-                fresh = set(parts)
-            new = list(fresh)
-            pieces = [to_piece(p.encode()) for p in new]
-            for p, ids in zip(new, self.model.encode(pieces, out_type=int, num_threads=1), strict=True):
+    def encode(self, texts: list[str | None]) -> pa.ListArray:
+        """The ids of each text; a null one has none."""
+        found = [self.find(x) if x else [] for x in texts]
+        memo = self.memo
+        if self.held > MEMO_BYTES:
+            memo.clear()
+            self.held = 0
+        new = list(set().union(*found).difference(memo))
+        if new:
+            for p, ids in zip(new, self.model.encode([to_piece(p.encode()) for p in new], out_type=int, num_threads=1), strict=True):
                 memo[p] = self.order[np.asarray(ids, np.int64) - 1].tobytes()
-        return b"".join([memo[p] for p in parts])
+            self.held += sum(map(len, new)) + UPKEEP * len(new)
+        get = memo.__getitem__
+        coded = [b"".join(map(get, parts)) for parts in found]
+        ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
 
     def decode(self, ids: pa.ListArray) -> pa.LargeBinaryArray:
         """The bytes of each list of ids. A null list, like an empty one, has no bytes."""
@@ -112,46 +120,50 @@ class Coder:
 
 
 @lru_cache(2)
-def _coder(proto: bytes, order: bytes, pattern: str) -> Coder:
-    return Coder(proto, np.frombuffer(order, np.int32), pattern)
+def _coder(proto: bytes, order: bytes, pattern: str, lengths: bytes, pieces: bytes) -> Coder:
+    ends = np.cumsum(np.frombuffer(lengths, np.int32)).tolist()
+    return Coder(proto, np.frombuffer(order, np.int32), pattern, [pieces[a:b] for a, b in zip([0, *ends], ends, strict=False)])
 
 
 class ByteBPE:
-    """encode() and decode() of a column by the ranks in a file of the driver; the vocabulary is sent to the workers.
+    """encode() and decode() of a column by the ranks in a file of the driver; the vocabulary is sent to the workers. round_trip() does both in one pass.
 
     The vocabulary is of fixed size (about 2 MB as a model), whatever the corpus."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str = public_tokenizers.PATTERN):
-        ranks = read_ranks(path)
-        order = np.array(sorted(ranks.values()), np.int32)
-        self.shared = spark.sparkContext.broadcast((model_proto(ranks), order.tobytes(), pattern))
+        ranks = sorted(read_ranks(path).items(), key=lambda x: x[1])
+        order = np.array([r for _, r in ranks], np.int32)
+        lengths = np.array([len(t) for t, _ in ranks], np.int32)
+        self.shared = spark.sparkContext.broadcast((model_proto(dict(ranks)), order.tobytes(), pattern, lengths.tobytes(), b"".join(t for t, _ in ranks)))
 
-    def encode(self, df: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
-        """df with the array<int> column `out`: the ids of each match of the pattern, in order."""
-        shared, base = self.shared, df.select(*[c for c in df.columns if c != out])
-        schema = T.StructType([*base.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    def _mapped(self, df: DataFrame, source: str, made: dict[str, T.DataType], fn) -> DataFrame:
+        """df with further columns; fn: a coder and the source column of a batch -> those columns."""
+        shared, base = self.shared, df.select(*[c for c in df.columns if c not in made])
+        schema = T.StructType([*base.schema.fields, *(T.StructField(c, t, False) for c, t in made.items())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coder = _coder(*shared.value)
-            for part in slices(batches, text):
-                found = [coder.encode(x or "") for x in part.column(text).to_pylist()]
-                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out])
+            for part in slices(batches, source):
+                yield pa.RecordBatch.from_arrays([*part.columns, *fn(coder, part.column(source))], names=[*part.schema.names, *made])
 
         return base.mapInArrow(run, schema)
 
+    def encode(self, df: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
+        """df with the array<int> column `out`: the ids of each match of the pattern, in order."""
+        return self._mapped(df, text, {out: T.ArrayType(T.IntegerType(), False)}, lambda coder, x: (coder.encode(x.to_pylist()),))
+
     def decode(self, df: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """df with the binary column `out`: the bytes that the ids stand for."""
-        shared, base = self.shared, df.select(*[c for c in df.columns if c != out])
-        schema = T.StructType([*base.schema.fields, T.StructField(out, T.BinaryType(), False)])
+        return self._mapped(df, ids, {out: T.BinaryType()}, lambda coder, x: (coder.decode(x).cast(pa.binary()),))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coder = _coder(*shared.value)
-            for part in slices(batches, ids):
-                yield pa.RecordBatch.from_arrays([*part.columns, coder.decode(part.column(ids)).cast(pa.binary())], names=[*part.schema.names, out])
+    def round_trip(self, df: DataFrame, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+        """df with both: the ids of the text, and the bytes that those ids stand for."""
 
-        return base.mapInArrow(run, schema)
+        def both(coder: Coder, x: pa.Array) -> tuple[pa.Array, pa.Array]:
+            found = coder.encode(x.to_pylist())
+            return found, coder.decode(found).cast(pa.binary())
+
+        return self._mapped(df, text, {ids: T.ArrayType(T.IntegerType(), False), out: T.BinaryType()}, both)
 
 
 def ids_sha256(ids: str) -> Column:
@@ -160,9 +172,7 @@ def ids_sha256(ids: str) -> Column:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     bpe = ByteBPE(spark, path or public_tokenizers.path(RANKS))
-    coded = bpe.encode(doc_columns(read(spark, sf_dir, "documents"))).drop("text")
-    done = bpe.decode(coded)
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(doc_columns(read(spark, sf_dir, "documents"))).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op9_byte_bpe": op9_byte_bpe}

@@ -11,6 +11,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,7 +83,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             if n:
                 yield batch
             continue
-        sizes = np.cumsum([len(x) if x is not None else 0 for x in batch.column(text).to_pylist()])
+        column = batch.column(text)
+        measured = pc.binary_length(column) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type) else pc.list_value_length(column)
+        sizes = np.cumsum(pc.fill_null(measured, 0).to_numpy(zero_copy_only=False).astype(np.int64))
         while at < n:
             start = sizes[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(sizes, start + SLICE_BYTES, "right")))
