@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality
-from evalloom.llm.common import read, written
+from evalloom.llm.common import folder, forget, read, written
 
 #: Near duplicates of the pipeline: five-word shingles, similarity 0.8.
 SHINGLE, PERCENT = 5, 80
@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
     bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path(byte_bpe.RANKS))
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 
@@ -58,9 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, f"stage-{i}")
+            path = folder(spark, f"stage-{i}")
+            docs = written(docs, f"stage-{i}", path)
+            if before:
+                forget(spark, before)
+            before = path
     return docs
