@@ -8,10 +8,11 @@ slot; with the codes some 10 MB in all, whatever the corpus). A decision's log o
 the decision lies). After every STEP bytes each document's own weights take a step along the gradient of its coding error, so that weights depend on the text before
 alone. Many documents are walked side by side, so that a step is a few array operations for all of them.
 
-A fourth predictor sees long contexts, and what it knows grows with the corpus. A segment begins where the two words before have a hash of a
-certain kind (one place in ANCHOR), and ends where the next one begins. For each such pair of words Spark counts the segments that follow in
-training documents. Where one segment follows twice or more, the most frequent one is predicted: one more decision, with the log odds of its share and weights of its
-own, says whether it comes; if so, its bytes need no further decision. These counts and the unigram ones stay distributed: a block of documents asks about what it holds and gets that back.
+A fourth predictor sees long contexts, and what it knows grows with the corpus. A segment begins after two words and one white space, if the hash of the words is of a
+certain kind (one place in ANCHOR), and ends where the next one begins, or with the text. For each such pair of words Spark counts the segments that follow in
+training documents. Where one segment was learned twice or more, the most frequent one is predicted: one more decision at its start, with the log odds of its share and weights of its
+own, says whether it comes; if so, its bytes need no further decision, and if not, they are coded like others. Where a segment begins is known from the bytes before it, and the decision is
+coded there whatever follows, so the probabilities of all texts add up to 1 at most. These counts and the unigram ones stay distributed: a block of documents asks about what it holds and gets that back.
 
 The score is the log10 probability of the whole text; bits_per_byte is the same in bits.
 
@@ -346,29 +347,19 @@ def mixed_bits(texts: list[bytes], model: Model, skipped: np.ndarray | None = No
 
 
 class Segments:
-    """The segments of many texts: context, fingerprint, text, and the bytes (of the words' data) from start to end."""
+    """The segments of many texts: context, fingerprint, text, and the bytes (of the words' data) from start to end.
 
-    def __init__(self, words: Words):
+    Where a segment starts hangs on the bytes before it alone, so that who decodes knows that a decision comes."""
+
+    def __init__(self, words: Words, anchor: int = ANCHOR):
         h, of, ends = words.hashes, words.of, words.starts + words.lengths
-        pair = mix(h[:-2] * U64(3) + h[1:-1]) if len(h) > 2 else np.empty(0, U64)
-        at = np.flatnonzero((pair % U64(ANCHOR) == 0) & words.whole(3)) + 2
-        self.context, self.of = pair[at - 2], of[at]
-        # a piece is a word and what stands before it; a segment's fingerprint adds up those of its pieces, by place
-        before = np.zeros(len(h), np.int64)
-        before[1:] = ends[:-1]
-        before[words.first[words.sizes > 0]] = words.ends[:-1][words.sizes > 0]
-        last = words.first + words.sizes - 1  # the last word of each text
-        nxt = np.append(at[1:], len(h))
-        stop = np.minimum(nxt - 1, last[self.of]) if len(at) else at
-        self.start, self.end = before[at] if len(at) else at, ends[stop] if len(at) else at
-        count = stop - at + 1
-        piece = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        place = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-        prints = mix(hash_ranges(words.data, before[piece], ends[piece] - before[piece]) + place.astype(U64) * U64(0x9E3779B97F4A7C15))
-        self.print = np.add.reduceat(prints, np.cumsum(count) - count) if len(at) else np.empty(0, U64)
-        # the last segment of a text says that no further anchor comes, so its end is part of it
-        final = stop == last[self.of] if len(at) else np.empty(0, bool)
-        self.print = mix(self.print + final.astype(U64))
+        pair = mix(h[:-1] * U64(3) + h[1:]) if len(h) > 1 else np.empty(0, U64)
+        stop = words.ends[1:]  # of each text
+        at = np.flatnonzero((pair % U64(anchor) == 0) & words.whole(2) & (ends[1:] < stop[of[1:]])) + 1
+        self.context, self.of, self.start = pair[at - 1], of[at], ends[at] + 1
+        last = np.append(self.of[1:] != self.of[:-1], True)[: len(at)]  # no further one starts in its text
+        self.end = np.where(last, stop[self.of], np.append(self.start[1:], 0)[: len(at)])
+        self.print = np.fromiter((xxhash.xxh3_64_intdigest(words.data[a:b], z) for a, b, z in zip(self.start.tolist(), self.end.tolist(), last.tolist(), strict=True)), U64, len(at))
 
 
 def _sorted_by(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,8 +384,8 @@ def _counted_up(n: int, block: int, learned: np.ndarray, *keys: np.ndarray, name
 ANSWER = "block int, level int, key binary, print binary, n binary, total binary"
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, bits and n_bytes of the mixing model, and the unigram sums; see op5."""
+def scores(docs: DataFrame, model: Model, anchor: int = ANCHOR) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, bits and n_bytes of the mixing model, and the unigram sums; see op5. anchor: a place in so many begins a segment."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     blocks, n = in_blocks(docs)
 
@@ -422,7 +413,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         return told.append_column("tokens", pa.array([int(sums.sum())] + [0] * (told.num_rows - 1) if told.num_rows else [], pa.int64())).append_column("types", pa.array([int((sums > 0).sum())] + [0] * (told.num_rows - 1) if told.num_rows else [], pa.int64()))
 
     def ask_segments(table: pa.Table) -> pa.Table:
-        found = Segments(Words(table.column("text"), lower=True))
+        found = Segments(Words(table.column("text"), lower=True), anchor)
         return _counted_up(n, table.column("block")[0].as_py(), learned_from(table)[found.of], found.context, found.print, names=("print",))
 
     def predicted(table: pa.Table) -> pa.Table:
@@ -465,7 +456,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         words = Words(table.column("text"), lower=True)
         key, of = tokens(words)
         (c,) = _looked_up(known, key)
-        segments = Segments(words)
+        segments = Segments(words, anchor)
         best, n_best, whole = _looked_up(follows, segments.context)
         asks = np.flatnonzero(n_best > 0)
         came = segments.print[asks] == best[asks]

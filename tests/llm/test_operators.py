@@ -1,9 +1,12 @@
 """The training-data operators against brute force, round trips, planted cases and edges, on small tables."""
 
 import hashlib
+import heapq
+import itertools
 import json
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +15,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from evalloom.llm import byte_bpe, chat, common, components, decontaminate, jaccard_join, line_dedup, lm_score, pii, quality, registry, substring_dedup, url_filter
@@ -269,17 +273,50 @@ def test_lm_score_base_and_learning(spark):
     assert -sum(g.score for g in held) / math.log10(2) < 0.7 * untrained
 
 
-def scalar_bits(rows):
-    """Bits of each text by the definition, one decision after the other."""
+FULL = (1 << 64) - 1
+
+
+def scalar_mix(x):
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & FULL
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & FULL
+    return x ^ x >> 33
+
+
+def scalar_word_hash(word):
+    part = [int.from_bytes(word[i : i + 8], "little") for i in range(0, len(word), 8)]
+    h = scalar_mix(part[0] ^ len(word) * 0x9E3779B97F4A7C15 & FULL)
+    for x in part[1:]:
+        h = scalar_mix(h * 0x9E3779B97F4A7C15 + x & FULL)
+    return h
+
+
+def scalar_code(pairs, before):
+    """byte -> the nodes and bits of its path, of a Huffman tree."""
+    anywhere = pairs.sum(axis=0) / max(1, pairs.sum())
+    heap = [(float(w), b, {b: []}) for b, w in enumerate(pairs[before] + 0.05 * anywhere + 1e-9)]
+    heapq.heapify(heap)
+    for node in range(255):
+        v, _, left = heapq.heappop(heap)
+        w, _, right = heapq.heappop(heap)
+        paths = {b: [(256 * before + node, bit), *p] for bit, side in ((0, left), (1, right)) for b, p in side.items()}
+        heapq.heappush(heap, (v + w, 256 + node, paths))
+    return heap[0][2]
+
+
+def scalar_bits(rows, anchor=lm_score.ANCHOR):
+    """Bits of each text by the definition, one decision after the other; of the module it takes constants alone."""
     full = (1 << 32) - 1
+    learned = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
     pairs = np.zeros((256, 256), np.int64)
-    for d, t in rows:
-        if not lm_score.held_out(d):
-            for x, y in zip([0, *t.encode()], [*t.encode(), 255], strict=True):
-                pairs[x, y] += 1
-    place, length, node, bit, gate = lm_score.prefix_codes(pairs)
+    for t in learned:
+        for x, y in zip([0, *t.encode()], [*t.encode(), 255], strict=True):
+            pairs[x, y] += 1
+    codes = {}
 
     def slots(data):
+        """byte, depth, bit and slots of each decision."""
         for i, byte in enumerate(data):
             one, two, three = (data[i - k] if i >= k else 0 for k in (1, 2, 3))
             word = next(j for j in range(i, -1, -1) if j == 0 or data[j - 1] <= 32)
@@ -288,29 +325,27 @@ def scalar_bits(rows):
             for c in ((one | two << 8 | three << 16) + (1 << 24), spelled * 0x85EBCA6B):
                 c = c * 0xC2B2AE35 & full
                 out.append(c ^ c >> 15)
-            p = 256 * one + byte
-            for d in range(place[p], place[p] + length[p]):
-                yield i, d, [int(node[d])] + [((c ^ int(node[d]) * 0x9E3779B1 & full) * 0x27D4EB2F & full) >> (32 - b) for c, b in zip(out, lm_score.TABLE_BITS, strict=True)]
+            if one not in codes:
+                codes[one] = scalar_code(pairs, one)
+            for depth, (node, y) in enumerate(codes[one][byte]):
+                yield i, depth, y, [node] + [((c ^ node * 0x9E3779B1 & full) * 0x27D4EB2F & full) >> (32 - b) for c, b in zip(out, lm_score.TABLE_BITS, strict=True)]
 
     def segments(text):
-        """context, start, end, the segment and its fingerprint, for each."""
-        words = lm_score.Words(pa.array([text]), lower=True)
-        found, h, data = lm_score.Segments(words), words.hashes.tolist(), text.encode()
-        ends = (words.starts + words.lengths).tolist()
-        anchors = [i for i in range(2, len(h)) if int(common.mix(np.array([h[i - 2] * 3 + h[i - 1] & (1 << 64) - 1], np.uint64))[0]) % lm_score.ANCHOR == 0]
-        assert len(anchors) == len(found.context)
-        for k, i in enumerate(anchors):
-            last = (anchors[k + 1] if k + 1 < len(anchors) else len(h)) - 1
-            yield (h[i - 2], h[i - 1]), ends[i - 1], ends[last], (data[ends[i - 1] : ends[last]], last == len(h) - 1), int(found.print[k])
+        """context, start, end, the segment (with whether it is the last), from what a decoder has seen at its start."""
+        data = text.encode()
+        words = [(m.start(), m.end(), scalar_word_hash(m.group().lower())) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        starts = [(e + 1, (g, h)) for (_, _, g), (_, e, h) in zip(words, words[1:], strict=False) if e < len(data) and scalar_mix(g * 3 + h & FULL) % anchor == 0]
+        for k, (start, context) in enumerate(starts):
+            end = starts[k + 1][0] if k + 1 < len(starts) else len(data)
+            yield context, start, end, (data[start:end], k + 1 == len(starts))
 
     counts, follow = defaultdict(lambda: [0, 0]), defaultdict(Counter)
-    for d, t in rows:
-        if not lm_score.held_out(d):
-            for _, x, s in slots([*t.encode(), 255]):
-                for k in enumerate(s):
-                    counts[k][int(bit[x])] += 1
-            for c, _, _, x, p in segments(t):
-                follow[c][p, x] += 1
+    for t in learned:
+        for _, _, y, s in slots([*t.encode(), 255]):
+            for k in enumerate(s):
+                counts[k][y] += 1
+        for c, _, _, x in segments(t):
+            follow[c][x] += 1
     odds = {k: float(np.clip(np.round(8 * np.log((b + 0.4) / (a + 0.4))), -127, 127)) / 8 for k, (a, b) in counts.items()}
     out = {}
 
@@ -328,18 +363,32 @@ def scalar_bits(rows):
 
     for d, t in rows:
         flags, skip = [], set()
-        for c, start, end, x, _ in segments(t):
-            best = min(follow[c].items(), key=lambda v: (-v[1], v[0][0]), default=(None, 0))
-            if best[1] > 1:
-                flags.append((len(flags), 0, float(best[0][1] == x), [math.log((best[1] + 0.4) / (sum(follow[c].values()) - best[1] + 0.4))]))
-                skip |= set(range(start, end)) if best[0][1] == x else set()
+        for c, start, end, x in segments(t):
+            most = max(follow[c].values(), default=0)
+            best = min((y for y, n in follow[c].items() if n == most), key=lambda y: xxhash.xxh3_64_intdigest(y[0], y[1]), default=None)
+            if most > 1:
+                flags.append((len(flags), 0, float(best == x), [math.log((most + 0.4) / (sum(follow[c].values()) - most + 0.4))]))
+                skip |= set(range(start, end)) if best == x else set()
         left = {i: k for k, i in enumerate(i for i in range(len(t.encode()) + 1) if i not in skip)}
-        stream = [(left[i], int(gate[x]), float(bit[x]), [odds.get(k, 0.0) for k in enumerate(s)]) for i, x, s in slots([*t.encode(), 255]) if i in left]
+        stream = [(left[i], min(g, lm_score.GATES - 1), float(y), [odds.get(k, 0.0) for k in enumerate(s)]) for i, g, y, s in slots([*t.encode(), 255]) if i in left]
         cost, weights = walk(stream, lm_score.GATES, lm_score.BEGIN, lm_score.RATE, lm_score.STEP)
         out[d] = (cost + walk(flags, 1, lm_score.SEGMENT_BEGIN, lm_score.SEGMENT_RATE, lm_score.SEGMENT_STEP)[0]) / math.log(2), weights, len(flags)
     return out
 
 
+@pytest.mark.parametrize("learned", [["ab11 cd tail"] * 40 + ["ab11 cdx"] * 40, ["a b a", "a b b", "a b  a b", "b a b", "a a a a", "ab a "] * 9])
+def test_lm_probabilities_of_all_texts_add_up_to_one_at_most(docs, learned):
+    """All texts of three letters up to a length, and two whose difference is where a word ends; every pair of words begins a segment."""
+    texts = ["ab11 cd tail", "ab11 cdx", *("".join(t) for n in range(8) for t in itertools.product("ab ", repeat=n))]
+    ids = (i for i in itertools.count() if zlib.crc32(str(i).encode()) % 7 == 2)
+    train = (i for i in itertools.count() if zlib.crc32(str(i).encode()) % 7 != 2)
+    df = docs([(next(train), t) for t in learned] + [(next(ids), t) for t in texts])
+    found = [r.bits for r in lm_score.scores(df, lm_score.train(df), anchor=1).filter("held_out").collect()]
+    assert len(found) == len(texts)
+    total = sum(2.0**-b for b in found)
+    assert 0.5 < total <= 1 + 1e-6
+
+
 def test_lm_score_brute_force(docs):
     r = random.Random(6)
     base = [prose(120, i) for i in range(8)]
