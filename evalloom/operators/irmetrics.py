@@ -5,7 +5,7 @@ An example without truth or without results has error set and metrics 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("recall_at_k", "precision_at_k", "ndcg_at_k")
@@ -65,7 +65,7 @@ def low_recall(metrics: DataFrame, k: int = 5, below: float = 0.5) -> DataFrame:
     return metrics.filter((F.col("k") == k) & (F.col("recall_at_k") < below))
 
 
-def found_truth(ids: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:
-    """example_id, found: the true chunks among the first k, in rank order."""
-    found: Column = F.array_intersect(F.slice("chunk_ids", 1, k), F.col("truth"))
-    return ids.join(truth, "example_id").select("example_id", found.alias("found"))
+def found_truth(judged: DataFrame, k: int = 5) -> DataFrame:
+    """example_id, found: the true chunks among the first k, in rank order. judged: example_id, rank, chunk_id, hit, a row for each retrieved chunk (and none or one without a rank for an example without any)."""
+    hits = F.array_sort(F.collect_list(F.when((F.col("hit") == 1) & (F.col("rank") <= k), F.struct("rank", "chunk_id"))))
+    return judged.groupBy("example_id").agg(F.transform(hits, lambda x: x["chunk_id"]).alias("found"))

@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -60,7 +59,8 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k rows of least d2 for each example_id; equal ones by chunk_id."""
     order = Window.partitionBy("example_id").orderBy("d2", "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -79,7 +79,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, query_bytes: int = QUERY_
     for i in range(blocks):
         mine = queries.filter(F.pmod(F.xxhash64("example_id"), F.lit(blocks)) == i).toPandas()
         shared = queries.sparkSession.sparkContext.broadcast((mine["example_id"].tolist(), np.array(mine["embedding"].tolist(), np.float64).reshape(len(mine), -1)))
-        near = _ranked(_nearest_in(base, shared, k, schema), k)
+        near = ranked(_nearest_in(base, shared, k, schema), k)
         if blocks > 1:
             near = kept(near)
             shared.destroy()
@@ -105,27 +105,13 @@ def _nearest_in(base: DataFrame, shared, k: int, schema: T.StructType) -> DataFr
     return base.mapInPandas(run, schema)
 
 
-def knn_ivf(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 31, nprobe: int = 1, seed: int = 0) -> DataFrame:
-    """Approximate neighbours: only the nprobe nearest of the k-means cells of the corpus are searched."""
-    fit = KMeans(k=cells, seed=seed, featuresCol="v").fit(corpus.select(array_to_vector("embedding").alias("v")))
-    centers = [list(map(float, c)) for c in fit.clusterCenters()]
-
-    def nearest(n: int) -> Column:
-        each = F.array(*(F.struct(squared_distance(F.col("embedding"), F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centers)))
-        return F.transform(F.slice(F.array_sort(each), 1, n), lambda x: x["cell"])
-
-    placed = corpus.select("chunk_id", "embedding", nearest(1)[0].alias("cell"))
-    asked = queries.select("example_id", F.col("embedding").alias("q"), F.explode(nearest(nprobe)).alias("cell"))
-    return _ranked(placed.join(asked, "cell").select("example_id", "chunk_id", squared_distance(F.col("q"), F.col("embedding")).alias("d2")), k)
-
-
 def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int, radius: float = 2.0, bucket: float = 2.0, tables: int = 4, seed: int = 0) -> DataFrame:
     """Approximate neighbours within a radius, by random projections."""
     a = queries.select("example_id", array_to_vector("embedding").alias("v"))
     b = corpus.select("chunk_id", array_to_vector("embedding").alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(b)
     pairs = model.approxSimilarityJoin(a, b, radius, "d")
-    return _ranked(pairs.select("datasetA.example_id", "datasetB.chunk_id", (F.col("d") * F.col("d")).alias("d2")), k)
+    return ranked(pairs.select("datasetA.example_id", "datasetB.chunk_id", (F.col("d") * F.col("d")).alias("d2")), k)
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, docstore: DataFrame, k: int = 5, score: str = "similarity") -> DataFrame:

@@ -53,24 +53,6 @@ def test_knn_in_blocks_equals_one_block(spark):
     assert {(r.example_id, r.rank, r.chunk_id) for r in a.collect()} == {(q, i + 1, c) for q, x in best.items() for i, (_, c) in enumerate(sorted(x)[:4])}
 
 
-def test_ivf_and_lsh_recall(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    corpus = rows.select(F.col("vec_id").alias("chunk_id"), "embedding")
-    queries = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("example_id"), "embedding")
-    exact = {(r.example_id, r.chunk_id) for r in X.knn(queries, corpus, 5).collect()}
-    for found in (X.knn_ivf(queries, corpus, 5, cells=10, nprobe=10), X.knn_lsh(queries, corpus, 5)):
-        assert len(exact & {(r.example_id, r.chunk_id) for r in found.collect()}) >= 0.9 * len(exact)
-
-
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
-def test_registered_ivf_recall(spark, sf):
-    from evalloom.plans import retrieval_queries as R
-
-    folder = f"/root/testdata/{sf}"
-    exact, found = ({(r.example_id, r.chunk_id) for r in df.collect()} for df in (R._top(spark, folder, 5), R.knn_ivf(spark, folder)))
-    assert len(exact & found) >= 0.9 * len(exact)
-
-
 def test_truth_of_a_label_is_rows(spark):
     from evalloom.plans import retrieval_queries as R
 
