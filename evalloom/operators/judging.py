@@ -194,8 +194,12 @@ def short_reasoning(correct: Column, hallucination: Column, direction: Column, i
     return F.concat(parts, F.lit("."))
 
 
-def failure_mode(reasoning: Column) -> Column:
-    """The first phrase of FAILURE_MODES that the reasonings (without labels) hold; null without one."""
+def failure_mode(reasoning: Column, compat: bool = False) -> Column:
+    """The first phrase of FAILURE_MODES that the reasonings (without labels) hold; null without one.
+
+    compat: as if the labels of `reasoning_trace` stood among them, so that "hallucination" always holds: what comes after it is never given, nor is null."""
+    if compat:
+        reasoning = F.concat(F.lit("Hallucination Analysis: "), F.coalesce(reasoning, F.lit("")))
     out = F.lit(None).cast("string")
     for phrase, name in reversed(FAILURE_MODES):
         out = F.when(F.contains(F.lower(reasoning), F.lit(phrase)), name).otherwise(out)
@@ -228,7 +232,7 @@ KEYWORD_TEMPLATES = {
 KEYWORD_KINDS = {"correctness": "binary", "hallucination": "binary", "risk_direction": "direction", "risk_impact": "impact"}
 
 
-def keyword_judge(df: DataFrame, fn: Callable, stage: str, templates: Mapping[str, str] = KEYWORD_TEMPLATES, compat: bool = False) -> DataFrame:
+def keyword_judge(df: DataFrame, fn: Callable, stage: str, templates: Mapping[str, str] = KEYWORD_TEMPLATES, compat: bool = False, call: Callable = call_model) -> DataFrame:
     """df (question, reference_answer, generated_answer, context) with <stage> and <stage>_error: prompt, call, verdict by keywords of the answer.
 
     context: a text, or an array of texts."""
@@ -237,39 +241,39 @@ def keyword_judge(df: DataFrame, fn: Callable, stage: str, templates: Mapping[st
     else:
         df = df.withColumn("_context", F.col("context") if "context" in df.columns else F.lit(""))
     mapping = {p: "_context" if p == "context" else p for p in re.findall(r"\{(\w+)\}", templates[stage])}
-    asked = call_model(render_prompt(df, templates[stage], mapping, None, "_prompt"), fn, "_prompt", out="_response")
+    asked = call(render_prompt(df, templates[stage], mapping, None, "_prompt"), fn, "_prompt", out="_response")
     value = F.when(F.col("error").isNull(), keyword_verdict(F.col("_response"), KEYWORD_KINDS[stage], compat))
     return asked.withColumns({stage: value, f"{stage}_error": F.col("error")}).drop("_context", "_prompt", "_response", "error")
 
 
-def judge_stage(df: DataFrame, fn: Callable, stage: str, mapping: Mapping[str, str], templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
+def judge_stage(df: DataFrame, fn: Callable, stage: str, mapping: Mapping[str, str], templates: Mapping[str, str] = TEMPLATES, call: Callable = call_model) -> DataFrame:
     """df with <stage>, <stage>_reasoning, <stage>_error and <stage>_ended (when the model had answered), by prompt, call, parse and validation."""
-    asked = call_model(render_prompt(df, templates[stage], mapping, REQUIRED[stage], "_prompt"), fn, "_prompt", out="_response", times=("_begun", f"{stage}_ended"))
+    asked = call(render_prompt(df, templates[stage], mapping, REQUIRED[stage], "_prompt"), fn, "_prompt", out="_response", times=("_begun", f"{stage}_ended"))
     got = validate_verdict(asked, stage, "_response")
     failed = F.coalesce(F.col("error"), F.col("verdict_error"))
     return got.withColumns({stage: F.col("value"), f"{stage}_reasoning": F.col("reasoning"), f"{stage}_error": failed}).drop("_prompt", "_response", "_begun", "error", "verdict_error", "value", "reasoning")
 
 
-def judge(df: DataFrame, fn: Callable, keep: Callable[[DataFrame], DataFrame], templates: Mapping[str, str] = TEMPLATES, gate: str = "correct") -> DataFrame:
+def judge(df: DataFrame, fn: Callable, keep: Callable[[DataFrame], DataFrame], templates: Mapping[str, str] = TEMPLATES, gate: str = "correct", call: Callable = call_model) -> DataFrame:
     """df (example_id, question, model_answer, reference_answer, context) with all verdicts.
 
     Correctness and hallucination always; direction and impact only where the gate holds: correct, or hallucination. The gated stages run on the
-    rows that pass alone. keep(df) writes a stage and gives it back, so that no model is called twice."""
+    rows that pass alone. keep(df) writes a stage and gives it back, so that no model is called twice. call: `call_model`, or the `call` of a ledger."""
     if gate not in ("correct", "hallucination"):
         raise ValueError("gate is correct or hallucination")
-    out = keep(judge_stage(df, fn, "correctness", {"query": "question", "model_answer": "model_answer", "reference_answer": "reference_answer"}, templates))
-    out = keep(judge_stage(out, fn, "hallucination", {"retrieved_context": "context", "model_answer": "model_answer"}, templates))
+    out = keep(judge_stage(df, fn, "correctness", {"query": "question", "model_answer": "model_answer", "reference_answer": "reference_answer"}, templates, call))
+    out = keep(judge_stage(out, fn, "hallucination", {"retrieved_context": "context", "model_answer": "model_answer"}, templates, call))
     through = F.col("correctness") if gate == "correct" else F.col("hallucination")
-    risky = keep(judge_stage(out.filter(through), fn, "risk_direction", {"model_answer": "model_answer", "retrieved_context": "context"}, templates))
+    risky = keep(judge_stage(out.filter(through), fn, "risk_direction", {"model_answer": "model_answer", "retrieved_context": "context"}, templates, call))
     for name, text in (("model_cost", "model_answer"), ("actual_cost", "context")):
-        asked = call_model(render_prompt(risky, templates["cost"], {"text": text}, ["text"], "_prompt"), fn, "_prompt", out="_response")
+        asked = call(render_prompt(risky, templates["cost"], {"text": text}, ["text"], "_prompt"), fn, "_prompt", out="_response")
         failed = F.coalesce(F.col("error"), F.col("cost_error"))
         risky = keep(cost_result(asked, "_response", name).withColumn(f"{name}_error", failed).drop("_prompt", "_response", "cost_error", "error"))
     # a call that failed is an error, and not a text without costs
     risky = risky.withColumn("_failed", F.coalesce("model_cost_error", "actual_cost_error"))
     why = F.when(F.col("_failed").isNull(), cost_gate(F.col("model_cost"), F.col("actual_cost")))
     risky = risky.withColumn("_why", why).withColumns({"_a": cost_json(F.col("model_cost")), "_b": cost_json(F.col("actual_cost"))})
-    impact = judge_stage(risky.filter("_why is null and _failed is null"), fn, "risk_impact", {"model_answer_cost": "_a", "actual_cost": "_b"}, templates).select("example_id", "risk_impact", "risk_impact_reasoning", "risk_impact_error", "risk_impact_ended")
+    impact = judge_stage(risky.filter("_why is null and _failed is null"), fn, "risk_impact", {"model_answer_cost": "_a", "actual_cost": "_b"}, templates, call).select("example_id", "risk_impact", "risk_impact_reasoning", "risk_impact_error", "risk_impact_ended")
     risky = risky.join(keep(impact), "example_id", "left").withColumn("risk_impact_reasoning", F.coalesce("risk_impact_reasoning", "_why"))
     more = ["risk_direction", "risk_direction_reasoning", "risk_direction_error", "model_cost", "actual_cost", "model_cost_error", "actual_cost_error", "risk_impact", "risk_impact_reasoning", "risk_impact_error", "risk_direction_ended", "risk_impact_ended"]
     out = out.join(risky.select("example_id", *more), "example_id", "left")

@@ -48,6 +48,31 @@ def _share(condition: Column, among: Column) -> Column:
     return F.coalesce(F.try_divide(F.count_if(condition & among).cast("double"), F.count_if(among)), F.lit(0.0))
 
 
+def summary_parts(df: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Counts, sums and extremes of some rows, from which `summary_of_parts` makes the summary of all rows: parts of disjoint rows just add up."""
+    ok = is_valid()
+    aggs = [F.count("*").alias("n"), F.count_if(ok).alias("n_valid")]
+    for m in IR:
+        v = F.when(ok, F.col(m))
+        aggs += [F.sum(v).alias(f"{m}_sum"), F.count(v).alias(f"{m}_n"), F.min(v).alias(f"{m}_min"), F.max(v).alias(f"{m}_max")]
+    aggs += [F.count_if(F.col(c) & ok).alias(f"n_{c}") for c in ("correctness", "hallucination", "judge_correct")]
+    aggs += [F.count_if(F.col(c).isNotNull() & ok).alias(f"n_{c}") for c in ("risk_direction", "risk_impact")]
+    return df.groupBy(*by).agg(*aggs)
+
+
+def summary_of_parts(parts: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
+    """The columns of `run_summary`."""
+    sums = [c for c in parts.columns if c == "n" or c.startswith("n_") or c.endswith(("_sum", "_n"))]
+    rows = parts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in sums), *(f(c).alias(c) for m in IR for c, f in ((f"{m}_min", F.min), (f"{m}_max", F.max))))
+    share = lambda part, whole: F.coalesce(F.try_divide(part.cast("double"), F.col(whole)), F.lit(0.0))
+    columns = [F.col("n").alias("total_examples"), F.col("n_valid").alias("valid_examples"), share(F.col("n") - F.col("n_valid"), "n").alias("error_rate")]
+    for m in IR:
+        columns += [F.try_divide(f"{m}_sum", f"{m}_n").alias(f"{m}_mean"), F.col(f"{m}_min"), F.col(f"{m}_max")]
+    columns += [share(F.col(f"n_{c}"), "n_valid").alias(f"{c}_rate") for c in ("correctness", "hallucination")]
+    columns += [share(F.col(f"n_{c}"), "n_valid").alias(f"{c}_coverage") for c in ("risk_direction", "risk_impact")]
+    return rows.select(*by, *columns, share(F.col("n_judge_correct"), "n_valid").alias("judge_accuracy"))
+
+
 def run_summary(df: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
     ok = is_valid()
     aggs = [F.count("*").alias("total_examples"), F.count_if(ok).alias("valid_examples"), _share(~ok, F.lit(True)).alias("error_rate")]
@@ -71,32 +96,43 @@ def traces(df: DataFrame) -> DataFrame:
     return df.select("run_id", "example_id", "start_time", "end_time", (F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))).cast("double").__truediv__(1e6).alias("duration_seconds"), F.col("error").isNull().alias("success"))
 
 
+#: What `count_summary` adds where the truth is known.
+INTERVAL = ["raw", "corrected", "ci_lo", "ci_hi"]
+
+
 def count_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Counts of verdicts and of every level of direction and impact, zero ones too, and mean metrics."""
+    """Counts of verdicts and of every level of direction and impact, zero ones too, and mean metrics. With the truth (gt_correctness) in df, also the
+    share of correct answers, raw and corrected for the judge's errors, with its interval (`metaeval.bias_corrected`)."""
     levels = [F.count_if(F.col("risk_direction") == v).alias(n) for v, n in ((-1, "care_avoidance"), (0, "no_clear_direction"), (1, "unexpected_cost"))]
     levels += [F.count_if(F.col("risk_impact") == v).alias(f"impact_{v}") for v in range(4)]
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *(F.count_if(F.col(c)).alias(c) for c in ("correctness", "hallucination", "judge_correct")), *levels, *(F.avg(m).alias(m) for m in IR))
-
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), *(F.count_if(F.col(c)).alias(c) for c in ("correctness", "hallucination", "judge_correct")), *levels, *(F.avg(m).alias(m) for m in IR))
+    if "gt_correctness" not in df.columns:
+        return out
+    share = metaeval.bias_corrected(df, by=list(by)).select(*(F.col(c).alias(f"_{c}") for c in by), *INTERVAL)
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.lit(True))
+    return out.join(share if by else F.broadcast(share), same, "left").drop(*(f"_{c}" for c in by))  # without groups it is one row
 
-def evaluate(examples: DataFrame, retrieved: DataFrame, generate_fn: Callable, judge_fn: Callable, keep: Callable[[DataFrame], DataFrame], run_id: str, k: int = 5, on_error: str = "row", with_costs: bool = False, gate: str = "correct", with_ir: bool = True) -> DataFrame:
-    """Flat result rows of a task table, with the times at which each row's first call began and its last one ended.
 
-    examples: example_id, question, reference_answer, ground_truth_chunk_ids; retrieved: example_id, rank, chunk_id, chunk_text. on_error: a failed
-    example becomes an error row, or is dropped; if all of several are dropped, that is an error. with_costs: extracted costs check the risk verdicts. without with_ir, retrieval
-    metrics are null, and no truth is needed. keep(df) writes a stage and gives it back."""
-    if on_error not in ("row", "drop"):
-        raise ValueError("on_error is row or drop")
+def generate_answers(examples: DataFrame, retrieved: DataFrame, generate_fn: Callable, keep: Callable[[DataFrame], DataFrame], k: int = 5, call: Callable = judging.call_model) -> DataFrame:
+    """examples with prompt, context, model_answer, generation_error and the times of the call, from the k best retrieved texts of each."""
     top = retrieved.filter(F.col("rank") <= k)
     texts = top.groupBy("example_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_text"))), lambda x: x["chunk_text"]).alias("texts"))
     rows = examples.join(texts, "example_id", "left").withColumn("prompt", judging.rag_prompt(F.col("question"), F.col("texts"), refuse=False))
-    rows = keep(judging.call_model(rows, generate_fn, out="model_answer", times=("start_time", "generated_at")).withColumnRenamed("error", "generation_error").withColumn("context", F.array_join("texts", " ")))
-    judged = keep(judging.judge(rows.filter("generation_error is null"), judge_fn, keep, gate=gate))
+    return keep(call(rows, generate_fn, out="model_answer", times=("start_time", "generated_at")).withColumnRenamed("error", "generation_error").withColumn("context", F.array_join("texts", " ")))
+
+
+def judge_answers(rows: DataFrame, retrieved: DataFrame, judge_fn: Callable, keep: Callable[[DataFrame], DataFrame], run_id: str, k: int = 5, on_error: str = "row", with_costs: bool = False, gate: str = "correct", with_ir: bool = True, call: Callable = judging.call_model) -> DataFrame:
+    """Flat result rows from those of `generate_answers`; see `evaluate`."""
+    if on_error not in ("row", "drop"):
+        raise ValueError("on_error is row or drop")
+    judged = keep(judging.judge(rows.filter("generation_error is null"), judge_fn, keep, gate=gate, call=call))
     judged = judged.withColumnRenamed("model_cost", "extracted_costs").withColumnRenamed("actual_cost", "actual_costs")
     meta = metaeval.meta_evaluate(judged.withColumn("risk_impact", F.col("risk_impact").cast("int")), with_costs).withColumn("judge_correct", F.col("meta_eval_output.judge_correct"))
     mine = ["correctness", "hallucination", "risk_direction", "risk_impact", "failure_mode", "judge_error", "judge_correct", "meta_eval_output", "judged_at"]
     out = rows.select("example_id", "start_time", "generated_at", "model_answer", "generation_error").join(meta.select("example_id", *mine), "example_id", "left")
     if with_ir:
-        out = out.join(irmetrics.ir_metrics(top, examples.select("example_id", F.col("ground_truth_chunk_ids").alias("truth")), k).withColumnRenamed("error", "ir_error"), "example_id", "left")
+        truth = rows.select("example_id", F.col("ground_truth_chunk_ids").alias("truth"))
+        out = out.join(irmetrics.ir_metrics(retrieved.filter(F.col("rank") <= k), truth, k).withColumnRenamed("error", "ir_error"), "example_id", "left")
     else:
         out = out.withColumns({m: F.lit(None).cast("double") for m in IR} | {"ir_error": F.lit(None).cast("string")})
     out = out.withColumn("error", F.coalesce("generation_error", "judge_error", "ir_error")).withColumn("run_id", F.lit(run_id)).withColumn("end_time", F.greatest("generated_at", "judged_at")).drop("generated_at", "judged_at")
@@ -109,6 +145,18 @@ def evaluate(examples: DataFrame, retrieved: DataFrame, generate_fn: Callable, j
     return error_rows(out, F.col("error").isNotNull())
 
 
+def evaluate(examples: DataFrame, retrieved: DataFrame, generate_fn: Callable, judge_fn: Callable, keep: Callable[[DataFrame], DataFrame], run_id: str, k: int = 5, generate_call: Callable = judging.call_model, judge_call: Callable = judging.call_model, **options) -> DataFrame:
+    """Flat result rows of a task table, with the times at which each row's first call began and its last one ended.
+
+    examples: example_id, question, reference_answer, ground_truth_chunk_ids; retrieved: example_id, rank, chunk_id, chunk_text. Of the options, on_error: a failed
+    example becomes an error row, or is dropped; if all of several are dropped, that is an error. with_costs: extracted costs check the risk verdicts. without with_ir, retrieval
+    metrics are null, and no truth is needed. keep(df) writes a stage and gives it back. generate_call, judge_call: `call_model`, or the `call` of a ledger, with which no prompt is asked twice."""
+    if options.get("on_error", "row") not in ("row", "drop"):
+        raise ValueError("on_error is row or drop")
+    rows = generate_answers(examples, retrieved, generate_fn, keep, k, generate_call)
+    return judge_answers(rows, retrieved, judge_fn, keep, run_id, k, call=judge_call, **options)
+
+
 def evaluate_and_save(root: str, run_id: str, **arguments) -> DataFrame:
     """evaluate(), saved as a run: outputs, traces and the summary. Gives the outputs back."""
     keep = arguments["keep"]

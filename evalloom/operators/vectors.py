@@ -13,13 +13,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from evalloom.functions.text import let
-from evalloom.sources.tables import kept
+from evalloom.sources.commits import Set
+from evalloom.sources.tables import forget, kept, kept_at, scratch
 
 from .chunking import build_docstore, chunk_corpus
 from .judging import NO_CONTEXT
@@ -128,25 +129,39 @@ def missing_chunks(index: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(index.select("chunk_id"), "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
 
 
+def _index_of(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    return index_info(Set(spark, path).read("embeddings", version))
+
+
+def read_index(spark: SparkSession, path: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Docstore and embeddings of one version of an index, the last complete one by default."""
+    store = Set(spark, path)
+    version = store.versions()[-1] if version is None else version
+    return store.read("docstore", version), store.read("embeddings", version)
+
+
 def build_index(docs: DataFrame, fn: Callable[[list[str]], np.ndarray], path: str, method: str = "fixed_size", **params: int) -> DataFrame:
-    """Chunks documents (document_id, text), writes the docstore and the embeddings below path, and gives the index's info. No chunk at all is an error."""
+    """Chunks documents (document_id, text), commits docstore and embeddings below path as one version, and gives the index's info. No chunk at all is an error."""
     spark = docs.sparkSession
-    build_docstore(chunk_corpus(docs, method, **params)).write.mode("overwrite").parquet(f"{path}/docstore")
-    store = spark.read.parquet(f"{path}/docstore")
+    where = scratch(spark)
+    store = kept_at(build_docstore(chunk_corpus(docs, method, **params)), where)
     if store.isEmpty():
         raise ValueError("no chunks to index")
-    embed(store.select("chunk_id", "text"), fn).select("chunk_id", "embedding").write.mode("overwrite").parquet(f"{path}/embeddings")
-    return index_info(spark.read.parquet(f"{path}/embeddings"))
+    Set(spark, path).commit({"docstore": store, "embeddings": embed(store.select("chunk_id", "text"), fn).select("chunk_id", "embedding")})
+    forget(spark, where)
+    return _index_of(spark, path)
 
 
 def append_index(docs: DataFrame, fn: Callable[[list[str]], np.ndarray], path: str, method: str = "fixed_size", **params: int) -> DataFrame:
-    """Adds the documents' chunks that the index below path lacks, so that doing it again adds nothing; gives the index's info."""
+    """Adds the documents' chunks that the index below path lacks, in one version, so that doing it again adds nothing; gives the index's info."""
     spark = docs.sparkSession
-    old, store = spark.read.parquet(f"{path}/embeddings"), build_docstore(chunk_corpus(docs, method, **params))
-    new = kept(embed(missing_chunks(old, store), fn))
-    new.select("chunk_id", "text", "document_id", "metadata").join(spark.read.parquet(f"{path}/docstore").select("chunk_id"), "chunk_id", "left_anti").write.mode("append").parquet(f"{path}/docstore")
-    new.select("chunk_id", "embedding").write.mode("append").parquet(f"{path}/embeddings")
-    return index_info(spark.read.parquet(f"{path}/embeddings"))
+    where = scratch(spark)
+    old = Set(spark, path).read("embeddings")
+    new = kept_at(embed(missing_chunks(old, build_docstore(chunk_corpus(docs, method, **params))), fn), where)
+    if not new.isEmpty():
+        Set(spark, path).commit(add={"docstore": new.select("chunk_id", "text", "document_id", "metadata"), "embeddings": new.select("chunk_id", "embedding")})
+    forget(spark, where)
+    return _index_of(spark, path)
 
 
 INSIDE = 3

@@ -1,7 +1,7 @@
 """Reading and writing of corpora, tasks, embeddings, docstores and runs.
 
-Parquet throughout, JSON lines for tasks. Run tables (outputs, metrics, traces, configs) are partitioned by run_id; writing a run again
-replaces that run alone.
+Parquet throughout, JSON lines for tasks. A run is a set of tables (outputs, metrics, traces, configs) below <root>/<run_id>, see `commits`: batch and streamed runs
+have the same layout, and readers see the last complete version of each.
 """
 
 from __future__ import annotations
@@ -9,10 +9,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .commits import Set
 
 TASKS = "example_id string, question string, reference_answer string, ground_truth_chunk_ids array<string>, beir_failure_scale_factor double"
 RUN_TABLES = ("outputs", "metrics", "traces", "run_configs")
@@ -44,18 +48,51 @@ read_embeddings = read_docstore = read_corpus
 write_embeddings = write_docstore = write_corpus
 
 
+def jsonable(kind: T.DataType) -> T.DataType:
+    """The type with strings in place of what JSON has no values for (dates, times, decimals, bytes, intervals)."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, jsonable(f.dataType), f.nullable) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(jsonable(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(T.StringType(), jsonable(kind.valueType), kind.valueContainsNull)
+    plain = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+    return kind if isinstance(kind, plain) else T.StringType()
+
+
+def _run(spark: SparkSession, root: str, run_id: str) -> Set:
+    return Set(spark, f"{root}/{run_id}")
+
+
+def _of_run(df: DataFrame, run_id: str) -> DataFrame:
+    return df.withColumn("run_id", F.lit(run_id))
+
+
 def _write_run(df: DataFrame, root: str, table: str, run_id: str) -> None:
-    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{root}/{table}")
+    _run(df.sparkSession, root, run_id).commit({table: _of_run(df, run_id)})
+
+
+def run_names(spark: SparkSession, root: str) -> list[str]:
+    """The runs below the root: names alone, which the driver can hold."""
+    return [x for x in Set(spark, root).names("") if not x.startswith((".", "_"))]
 
 
 def _read_run(spark: SparkSession, root: str, table: str, run_id: str | None = None) -> DataFrame:
-    """One run, by partition pruning, or all."""
-    rows = spark.read.parquet(f"{root}/{table}").withColumn("run_id", F.col("run_id").cast("string"))
-    return rows if run_id is None else rows.filter(F.col("run_id") == run_id)
+    """One run, or all that have the table, however they were written."""
+    runs = [run_id] if run_id is not None else run_names(spark, root)
+    paths = [p for r in runs for p in _run(spark, root, r).paths(table)]
+    if not paths:
+        raise ValueError(f"{root} has no table {table}" + (f" of run {run_id}" if run_id is not None else ""))
+    return spark.read.option("mergeSchema", "true").parquet(*paths)
+
+
+def outputs_of(df: DataFrame) -> DataFrame:
+    """df with strings in place of values that JSON lacks."""
+    return df.select(*(F.col(f"`{f.name}`").cast(jsonable(f.dataType)).alias(f.name) for f in df.schema.fields))
 
 
 def write_outputs(df: DataFrame, root: str, run_id: str) -> None:
-    _write_run(df, root, "outputs", run_id)
+    _write_run(outputs_of(df), root, "outputs", run_id)
 
 
 def read_outputs(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
@@ -79,10 +116,19 @@ def read_traces(spark: SparkSession, root: str, run_id: str | None = None) -> Da
 
 
 def save_run(rows: DataFrame, summary: DataFrame, traces: DataFrame, root: str, run_id: str) -> None:
-    """The final save of a run: its outputs, its traces, and its metrics."""
-    write_outputs(rows.drop("run_id"), root, run_id)
-    write_traces(traces.drop("run_id"), root, run_id)
-    write_metrics(summary.drop("run_id"), root, run_id)
+    """The final save of a run: its outputs, traces and metrics, in one version. Nothing of an earlier save of the run is left in it."""
+    new = {"outputs": outputs_of(rows), "traces": traces, "metrics": summary}
+    _run(rows.sparkSession, root, run_id).commit({t: _of_run(df, run_id) for t, df in new.items()})
+
+
+def add_batch(rows: DataFrame, traces: DataFrame, parts: DataFrame, summarise: Callable[[DataFrame], DataFrame], root: str, run_id: str, batch: int) -> None:
+    """Adds a batch to a run in one version: its outputs and traces, its part of the summary, and the summary of all parts so far. A batch that is added again replaces itself."""
+    spark, tag = rows.sparkSession, str(batch)
+    run = _run(spark, root, run_id)
+    before = [f"{run.path}/{folder}" for folder, t in run.tables().get("parts", []) if t != tag]
+    parts = kept(_of_run(parts, run_id))  # one row
+    every = parts.unionByName(spark.read.parquet(*before), allowMissingColumns=True) if before else parts
+    run.commit({"metrics": _of_run(summarise(every), run_id)}, {"outputs": _of_run(outputs_of(rows), run_id), "traces": _of_run(traces, run_id), "parts": parts}, tag)
 
 
 def new_run_id(name: str | None = None, at: datetime | None = None) -> str:
@@ -91,7 +137,7 @@ def new_run_id(name: str | None = None, at: datetime | None = None) -> str:
 
 
 def write_config(spark: SparkSession, root: str, run_id: str, evaluation_type: str, num_examples: int, retrieval_k: int, params: dict[str, str] | None = None) -> None:
-    row = spark.range(1).select(F.lit(evaluation_type).alias("evaluation_type"), F.lit(num_examples).cast("long").alias("num_examples"), F.lit(retrieval_k).alias("retrieval_k"), F.from_json(F.to_json(F.create_map(*(F.lit(str(x)) for kv in (params or {"": ""}).items() for x in kv))), "map<string,string>").alias("params"), F.current_timestamp().alias("ts"))
+    row = spark.range(1).select(F.lit(evaluation_type).alias("evaluation_type"), F.lit(num_examples).cast("long").alias("num_examples"), F.lit(retrieval_k).alias("retrieval_k"), F.create_map(*(F.lit(str(x)) for kv in (params or {}).items() for x in kv)).cast("map<string,string>").alias("params"), F.current_timestamp().alias("ts"))
     _write_run(row, root, "run_configs", run_id)
 
 
@@ -132,8 +178,17 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows, written once in the shared folder and read again, so that no model is called twice."""
-    path = scratch(df.sparkSession)
+def kept_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written once in the shared folder and read again, so that no model is called twice."""
+    return kept_at(df, scratch(df.sparkSession))
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that `kept_at` wrote, once nothing that is still to be computed reads it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

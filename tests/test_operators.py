@@ -138,13 +138,14 @@ def test_index_is_built_and_added_to(spark, tmp_path):
     docs = spark.createDataFrame([("a", "aaaa" * 10), ("b", "bb"), ("none", "")], "document_id string, text string")
     info = X.build_index(docs, _lengths, path, size=20, overlap=5).first()
     assert (info.n_vectors, info.dimension) == (4, 2)
-    store = {r.chunk_id: r for r in tables.read_docstore(spark, f"{path}/docstore").collect()}
-    found = {r.chunk_id: list(r.embedding) for r in tables.read_embeddings(spark, f"{path}/embeddings").collect()}
+    docstore, embeddings = X.read_index(spark, path)
+    store = {r.chunk_id: r for r in docstore.collect()}
+    found = {r.chunk_id: list(r.embedding) for r in embeddings.collect()}
     assert found == {c: [float(len(r.text)), float(r.text.count("a"))] for c, r in store.items()}
     more = spark.createDataFrame([("b", "bb"), ("c", "cac")], "document_id string, text string")
     for _ in range(2):
         assert X.append_index(more, _lengths, path, size=20, overlap=5).first().n_vectors == 5
-    assert tables.read_docstore(spark, f"{path}/docstore").count() == 5
+    assert [x.count() for x in X.read_index(spark, path)] == [5, 5] and [x.count() for x in X.read_index(spark, path, 0)] == [4, 4]
     with pytest.raises(ValueError):
         X.build_index(docs.filter("document_id = 'none'"), _lengths, str(tmp_path / "no"))
 
@@ -275,19 +276,3 @@ def test_sentences_grow_in_proportion(spark):
 def test_strip_and_sentences(spark):
     r = spark.createDataFrame([(" a\n b!  c?? ",)], "t string").select(T.strip(F.col("t")).alias("s"), T.sentences(F.col("t")).alias("p"), T.token_estimate(F.col("t")).alias("n")).first()
     assert (r.s, r.p, r.n) == ("a\n b!  c??", ["a\n b. ", "c. "], 3)
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    from evalloom.streaming import jobs
-
-    rows = spark.createDataFrame([(c, t, "user", f"{c}-{t}") for c in range(3) for t in range(6)], "conv_id long, turn long, role string, text string")
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    rows.filter("turn < 3").coalesce(1).write.parquet(source)
-    rows.filter("turn >= 3").coalesce(1).write.mode("append").parquet(source)
-    jobs.stream_history(spark, source, rows.schema, out, str(tmp_path / "cp"), max_history=2).awaitTermination(120)
-    text = lambda df: {(r.conv_id, r.turn): [m["content"] for m in r.history] for r in df.collect()}
-    assert text(spark.read.parquet(out)) == text(S.with_history(rows, 2))
-    tasks = str(tmp_path / "tasks")
-    tables.write_tasks(_examples(spark), tasks)
-    jobs.stream_evaluate(spark, tasks, lambda df: df.select("example_id"), str(tmp_path / "runs"), "r1", str(tmp_path / "cp2")).awaitTermination(120)
-    assert tables.read_outputs(spark, str(tmp_path / "runs"), "r1").count() == 6
