@@ -254,36 +254,77 @@ def fail_split(df: DataFrame) -> DataFrame:
 
 
 QUARTILES = (("min", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("max", 1.0))
-#: Buckets of a group's range; only those that hold a wanted rank are sorted.
-BUCKETS = 1024
-
-
-def group_quartiles(df: DataFrame, group: str, metric: str) -> DataFrame:
+#: Distinct values of a group that one task may sort; sketches have so many steps, and an error of a tenth of one; below SMALL values nothing is narrowed.
+BOUND, GRID, SMALL = 100_000, 256, 4096
+_INNER = [p for _, p in QUARTILES if 0 < p < 1]
+
+
+def _with_brackets(rows: DataFrame, held: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(held) if held.count() <= BOUND else held, F.col("g").eqNullSafe(F.col("h")))
+
+
+def _narrowed(some: DataFrame, held: DataFrame) -> DataFrame:
+    """held: h, n, most and, for each inner quartile, lo<i> and hi<i>, between which its ranks lie: narrower ones, by quantile sketches of the values between them. most: how many values lie between at most."""
+    aggs = []
+    for i in range(len(_INNER)):
+        inside = F.col("v").between(F.col(f"lo{i}"), F.col(f"hi{i}"))
+        grid = F.percentile_approx(F.when(inside, F.col("v")), [x / GRID for x in range(GRID + 1)], 10 * GRID)
+        aggs += [F.count_if(F.col("v") < F.col(f"lo{i}")).alias(f"b{i}"), F.count_if(inside).alias(f"m{i}"), grid.alias(f"q{i}"), F.first(f"lo{i}").alias(f"lo{i}"), F.first(f"hi{i}").alias(f"hi{i}")]
+    found = _with_brackets(some, held).groupBy("h").agg(F.first("n").alias("n"), *aggs)
+    columns, most = [], []
+    for i, p in enumerate(_INNER):
+        step = F.floor((F.floor((F.col("n") - 1) * p) - F.col(f"b{i}")) * GRID / F.greatest(F.col(f"m{i}") - 1, F.lit(1))).cast("int")
+        small = F.col(f"m{i}") <= SMALL
+        lo = F.when(small, F.col(f"lo{i}")).otherwise(F.get(f"q{i}", F.greatest(step - 1, F.lit(0))))
+        hi = F.when(small, F.col(f"hi{i}")).otherwise(F.get(f"q{i}", F.least(step + 2, F.lit(GRID))))
+        columns += [lo.alias(f"lo{i}"), hi.alias(f"hi{i}")]
+        most.append(F.when(small, F.col(f"m{i}")).when(lo == hi, F.lit(1)).otherwise(F.floor(F.col(f"m{i}") * 4 / GRID)))
+    return found.select("h", "n", reduce(Column.__add__, most).alias("most"), *columns)
+
+
+def group_quartiles(df: DataFrame, group: str, metric: str, bound: int = BOUND) -> DataFrame:
     """Quartiles of each group, exact and interpolated, and the mean. Nulls are left out; a group of nulls alone has null quartiles.
 
-    Equal values are counted first; a histogram of each group then tells which few buckets hold the wanted ranks, and only their values are sorted, so
-    that no task takes a whole group."""
-    counts = df.groupBy(F.col(group).alias("g"), F.col(metric).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    some = counts.filter("v is not null")
-    stats = some.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
-    place = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * (BUCKETS - 1)), F.lit(0)).alias("b")
-    placed = some.join(stats.select(F.col("g").alias("h"), "low", "high"), F.col("g").eqNullSafe(F.col("h"))).select("g", "v", "c", place)
-    before = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = placed.groupBy("g", "b").agg(F.sum("c").alias("m")).withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0)))
-    exact = F.array(*((F.col("n") - 1) * p for _, p in QUARTILES))
-    ranks = stats.select(F.col("g").alias("h"), F.posexplode(exact).alias("i", "r"))
-    wanted = ranks.select("h", "i", "r", F.explode(F.array_distinct(F.array(F.floor("r"), F.ceil("r")))).alias("rank"))
-    held = histogram.join(wanted, F.col("g").eqNullSafe(F.col("h")) & (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("m"))).select("h", "b", "start", "i", "r", "rank")
-    buckets = held.select(F.col("h").alias("k"), F.col("b").alias("kb"), "start").distinct()
-    inside = placed.join(buckets, F.col("g").eqNullSafe(F.col("k")) & (F.col("b") == F.col("kb"))).select("g", "b", "v", "c", "start")
-    run = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("first", F.col("start") + F.coalesce(F.sum("c").over(run), F.lit(0))).select(F.col("g").alias("x"), F.col("b").alias("xb"), "v", "first", (F.col("first") + F.col("c")).alias("end"))
-    met = held.join(inside, F.col("h").eqNullSafe(F.col("x")) & (F.col("b") == F.col("xb")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
-    ends = met.groupBy("h", "i", "r").agg(F.min("v").alias("a"), F.max("v").alias("z"))
-    values = ends.groupBy("h").agg(*(F.max(F.when(F.col("i") == i, F.col("a") + (F.col("z") - F.col("a")) * (F.col("r") - F.floor("r")))).alias(n) for i, (n, _) in enumerate(QUARTILES)))
-    names = [n for n, _ in QUARTILES]
-    groups = counts.select("g").distinct().join(stats.select(F.col("g").alias("s"), "mean"), F.col("g").eqNullSafe(F.col("s")), "left").join(values, F.col("g").eqNullSafe(F.col("h")), "left")
-    return groups.select(F.col("g").alias(group), *names, "mean")
+    Equal values are counted first. In a group of more than `bound` values, brackets around the wanted ranks are narrowed by quantile sketches until they hold fewer; values outside of them are
+    counted by the gap that they lie in. So what is sorted for a group, its bracketed values and gaps, stays below the bound, whatever outliers or repeats it has."""
+    bound = max(bound, 3 * SMALL)  # narrower brackets than these are not made
+    rows = df.select(F.col(group).alias("g"), F.col(metric).cast("double").alias("v"))
+    some = rows.filter("v is not null")
+    counted = some.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    if (counted.agg(F.max("n")).first()[0] or 0) <= bound:
+        t = rows.groupBy("g", "v").agg(F.count("v").alias("c"), F.first("v").alias("low"), F.sum("v").alias("s"))
+    else:
+        ends = [F.col(c).alias(f"{name}{i}") for i in range(len(_INNER)) for c, name in (("low", "lo"), ("high", "hi"))]
+        held, old = counted.select(F.col("g").alias("h"), "n", F.col("n").alias("most"), *ends), None
+        while True:
+            held, path = _narrowed(some, held), tables.scratch(df.sparkSession)
+            held = tables.kept_at(held, path)
+            if old:
+                tables.forget(df.sparkSession, old)
+            old = path
+            if (held.agg(F.max("most")).first()[0] or 0) <= bound:
+                break
+        v = F.col("v")
+        inside = reduce(Column.__or__, (v.between(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(len(_INNER))))
+        gap = reduce(Column.__add__, ((v > F.col(f"hi{i}")).cast("int") for i in range(len(_INNER))))
+        t = _with_brackets(some, held).groupBy("g", gap.alias("gap"), F.when(inside, v).alias("u")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.sum("v").alias("s"), F.min("v").alias("first"), F.max("v").alias("last"))
+        # the least and the greatest value may lie in a gap, but are its ends
+        t = t.select("g", F.col("u").alias("v"), "c", "low", "s", "last").unionByName(rows.groupBy("g").agg(F.count("v").alias("n")).filter("n = 0").select("g", F.lit(None).cast("double").alias("v"), F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("last")))
+    whole = Window.partitionBy("g")
+    before = whole.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    placed = t.withColumns({"first": F.coalesce(F.sum("c").over(before), F.lit(0)), "n": F.sum("c").over(whole)})
+    aggs = [F.min("low").alias("min"), F.max("last" if "last" in t.columns else "low").alias("max"), F.try_divide(F.sum("s"), F.max("n")).alias("mean")]
+    for i, p in enumerate(_INNER):
+        r = (F.col("n") - 1) * p
+        holds = lambda rank: (F.col("first") <= rank) & (rank < F.col("first") + F.col("c"))
+        aggs += [F.max(F.when(holds(F.floor(r)), F.col("v"))).alias(f"a{i}"), F.max(F.when(holds(F.ceil(r)), F.col("v"))).alias(f"z{i}"), F.max(r - F.floor(r)).alias(f"f{i}")]
+    found = placed.groupBy("g").agg(*aggs)
+    between = {}
+    for i, p in enumerate(_INNER):
+        a, z, f = (F.col(f"{x}{i}") for x in "azf")
+        name = next(n for n, q in QUARTILES if q == p)
+        between[name] = F.when((a == z) | (f == 0), a).otherwise(a + (z - a) * f)
+    return found.withColumns(between).select(F.col("g").alias(group), *(n for n, _ in QUARTILES), "mean")
 
 
 def failed_details(df: DataFrame) -> DataFrame:

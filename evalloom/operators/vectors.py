@@ -164,14 +164,45 @@ def append_index(docs: DataFrame, fn: Callable[[list[str]], np.ndarray], path: s
     return _index_of(spark, path)
 
 
-INSIDE = 3
+INSIDE, GRAM = 3, 6
+#: Bytes of questions that are sent to all tasks; more are joined by a shuffle.
+ASKED_BYTES = 8 << 20
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of `size` characters of a text."""
+    letters = F.split(text, "")
+    starts = F.when(F.size(letters) >= size, F.sequence(F.lit(1), F.size(letters) - size + 1))
+    return F.array_distinct(let(letters, lambda x: F.transform(starts, lambda i: F.array_join(F.slice(x, i, size), ""))))
+
+
+def _holding_short(chunks: DataFrame, short: DataFrame) -> DataFrame:
+    """Pairs for questions that have no inner words to be found by. Questions below GRAM characters are themselves what chunks are looked through for; longer ones meet the chunks that hold
+    their rarest run of GRAM characters."""
+    sizes = [r[0] for r in short.select(F.least(F.char_length("question"), F.lit(GRAM)).alias("n")).filter("n > 0").distinct().collect()]  # GRAM numbers at most
+    out = None
+    few = (short.agg(F.sum(F.octet_length("question") + 16)).first()[0] or 0) <= ASKED_BYTES
+    sent = F.broadcast if few else (lambda df: df)
+    for size in sizes:
+        mine = short.filter(F.least(F.char_length("question"), F.lit(GRAM)) == size)
+        held = chunks.withColumn("_gram", F.explode(_grams(F.col("text"), size)))
+        if size < GRAM:
+            asked = mine.withColumn("_gram", F.col("question"))
+        else:
+            each = mine.select("question").distinct().select("question", F.explode(_grams(F.col("question"), size)).alias("_gram"))
+            counts = held.join(sent(each.select("_gram").distinct()), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("n"))
+            rarest = each.join(counts, "_gram", "left").groupBy("question").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "_gram")).alias("x")).select("question", F.col("x._gram").alias("_gram"))
+            asked = mine.join(rarest, "question")
+        met = held.join(sent(asked), "_gram").drop("_gram").filter(F.contains("text", "question"))
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def holding(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """The pairs of chunks (text) and questions (question) whose text holds the question as it stands.
 
     The pieces of a question between spaces, but for its first and last, are pieces of any text that holds it; so the pairs meet by the hash of the
-    first INSIDE of those, and are then compared. Questions with fewer pieces are met by a scan of the chunks, as they have nothing to be found by."""
+    first INSIDE of those, and are then compared. Questions with fewer pieces meet chunks by runs of characters. An empty question is held by every text, and a null one by none."""
     pieces = F.split("question", " ", -1)
     long = F.size(pieces) >= INSIDE + 2
     asked = questions.filter(long).withColumn("_key", F.xxhash64(F.array_join(F.slice(pieces, 2, INSIDE), " ")))
@@ -180,7 +211,13 @@ def holding(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     keys = let(words, lambda w: F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, INSIDE), " "))))
     met = chunks.withColumn("_key", F.explode(F.array_distinct(keys))).join(asked, "_key").drop("_key").filter(F.contains("text", "question"))
     short = questions.filter(~long)
-    return met.unionByName(chunks.join(short, F.contains("text", "question")))
+    if short.isEmpty():
+        return met
+    n = max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = chunks.filter("text is not null").withColumn("_deal", F.pmod(F.xxhash64("text"), F.lit(n)))
+    every = dealt.join(short.filter("question = ''").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))), "_deal").drop("_deal")
+    near = _holding_short(chunks, short.filter("question <> ''"))
+    return met.unionByName(every) if near is None else met.unionByName(near).unionByName(every)
 
 
 def score_stats(df: DataFrame, column: str = "similarity_score", by: list[str] | None = None) -> DataFrame:

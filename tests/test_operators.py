@@ -168,6 +168,19 @@ def test_questions_are_found_in_chunks(spark):
     assert {(r.chunk_id, r.item_id) for r in X.holding(chunks, questions).collect()} == want and len(want) > 5
 
 
+def test_short_questions_are_found_by_their_rarest_run(spark):
+    """Questions of any length, letters and words, without a join that compares all pairs."""
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(["so one two", "onetwo three", "éé x", "", "abcabcabcabc", "one  two", None, "a", "zzzzzzzzone two thr"])], "chunk_id int, text string")
+    asked = ["o", "é", "one", "one two", "abcabcab", "zzzzzzz", "nowhere", "x", "", " ", "a", None, "two three", "one two thr", "abcab", "abcabc"]
+    questions = spark.createDataFrame(list(enumerate(asked + asked[:4])), "item_id int, question string")
+    pairs = X.holding(chunks, questions)
+    want = sorted((c.chunk_id, q.item_id) for c in chunks.collect() for q in questions.collect() if c.text is not None and q.question is not None and q.question in c.text)
+    assert sorted((r.chunk_id, r.item_id) for r in pairs.collect()) == want
+    plan = pairs._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert X.holding(chunks, questions.filter("question = 'nothing'")).count() == 0
+
+
 def test_contexts_of_all_examples(spark):
     found = spark.createDataFrame([("a", 1, "c", " t ")], "example_id string, rank int, chunk_id string, chunk_text string")
     every = spark.createDataFrame([("a",), ("b",)], "example_id string")
@@ -185,6 +198,39 @@ def test_quartiles_equal_the_percentile(spark):
     assert all((x is None and y is None) or math.isclose(x, y, abs_tol=1e-9) for g in want for x, y in zip(got[g], want[g], strict=True))
 
 
+@pytest.mark.parametrize("bound", [S.BOUND, 3 * S.SMALL])
+def test_quartiles_of_outliers_repeats_and_infinities(spark, bound):
+    """Whatever the values, a task sorts no more than the bound of a group."""
+    inf = float("inf")
+    one = spark.createDataFrame([("few", 1.0), ("few", 2.0), ("few", inf), ("both", -inf), ("both", inf), ("both", inf), ("none", None), ("outlier", 1e15), ("tails", inf), ("tails", -inf)], "g string, v double")
+    rows = spark.range(20_000).selectExpr("'outlier' AS g", "CAST((id * 7919) % 20011 AS DOUBLE) / 7 AS v")
+    rows = rows.unionByName(spark.range(20_000).selectExpr("'repeats' AS g", "CAST(CASE WHEN id < 15000 THEN 3 ELSE id END AS DOUBLE) AS v"))
+    rows = rows.unionByName(spark.range(9_000).selectExpr("'tails' AS g", "CAST(id AS DOUBLE) AS v")).unionByName(one)
+    want = rows.groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("x"))
+    got = {r.g: [r["min"], r.q1, r.median, r.q3, r["max"]] for r in S.group_quartiles(rows, "g", "v", bound).collect()}
+    assert got.keys() == {"few", "both", "none", "outlier", "repeats", "tails"}
+    for r in want.collect():
+        for p, y in zip((0.0, 0.25, 0.5, 0.75, 1.0), got[r.g], strict=True):
+            at = (len(r.x) - 1) * p
+            if not r.x:
+                assert y is None
+                continue
+            a, z = r.x[math.floor(at)], r.x[math.ceil(at)]
+            assert y == a if a == z or at == int(at) else (y == z if z == inf and a > -inf else math.isnan(y) or math.isclose(y, a + (z - a) * (at % 1))), (r.g, p)
+
+
+def test_brackets_shrink(spark):
+    rows = spark.range(100_000).selectExpr("'g' AS g", "CAST(id * id AS DOUBLE) AS v")
+    held = rows.groupBy(F.col("g").alias("h")).agg(F.count("*").alias("n"), F.count("*").alias("most"), *(f("v").alias(f"{x}{i}") for i in range(3) for f, x in ((F.min, "lo"), (F.max, "hi"))))
+    for _ in range(2):
+        before, held = held.first(), S._narrowed(rows, held)
+        after = held.first()
+        assert after.most < before.most / 15 or after.most <= 3 * S.SMALL
+        for i, p in enumerate((0.25, 0.5, 0.75)):
+            rank = 99_999 * p
+            assert after[f"lo{i}"] <= math.floor(rank) ** 2 and math.ceil(rank) ** 2 <= after[f"hi{i}"]
+
+
 def test_short_answer_lists_and_times(spark):
     def short(prompts, temperature, max_tokens):
         return [p.upper() for p in prompts][:1]
