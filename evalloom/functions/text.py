@@ -15,9 +15,10 @@ STOP_WORDS = (
 CLAIM_TERMS = ["copay", "deductible", "coinsurance", "out-of-pocket", "maximum", "minimum"]
 #: Phrases of answers that say nothing specific.
 GENERIC_PHRASES = ["i don't know", "i'm not sure", "cannot determine", "unable to", "please consult", "contact your", "refer to", "check with"]
-#: Patterns of claims with a number, in order.
+#: Patterns of claims with a number, in order. Digits are 0 to 9 alone, so that all engines give the same rows.
 CLAIM_PATTERNS = [r"\$[0-9]+(?:\.[0-9]+)?", r"[0-9]+\s*(?:hours?|minutes?|days?|weeks?)", r"(?:step|step\s+)[0-9]+", r"[0-9]+(?:\.[0-9]+)?\s*(?:percent|%)"]
-WORD = r"[\p{L}\p{N}_]+"
+#: A word of three characters or more; shorter ones are no keywords.
+WORD = r"[\p{L}\p{N}_]{3,}"
 SPLIT = "[.!?]+"
 
 
@@ -37,10 +38,19 @@ def normalize(c: Column) -> Column:
 
 def keywords(c: Column) -> Column:
     """Lower-cased words of more than two characters that are no stop words, in order."""
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
 
 
-def claims(c: Column, limit: int = 5) -> Column:
+def keyword_set(lowered: Column) -> Column:
+    """The distinct keywords of a text that is in lower case, without a lambda."""
+    return F.array_except(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array(*map(F.lit, STOP_WORDS)))
+
+
+#: Claims of an answer that are looked at.
+LIMIT = 5
+
+
+def claims(c: Column, limit: int = LIMIT) -> Column:
     """The first claims: amounts, times, steps and percentages, then short sentences with a digit or a term of insurance."""
     numbers = [F.regexp_extract_all(c, F.lit("(?i)" + p), F.lit(0)) for p in CLAIM_PATTERNS]
     telling = F.filter(

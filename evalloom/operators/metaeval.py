@@ -12,18 +12,32 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.functions.text import blank, claims, clip, is_generic, jaccard, keywords, let, normalize, numeric_cost, strip
+from evalloom.functions.text import LIMIT, blank, claims, clip, is_generic, jaccard, keyword_set, let, normalize, numeric_cost, strip
 
 SIMILAR, SUPPORTED, SHORT = 0.7, 0.5, 50
 DIRECTIONS, IMPACTS = (-1, 0, 1), (0, 1, 2, 3)
 
 
+def _similar(a: Column, b: Column) -> Column:
+    """Of two sets of keywords."""
+    return F.coalesce((F.size(a) > 0) & (F.size(b) > 0) & (jaccard(a, b) >= SIMILAR), F.lit(False))
+
+
+def _unsupported(claim: Column, own: Column, text: Column, words: Column) -> Column:
+    """claim, text: normalised; own, words: their sets of keywords."""
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect(own, words)), F.size(own)), F.lit(0.0))
+    return ~F.contains(text, claim) & (share < SUPPORTED)
+
+
+def _vague(answer: Column) -> Column:
+    return (F.length(strip(answer)) < SHORT) | is_generic(answer)
+
+
 def gt_correctness(answer: Column, reference: Column) -> Column:
     """Equal after normalisation, or similar by keywords."""
 
     def alike(n: Column) -> Column:
-        words = F.struct(keywords(n["a"]).alias("a"), keywords(n["b"]).alias("b"))
-        similar = let(words, lambda w: F.coalesce((F.size(w["a"]) > 0) & (F.size(w["b"]) > 0) & (jaccard(w["a"], w["b"]) >= SIMILAR), F.lit(False)))
+        similar = let(F.struct(keyword_set(n["a"]).alias("a"), keyword_set(n["b"]).alias("b")), lambda w: _similar(w["a"], w["b"]))
         return F.when(n["a"] == n["b"], True).when(n["a"].isNotNull() & n["b"].isNotNull(), similar)
 
     return let(F.struct(normalize(answer).alias("a"), normalize(reference).alias("b")), alike)
@@ -34,17 +48,29 @@ def gt_hallucination(answer: Column, context: Column) -> Column:
 
     The context is normalised and cut into keywords once for a row, whatever its number of claims."""
 
-    def unsupported(known: Column, claim: Column) -> Column:
-        own = F.array_distinct(keywords(claim))
-        share = let(own, lambda w: F.try_divide(F.size(F.array_intersect(w, known["words"])), F.size(w)))
-        return ~F.contains(known["text"], claim) & (F.coalesce(share, F.lit(0.0)) < SUPPORTED)
-
     def some_unsupported(found: Column) -> Column:
-        known = let(normalize(context), lambda n: F.struct(n.alias("text"), keywords(n).alias("words")))
-        return let(known, lambda k: F.exists(F.transform(found, normalize), lambda c: unsupported(k, c)))
+        known = let(normalize(context), lambda n: F.struct(n.alias("text"), keyword_set(n).alias("words")))
+        return let(known, lambda k: F.exists(F.transform(found, normalize), lambda c: _unsupported(c, keyword_set(c), k["text"], k["words"])))
+
+    return F.when(blank(context), True).otherwise(let(claims(answer), lambda found: F.when(F.size(found) == 0, ~_vague(answer)).otherwise(some_unsupported(found))))
+
+
+def with_truths(df: DataFrame, answer: str, reference: str, context: str, correctness: str, hallucination: str) -> DataFrame:
+    """df with gt_correctness and gt_hallucination as columns of these names.
 
-    vague = (F.length(strip(answer)) < SHORT) | is_generic(answer)
-    return F.when(blank(context), True).otherwise(let(claims(answer), lambda found: F.when(F.size(found) == 0, ~vague).otherwise(some_unsupported(found))))
+    The same as the two expressions, in steps: each text is normalised once and cut into its set of keywords once, and each claim is a column of its own, so that all of it is generated code."""
+    texts = {"_of_a": F.col(answer), "_of_r": F.col(reference), "_of_c": F.col(context)}
+    out = df.withColumns({k: normalize(c) for k, c in texts.items()} | {"_of_claims": claims(F.col(answer))})
+    each = range(LIMIT)
+    out = out.withColumns({f"{k}w": keyword_set(F.col(k)) for k in texts} | {f"_of_c{i}": normalize(F.get("_of_claims", F.lit(i))) for i in each})
+    out = out.withColumns({f"_of_c{i}w": keyword_set(F.col(f"_of_c{i}")) for i in each})
+    correct = F.when(F.col("_of_a") == F.col("_of_r"), True).when(F.col("_of_a").isNotNull() & F.col("_of_r").isNotNull(), _similar(F.col("_of_aw"), F.col("_of_rw")))
+    some = F.lit(False)
+    for i in each:
+        some = some | F.coalesce(F.when(F.col(f"_of_c{i}").isNotNull(), _unsupported(F.col(f"_of_c{i}"), F.col(f"_of_c{i}w"), F.col("_of_c"), F.col("_of_cw"))), F.lit(False))
+    of_claims = F.when(F.size("_of_claims") == 0, ~_vague(F.col(answer))).when(F.col("_of_claims").isNotNull(), some)
+    out = out.withColumns({correctness: correct, hallucination: F.when(blank(F.col(context)), True).otherwise(of_claims)})
+    return out.drop(*texts, *(f"{k}w" for k in texts), "_of_claims", *(f"_of_c{i}" for i in each), *(f"_of_c{i}w" for i in each))
 
 
 FIELDS = ("money", "time", "steps")
@@ -106,7 +132,7 @@ def explanation(correct: Column, hallucination: Column, direction: Column, impac
 def meta_evaluate(df: DataFrame, with_costs: bool = False) -> DataFrame:
     """df (model_answer, reference_answer, context, correctness, hallucination, risk_direction, risk_impact; with_costs: extracted_costs,
     actual_costs) with the struct meta_eval_output. Risk checks hold only for answers judged correct with both costs; else they pass."""
-    out = df.withColumns({"_gc": gt_correctness(F.col("model_answer"), F.col("reference_answer")), "_gh": gt_hallucination(F.col("model_answer"), F.col("context"))})
+    out = with_truths(df, "model_answer", "reference_answer", "context", "_gc", "_gh")
     if with_costs:
         gate = F.coalesce(F.col("correctness"), F.lit(False)) & F.col("extracted_costs").isNotNull() & F.col("actual_costs").isNotNull()
         risk = _both(F.col("extracted_costs"), F.col("actual_costs"), lambda e, a: F.struct(_direction(e, a).alias("d"), _impact(e, a).alias("i")))

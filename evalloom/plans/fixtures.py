@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,9 +63,15 @@ FROM (SELECT doc_id, concat('{{"correctness_binary": ', CASE WHEN quality = 1 TH
 VECTORS = """SELECT vec_id, embedding, label FROM {embeddings}"""
 
 
-def spark_rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: where its scan gives fewer tasks than there are, its rows are dealt out anew; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spark_rows(spark: SparkSession, sf_dir: str, sql: str, dealt: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     names = set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql))
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    return spark.sql(sql, **{n: dealt(spark.read.parquet(f"{sf_dir}/{n}.parquet")) for n in names})
 
 
 def duck_rows(sql: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalloom.operators import judging as J
 from evalloom.operators import metaeval as V
 
-from .fixtures import COST, QA, RESPONSE, VERDICT, duck_rows, spark_rows
+from .fixtures import COST, QA, RESPONSE, VERDICT, duck_rows, spark_rows, spread
 from .text_queries import claims_sql, generic_sql, keywords_sql, normalize_sql, numeric_sql
 
 TEMPLATE = "Question: {query}\nAnswer: {model_answer}\nReference: {reference_answer}\nSay {{\"correctness_binary\": true}} or false."
@@ -22,7 +22,7 @@ def qa(s, d):
 
 
 def costs(s, d):
-    c = spark_rows(s, d, COST)
+    c = spark_rows(s, d, COST, spread)
     pair = lambda p: F.struct(F.col(f"{p}_money").alias("money"), F.col(f"{p}_time").alias("time"), F.col(f"{p}_steps").alias("steps"))
     return c.withColumns({"extracted_costs": pair("extracted"), "actual_costs": pair("actual")})
 
@@ -124,7 +124,7 @@ def gt_correctness(s, d):
 
 
 def gt_hallucination(s, d):
-    c = spark_rows(s, d, COST)
+    c = spark_rows(s, d, COST, spread)
     return c.groupBy("l_orderkey").agg(F.count_if(V.gt_hallucination(F.col("answer"), F.col("context"))).alias("unsupported"), F.count("*").alias("n"))
 
 
