@@ -2,7 +2,8 @@ r"""Chat formatting: records of several layouts become canonical turns, then one
 
 A record is a JSON object. Its schema fingerprint is the hash of its sorted nested field paths (an array adds "[]"), of those that some mapping names:
 ids, scores and the like do not change it. The fingerprint selects a declarative mapping, which names where the turns' roles and texts are,
-with and without its optional fields. A record that has fields of several layouts goes to the first of which it has all the required ones. New
+with and without its optional fields (a system text, a history, calls of tools). A record that has fields of several layouts goes to the first of which it has all the required ones, if that loses no text: a
+record with a text that its mapping doesn't name, and whose field is no METADATA, is of an unknown layout. New
 layouts are new entries of LAYOUTS, no new code. Role names are made canonical in the layouts of other makers; the layout "turns" is this library's own, and its roles stay.
 
 Template: a turn is `<s>[role]text</s>`. Inside roles and texts, each of `\`, `<`, `[` and `]` is written after a `\`, so
@@ -35,13 +36,15 @@ TURN = re.compile(r"<s>\[((?:[^\\\]]|\\.)*)\]((?:[^\\<]|\\.)*)</s>", re.S)
 LEARNED = "assistant"
 #: Names of roles in public datasets, and the canonical ones.
 ROLES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
+#: Names of fields whose texts are no part of a conversation, at any depth.
+METADATA = ("category", "created", "dataset", "id", "lang", "language", "license", "metadata", "model", "name", "source", "tags", "timestamp", "type", "url", "uuid")
 
 
 @dataclass(frozen=True)
 class Layout:
     """paths: the nested field paths that a record must have; optional: others that it may have. items: the field of a list of turns, with the
-    fields of role and text in each; or fields: pairs of role and top-level field, and joined: fields added to a turn's text after a blank line.
-    roles: canonical names of roles."""
+    fields of role and text in each, and calls: a field of an item that is added to its text as JSON; or fields: pairs of role and top-level field, and joined: fields added to a turn's text after a blank line.
+    A top-level `system` is the first turn; a `history` beside fields, of pairs of a user's and an assistant's text or of objects with role and content, comes before them. roles: canonical names of roles."""
 
     name: str
     paths: tuple[str, ...]
@@ -50,39 +53,77 @@ class Layout:
     joined: tuple[tuple[str, str], ...] = ()
     optional: tuple[str, ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
+    calls: str | None = None
 
     @property
     def fingerprints(self) -> list[str]:
         return [path_hash((*self.paths, *some)) for n in range(len(self.optional) + 1) for some in combinations(self.optional, n)]
 
+    def names(self, path: str) -> bool:
+        """Whether the mapping uses what stands at the path, or within what does."""
+        used = (*self.paths, *self.optional)
+        return any(path == p or path.startswith((f"{p}.", f"{p}[")) for p in used)
+
     def turns(self, record: dict) -> list[tuple[str, str]]:
         if self.items:
             where, role, text = self.items
             names = dict(self.roles)
-            found = [(_text(x.get(role)), _text(x.get(text))) for x in record.get(where) or [] if isinstance(x, dict)]
-            return [(names.get(r, r), t) for r, t in found]
+            out = [("system", _text(record["system"]))] if "system" in self.optional and _text(record.get("system")) else []
+            for x in record.get(where) or []:
+                if isinstance(x, dict):
+                    body, called = _text(x.get(text)), _text(x.get(self.calls) or None) if self.calls else ""
+                    out.append((names.get(r := _text(x.get(role)), r), "\n\n".join(filter(None, (body, called)))))
+            return out
         more = dict(self.joined)
         out = []
         for role, field in self.fields:
             text = _text(record.get(field))
             if added := _text(record.get(more.get(field, ""))):
                 text = f"{text}\n\n{added}"
+            if role == "user":
+                out += _history(record.get("history"))
             if text or role != "system":
                 out.append((role, text))
         return out
 
 
+def _history(value) -> list[tuple[str, str]]:
+    """The turns of a history; what is neither a pair nor an object with role and content is one turn, as JSON."""
+    out, names = [], dict(ROLES)
+    for x in value if isinstance(value, list) else [value] if value else []:
+        if isinstance(x, list) and len(x) == 2:
+            out += [("user", _text(x[0])), ("assistant", _text(x[1]))]
+        elif isinstance(x, dict) and x.keys() == {"role", "content"}:
+            out.append((names.get(r := _text(x["role"]), r), _text(x["content"])))
+        else:
+            out.append(("history", _text(x)))
+    return out
+
+
 def _text(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+def texts_at(value, at: str = "") -> Iterator[str]:
+    """The paths of all texts that aren't blank, but for those of metadata."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            if k not in METADATA:
+                yield from texts_at(v, f"{at}.{k}" if at else k)
+    elif isinstance(value, list):
+        for v in value:
+            yield from texts_at(v, at + "[]")
+    elif isinstance(value, str) and value.strip():
+        yield at
+
+
 LAYOUTS = (
     Layout("turns", ("turns[].role", "turns[].text"), ("turns", "role", "text")),
-    Layout("messages", ("messages[].role", "messages[].content"), ("messages", "role", "content"), roles=ROLES),
-    Layout("from_value", ("conversations[].from", "conversations[].value"), ("conversations", "from", "value"), roles=ROLES),
-    Layout("prompt", ("prompt", "response"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system",)),
-    Layout("prompt_completion", ("prompt", "completion"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "completion")), optional=("system",)),
-    Layout("instruction", ("instruction", "output"), fields=(("system", "system"), ("user", "instruction"), ("assistant", "output")), joined=(("instruction", "input"),), optional=("input", "system")),
+    Layout("messages", ("messages[].role", "messages[].content"), ("messages", "role", "content"), optional=("system", "messages[].tool_calls"), roles=ROLES, calls="tool_calls"),
+    Layout("from_value", ("conversations[].from", "conversations[].value"), ("conversations", "from", "value"), optional=("system",), roles=ROLES),
+    Layout("prompt", ("prompt", "response"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system", "history")),
+    Layout("prompt_completion", ("prompt", "completion"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "completion")), optional=("system", "history")),
+    Layout("instruction", ("instruction", "output"), fields=(("system", "system"), ("user", "instruction"), ("assistant", "output")), joined=(("instruction", "input"),), optional=("input", "system", "history")),
 )
 
 
@@ -96,10 +137,10 @@ class Mappings:
 
     def layout(self, record: dict) -> Layout | None:
         paths = set(nested_paths(record))
-        if found := self.by_hash.get(path_hash(paths & self.known)):
-            return found
-        # fields of several layouts, or a list without any turn
-        return next((x for x in self.layouts if paths.issuperset(x.paths) or x.items and record.get(x.items[0]) == []), None)
+        found = self.by_hash.get(path_hash(paths & self.known))
+        if not found:  # fields of several layouts, or a list without any turn
+            found = next((x for x in self.layouts if paths.issuperset(x.paths) or x.items and record.get(x.items[0]) == []), None)
+        return found if found and all(map(found.names, set(texts_at(record)))) else None
 
 
 def path_hash(paths) -> str:
@@ -186,12 +227,24 @@ def digest(formatted: DataFrame) -> DataFrame:
 
 
 def turn_records(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text rows -> conv_id and one JSON record of the layout "turns" per conversation.
+    """conv_id, turn, role, text rows -> conv_id and one JSON record per conversation, of one of four layouts, by its id, among those that can hold its roles.
 
     A conversation is one text in the end, so its turns meet in one row; nothing else is grouped."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    listed = F.transform(F.array_sort(F.collect_list(turn), _order), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    return rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.to_json(F.struct(listed.alias("turns"))).alias("record"))
+    each = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn), _order).alias("t"))
+    each = each.withColumn("roles", F.transform("t", lambda x: x["role"]))
+    pairs = lambda role, text: F.transform("t", lambda x: F.struct(x["role"].alias(role), x["text"].alias(text)))
+    text = lambda i: F.try_element_at("t", F.lit(i))["text"]
+    pick, plain = F.pmod("conv_id", F.lit(4)), ~F.arrays_overlap("roles", F.array(*(F.lit(a) for a, _ in ROLES)))
+    is_ = lambda *roles: F.col("roles") == F.array(*map(F.lit, roles))
+    record = (
+        F.when((pick == 1) & plain, F.to_json(F.struct(pairs("role", "content").alias("messages"))))
+        .when((pick == 2) & plain, F.to_json(F.struct(pairs("from", "value").alias("conversations"))))
+        .when((pick == 3) & is_("user", "assistant"), F.to_json(F.struct(text(1).alias("prompt"), text(2).alias("response"))))
+        .when((pick == 3) & is_("system", "user", "assistant") & (text(1) != ""), F.to_json(F.struct(text(1).alias("system"), text(2).alias("prompt"), text(3).alias("response"))))
+        .otherwise(F.to_json(F.struct(pairs("role", "text").alias("turns"))))
+    )
+    return each.select("conv_id", record.alias("record"))
 
 
 def _order(a, b):

@@ -234,13 +234,36 @@ def test_chat_layouts_and_round_trip(spark):
     assert of({"system": "be", "prompt": "hi", "completion": "yes"}) == ("prompt_completion", [("system", "be"), *turns])
     assert of({"prompt": "hi", "response": "yes", "score": 0.5}) == ("prompt", turns)
     assert of({"id": 1, "messages": [{"role": "user", "content": "hi", "name": "x"}, {"role": "model", "content": "yes"}]}) == ("messages", turns)
-    assert of({"prompt": "p", "messages": [{"role": "user", "content": "hi"}, {"role": "gpt", "content": "yes"}]}) == ("messages", turns)
+    assert of({"prompt": "", "messages": [{"role": "user", "content": "hi"}, {"role": "gpt", "content": "yes"}]}) == ("messages", turns)
     assert of({"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yes", "weight": 1}]}) == ("from_value", turns)
     assert of({"turns": [{"role": "human", "text": "hi"}, {"role": None, "text": None}]}) == ("turns", [("human", "hi"), ("", "")])
     assert of({"messages": []}) == ("messages", []) and of([1]) == (None, [("record", "[1]")])
     assert of({"messages": [{"role": "user", "content": [{"text": "a"}]}]}) == ("messages", [("user", '[{"text": "a"}]')])
 
 
+def test_chat_mappings_lose_no_text():
+    of = lambda x: chat.canonical(json.dumps(x), chat.Mappings())
+    turns = [("user", "hi"), ("assistant", "yes")]
+    talk = [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yes"}]
+    assert of({"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yes"}], "system": "be nice"}) == ("from_value", [("system", "be nice"), *turns])
+    assert of({"messages": talk, "system": "be nice"}) == ("messages", [("system", "be nice"), *turns])
+    assert of({"history": [["a", "b"], {"role": "human", "content": "c"}, "d"], "prompt": "hi", "response": "yes"}) == ("prompt", [("user", "a"), ("assistant", "b"), ("user", "c"), ("history", "d"), *turns])
+    call = [{"function": {"name": "f", "arguments": "x"}}]
+    assert of({"messages": [talk[0], {"role": "assistant", "content": None, "tool_calls": call}]}) == ("messages", [turns[0], ("assistant", json.dumps(call))])
+    for record in ({"messages": [*talk, "and a text"]}, {"messages": talk, "prompt": "p", "response": "r"}, {"prompt": "p", "messages": talk}, {"messages": [{**talk[0], "note": "more"}, talk[1]]}):
+        assert of(record) == (None, [("record", json.dumps(record))])
+    assert of({"messages": [{**talk[0], "name": "x"}, talk[1]], "id": "7", "source": {"url": "u"}}) == ("messages", turns)
+
+
+def test_conversations_come_in_several_layouts(spark):
+    """The query's records, and that fingerprints, not their place, decide."""
+    rows = [(i, t, r, f"{i}-{t}") for i in range(12) for t, r in enumerate([("user", "assistant"), ("system", "user", "assistant"), ("human", "assistant")][i % 3])]
+    made = chat.format_chats(chat.turn_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert {r.layout for r in made} == {"turns", "messages", "from_value", "prompt"}
+    assert {r.conv_id: chat.read_back(r.formatted) for r in made} == {i: [(r, x) for j, _, r, x in rows if j == i] for i in range(12)}
+    assert {r.layout for r in made if r.conv_id % 3 == 2} == {"turns"}  # a role that other layouts would rename
+
+
 def test_chat_takes_odd_rows_and_empty_tables(spark):
     long = "é<[\\" * 1_200_000
     rows = [(1, 2, "user", "b", 0), (1, 1, "assistant", None, 0), (1, 1, "assistant", None, 0), (1, None, None, "first", 0), (None, 0, "human", long, 0), (2, 0, "assistant", "</s>", 0)]
