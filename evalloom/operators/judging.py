@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalloom.functions.text import strip
+from evalloom.sources.tables import done_with
 
 _ANSWER = 'Give a JSON object {"%s": %s, "reasoning": "why"}.'
 #: Default templates; callers give their own.
@@ -261,14 +262,18 @@ def judge(df: DataFrame, fn: Callable, keep: Callable[[DataFrame], DataFrame], t
     rows that pass alone. keep(df) writes a stage and gives it back, so that no model is called twice. call: `call_model`, or the `call` of a ledger."""
     if gate not in ("correct", "hallucination"):
         raise ValueError("gate is correct or hallucination")
-    out = keep(judge_stage(df, fn, "correctness", {"query": "question", "model_answer": "model_answer", "reference_answer": "reference_answer"}, templates, call))
-    out = keep(judge_stage(out, fn, "hallucination", {"retrieved_context": "context", "model_answer": "model_answer"}, templates, call))
+    first = keep(judge_stage(df, fn, "correctness", {"query": "question", "model_answer": "model_answer", "reference_answer": "reference_answer"}, templates, call))
+    out = keep(judge_stage(first, fn, "hallucination", {"retrieved_context": "context", "model_answer": "model_answer"}, templates, call))
+    done_with(first)
     through = F.col("correctness") if gate == "correct" else F.col("hallucination")
     risky = keep(judge_stage(out.filter(through), fn, "risk_direction", {"model_answer": "model_answer", "retrieved_context": "context"}, templates, call))
+    own = [c for c in df.columns if c != "example_id"]
     for name, text in (("model_cost", "model_answer"), ("actual_cost", "context")):
         asked = call(render_prompt(risky, templates["cost"], {"text": text}, ["text"], "_prompt"), fn, "_prompt", out="_response")
         failed = F.coalesce(F.col("error"), F.col("cost_error"))
-        risky = keep(cost_result(asked, "_response", name).withColumn(f"{name}_error", failed).drop("_prompt", "_response", "cost_error", "error"))
+        before, found = risky, cost_result(asked, "_response", name).withColumn(f"{name}_error", failed).drop("_prompt", "_response", "cost_error", "error")
+        risky = keep(found.drop(*own) if name == "actual_cost" else found)  # no text is needed any more
+        done_with(before)
     # a call that failed is an error, and not a text without costs
     risky = risky.withColumn("_failed", F.coalesce("model_cost_error", "actual_cost_error"))
     why = F.when(F.col("_failed").isNull(), cost_gate(F.col("model_cost"), F.col("actual_cost")))

@@ -114,11 +114,11 @@ def count_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def generate_answers(examples: DataFrame, retrieved: DataFrame, generate_fn: Callable, keep: Callable[[DataFrame], DataFrame], k: int = 5, call: Callable = judging.call_model) -> DataFrame:
-    """examples with prompt, context, model_answer, generation_error and the times of the call, from the k best retrieved texts of each."""
+    """examples with context, model_answer, generation_error and the times of the call, from the k best retrieved texts of each."""
     top = retrieved.filter(F.col("rank") <= k)
     texts = top.groupBy("example_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_text"))), lambda x: x["chunk_text"]).alias("texts"))
     rows = examples.join(texts, "example_id", "left").withColumn("prompt", judging.rag_prompt(F.col("question"), F.col("texts"), refuse=False))
-    return keep(call(rows, generate_fn, out="model_answer", times=("start_time", "generated_at")).withColumnRenamed("error", "generation_error").withColumn("context", F.array_join("texts", " ")))
+    return keep(call(rows, generate_fn, out="model_answer", times=("start_time", "generated_at")).withColumnRenamed("error", "generation_error").withColumn("context", F.array_join("texts", " ")).drop("prompt", "texts"))
 
 
 def judge_answers(rows: DataFrame, retrieved: DataFrame, judge_fn: Callable, keep: Callable[[DataFrame], DataFrame], run_id: str, k: int = 5, on_error: str = "row", with_costs: bool = False, gate: str = "correct", with_ir: bool = True, call: Callable = judging.call_model) -> DataFrame:

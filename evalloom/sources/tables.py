@@ -185,7 +185,16 @@ def kept_at(df: DataFrame, path: str) -> DataFrame:
 
 def kept(df: DataFrame) -> DataFrame:
     """The rows, written once in the shared folder and read again, so that no model is called twice."""
-    return kept_at(df, scratch(df.sparkSession))
+    path = scratch(df.sparkSession)
+    out = kept_at(df, path)
+    out._kept_at = path
+    return out
+
+
+def done_with(df: DataFrame) -> None:
+    """Deletes what `kept` wrote for df, once nothing that is still to be computed reads it; a df from elsewhere stays."""
+    if path := getattr(df, "_kept_at", None):
+        forget(df.sparkSession, path)
 
 
 def forget(spark: SparkSession, path: str) -> None:
