@@ -81,7 +81,7 @@ def test_pipeline_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")} and "pipeline" in names
 
 
 # 1
