@@ -1,14 +1,14 @@
 """Line dedup by a segment-partition edit join, with DataFrame functions only.
 
-A line is removed if an earlier line, by (doc_id, line number), is equal to it or, where both have MIN_BYTES bytes at least, within MAX_EDITS edits.
-Lines are judged on the input. Edits are counted on UTF-8 bytes. Shorter lines are alike by chance within two edits, so of those equal ones alone
-are removed. Blank lines (of spaces and U+0009 to U+000D) are never removed.
+A line is removed if an earlier line, by (doc_id, line number), is equal to it or within the edits that the shorter of the two allows: one for each
+PER_EDIT bytes, MAX_EDITS at most (so none below 16 bytes, one up to 31, two from 32 on). Lines are judged on the input. Edits are counted on UTF-8 bytes.
+Blank lines (of spaces and U+0009 to U+000D) are never removed.
 
-Equal lines are one row, of their first place; 96 bits of hash decide equality. A line of n bytes is cut into MAX_EDITS + 1 even segments; by the pigeonhole principle a
-line within MAX_EDITS edits holds one of them unchanged, at a place that is shifted by no more edits than are left on either side. So each line is
-indexed under its own segments (with length and segment number), and probes, for each length from its own down to MAX_EDITS less, the
-substrings at those places. Pairs that meet and whose sketches (counts of sixteen letters) allow so few edits are verified on what remains between
-their common prefix and suffix, with a bit vector of the 2 * MAX_EDITS + 1 diagonals for each number of edits.
+Equal lines are one row, of their first place; 96 bits of hash decide equality. A line that allows e edits is cut into e + 1 even segments; by the pigeonhole principle a
+line of its length or more within e edits holds one of them unchanged, at a place that is shifted by no more edits than are left on either side. So each line is
+indexed under its own segments (with length and segment number), and probes, for each length from its own down to as many less as that length allows
+edits, the substrings at those places. Pairs that meet and whose sketches (counts of sixteen letters) allow so few edits are verified on what remains between
+their common prefix and suffix, with a bit vector of the 2 * e + 1 diagonals for each number of edits.
 
 Nulls: a null text has one empty line; a null doc_id comes before all others. Equal lines of the same number in rows that share a doc_id are at one place. Empty tables
 give no rows. Further columns, however named, are kept by dedup_lines.
@@ -24,7 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, read
 
-MAX_EDITS, MIN_BYTES = 2, 32
+MAX_EDITS, PER_EDIT = 2, 16
+#: The lowest bits of a key: the edits that its length allows.
+EDIT_BITS = 3
+
+
+def allowed(length: Column, edits: int, per_edit: int) -> Column:
+    """Edits within which a line of that many bytes is alike to one that is as long or longer."""
+    return F.least(F.lit(edits), (length / per_edit).cast("int"))
 
 
 def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -35,24 +42,30 @@ def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return F.lit(i) * base + extra, base + (F.lit(i) >= F.lit(count) - longer).cast("int")
 
 
-def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
+def _key(line: Column, length: Column, edits: int, i: int, start: Column, size: Column) -> Column:
+    found = F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
+    return F.shiftleft(found, EDIT_BITS).bitwiseOR(F.lit(edits))
 
 
-def index_keys(line: Column, n: Column, edits: int = MAX_EDITS) -> Column:
-    return F.array(*(_key(line, n, i, *segment(n, i, edits)) for i in range(edits + 1)))
+def index_keys(line: Column, n: Column, edits: int = MAX_EDITS, per_edit: int = PER_EDIT) -> Column:
+    """A line's own segments, as many as the edits that it allows and one more."""
+    keys = F.array().cast("array<long>")
+    for e in range(1, edits + 1):
+        keys = F.when(allowed(n, edits, per_edit) == e, F.array(*(_key(line, n, e, i, *segment(n, i, e)) for i in range(e + 1)))).otherwise(keys)
+    return keys
 
 
-def probe_keys(line: Column, n: Column, edits: int = MAX_EDITS, least: int = MIN_BYTES) -> Column:
-    """All probes but those of the same length and place, which are the line's own index keys; null for lengths below the least."""
+def probe_keys(line: Column, n: Column, edits: int = MAX_EDITS, per_edit: int = PER_EDIT) -> Column:
+    """All probes but those of the same length and place, which are the line's own index keys; null for lengths that allow another number of edits."""
     keys = []
-    for less in range(edits + 1):
-        length = n - less
-        for i in range(edits + 1):
-            start, size = segment(length, i, edits)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                if less or shift:
-                    keys.append(F.when(length >= least, _key(line, length, i, start + shift, size)))
+    for e in range(1, edits + 1):
+        for less in range(e + 1):
+            length = n - less
+            for i in range(e + 1):
+                start, size = segment(length, i, e)
+                for shift in range(max(-i, less - (e - i)), min(i, less + e - i) + 1):
+                    if less or shift:
+                        keys.append(F.when(allowed(length, edits, per_edit) == e, _key(line, length, e, i, start + shift, size)))
     return F.array(*keys) if keys else F.array().cast("array<long>")
 
 
@@ -69,7 +82,7 @@ def sketch(line: Column, low: Column) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(c, 32 + 2 * i) for i, c in enumerate(counts)), low)
 
 
-def sketches_allow(a: Column, b: Column, edits: int) -> Column:
+def sketches_allow(a: Column, b: Column, edits: Column | int) -> Column:
     """An edit takes away one letter and brings one, at most; differences are taken around 4, so never too large."""
     total = F.lit(0).cast("long")
     for i in range(len(LETTERS)):
@@ -153,10 +166,11 @@ def _bit(state: Column, base: int, offset: Column, edits: int) -> Column:
     return out
 
 
-def similar_pairs(lines: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYTES) -> DataFrame:
-    """lines: h, c (a line's hashes), place, m (how often it stands), line, each line once. The pairs within `edits`, as hashes and places of both."""
+def similar_pairs(lines: DataFrame, edits: int = MAX_EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """lines: h, c (a line's hashes), place, m (how often it stands), line, each line once. The pairs within the edits that the shorter one allows, as
+    hashes and places of both."""
     # place and m are kept, so that all uses of lines share one exchange
-    known = lines.filter(F.col("place").isNotNull() & (F.col("m") > 0) & (F.octet_length("line") >= least))
+    known = lines.filter(F.col("place").isNotNull() & (F.col("m") > 0) & (F.octet_length("line") >= per_edit))
     bytes_, n = F.col("line").cast("binary"), F.octet_length("line")
     drawn = known.withColumn("g", sketch(F.col("line"), F.col("c")))  # before the rows of a line are made, so once for each
 
@@ -164,9 +178,9 @@ def similar_pairs(lines: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYT
         return drawn.select(F.explode(keys).alias("key"), F.col("h").alias(h), F.col("g").alias(g))
 
     # alike but for names, so that both share one exchange
-    index, again = rows(index_keys(bytes_, n, edits), "ha", "ga"), rows(index_keys(bytes_, n, edits), "hb", "gb")
-    probes = rows(probe_keys(bytes_, n, edits, least), "hb", "gb").filter("key is not null")
-    near = sketches_allow(F.col("ga"), F.col("gb"), edits)
+    index, again = rows(index_keys(bytes_, n, edits, per_edit), "ha", "ga"), rows(index_keys(bytes_, n, edits, per_edit), "hb", "gb")
+    probes = rows(probe_keys(bytes_, n, edits, per_edit), "hb", "gb").filter("key is not null")
+    near = sketches_allow(F.col("ga"), F.col("gb"), F.col("key").bitwiseAND(F.lit((1 << EDIT_BITS) - 1)))
     met = probes.join(index.hint("shuffle_hash"), "key").filter((F.col("ha") != F.col("hb")) & near)
     equal_length = again.join(index.hint("shuffle_hash"), "key").filter((F.col("ha") < F.col("hb")) & near)
     low = F.col("ha") < F.col("hb")
@@ -175,8 +189,12 @@ def similar_pairs(lines: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYT
     pairs = met.unionByName(equal_length).select(each[0].alias("ha"), hash_(each[1]).alias("ca"), each[2].alias("hb"), hash_(each[3]).alias("cb")).distinct()
     # joined on all columns that lines are grouped by, so that lines are not exchanged again
     ends = {x: known.select(F.col("h").alias(f"h{x}"), F.col("c").alias(f"c{x}"), F.col("place").alias(f"place_{x}"), F.col("line").alias(x)) for x in "ab"}
-    both = pairs.join(ends["a"], ["ha", "ca"]).join(ends["b"], ["hb", "cb"]).filter(F.abs(F.octet_length("a") - F.octet_length("b")) <= edits)
-    return both.filter(similar(F.col("a").cast("binary"), F.col("b").cast("binary"), edits)).drop("a", "b")
+    most = allowed(F.least(F.octet_length("a"), F.octet_length("b")), edits, per_edit)
+    both = pairs.join(ends["a"], ["ha", "ca"]).join(ends["b"], ["hb", "cb"]).filter(F.abs(F.octet_length("a") - F.octet_length("b")) <= most)
+    verdict = F.lit(False)
+    for e in range(1, edits + 1):
+        verdict = F.when(most == e, similar(F.col("a").cast("binary"), F.col("b").cast("binary"), e)).otherwise(verdict)
+    return both.filter(verdict).drop("a", "b")
 
 
 def _documents(docs: DataFrame, *more: str) -> DataFrame:
@@ -185,7 +203,7 @@ def _documents(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(text).alias("t"), F.split(text, "\n", -1).alias("lines"), *more)
 
 
-def removed_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYTES) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int = MAX_EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """d, t, removed (line numbers from 0, in order) of the documents that lose a line."""
     occurring = (
         _documents(docs)
@@ -194,7 +212,7 @@ def removed_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYTE
         .select("d", "t", "no", "line", F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("c"))
     )
     lines = occurring.groupBy("h", "c").agg(F.min(F.struct("d", "no")).alias("place"), F.first("line").alias("line"), F.count("*").alias("m"))
-    pairs = similar_pairs(lines, edits, least)
+    pairs = similar_pairs(lines, edits, per_edit)
     later = F.col("place_a") > F.col("place_b")
     late = pairs.select(F.when(later, F.col("ha")).otherwise(F.col("hb")).alias("h"), F.when(later, F.col("ca")).otherwise(F.col("cb")).alias("c")).distinct().withColumn("late", F.lit(True))
     # line is kept, so that this reads the exchange of lines once more. What is cut holds those lines alone of which some place goes; as it has no
@@ -204,16 +222,16 @@ def removed_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYTE
     return gone.groupBy("d", "t").agg(F.array_sort(F.collect_set("no")).alias("removed"))
 
 
-def line_verdicts(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYTES) -> DataFrame:
+def line_verdicts(docs: DataFrame, edits: int = MAX_EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """doc_id, n_lines, removed (array<int>) for each row of docs."""
     rows = _documents(docs, F.col("doc_id").cast("long").alias("doc_id")).select("d", "t", "doc_id", F.size("lines").cast("long").alias("n_lines"))
-    return rows.join(removed_lines(docs, edits, least), ["d", "t"], "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return rows.join(removed_lines(docs, edits, per_edit), ["d", "t"], "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """docs with their removed lines taken out of text; a null text stays null. All other columns are unchanged."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    found = removed_lines(docs, edits, least).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("removed").alias("_removed"))
+    found = removed_lines(docs, edits, per_edit).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("removed").alias("_removed"))
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(rest)
     return docs.join(found, (key[0] == F.col("_d")) & (key[1] == F.col("_t")), "left").select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
@@ -230,7 +248,7 @@ SQL = {
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 o AS (SELECT doc_id, unnest(range(len(lines))) AS no, unnest(lines) AS line FROM d),
 l AS (SELECT line, strlen(line) AS n, min((doc_id, no)) AS place FROM o WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line),
-late AS (SELECT DISTINCT b.line FROM l a JOIN l b ON a.n >= {MIN_BYTES} AND b.n >= {MIN_BYTES} AND a.n BETWEEN b.n - {MAX_EDITS} AND b.n + {MAX_EDITS} AND a.place < b.place AND levenshtein(a.line, b.line) <= {MAX_EDITS}),
+late AS (SELECT DISTINCT b.line FROM l a JOIN l b ON a.n >= {PER_EDIT} AND b.n >= {PER_EDIT} AND a.n BETWEEN b.n - {MAX_EDITS} AND b.n + {MAX_EDITS} AND a.place < b.place AND levenshtein(a.line, b.line) <= least({MAX_EDITS}, least(a.n, b.n) // {PER_EDIT})),
 g AS (SELECT o.doc_id, o.no FROM o JOIN l USING (line) WHERE l.place <> (o.doc_id, o.no) OR line IN (SELECT line FROM late)),
 r AS (SELECT doc_id, count(*) AS n, string_agg(no, ',' ORDER BY no) AS removed FROM g GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, coalesce(r.removed, '') AS removed_lines

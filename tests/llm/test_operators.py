@@ -604,15 +604,16 @@ def test_bit_parallel_distance(spark):
 
 def test_line_dedup_brute_force(docs):
     r = random.Random(8)
-    base = [prose(9, i) for i in range(12)] + ["short", "short line", "é", "", " \t"]
+    base = [prose(9, i) for i in range(8)] + ["short", "short line", "a line of sixteen", "a line of some 30 bytes, no more", "a line of 26 bytes, no more", "é", "", " \t"]
     rows = [(i, "\n".join(edited(r.choice(base), r.choice((0, 0, 1, 2, 3, 4)), r) for _ in range(r.randint(1, 8)))) for i in range(40)]
     lines = [(d, n, x.encode()) for d, t in rows for n, x in enumerate(t.split("\n"))]
     want = defaultdict(list)
     for i, (d, n, x) in enumerate(lines):
-        near = lambda y: len(y) >= line_dedup.MIN_BYTES <= len(x) and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2  # noqa: B023, E731
+        near = lambda y: abs(len(x) - len(y)) <= 2 and distance(x, y) <= min(2, len(x) // 16, len(y) // 16)  # noqa: B023, E731
         if x.strip(b" \t\n\x0b\x0c\r") and any(x == y or near(y) for _, _, y in lines[:i]):
             want[d].append(n)
-    assert {len(lines[i][2]) < line_dedup.MIN_BYTES for i in range(len(lines)) if lines[i][1] in want[lines[i][0]]} == {True, False}
+    first = {x: i for i, (_, _, x) in reversed([*enumerate(lines)])}
+    assert {min(2, len(x) // 16) for i, (d, n, x) in enumerate(lines) if n in want[d] and first[x] == i} == {1, 2}  # near ones of both budgets
     df = docs(rows)
     assert {x.doc_id: x.removed for x in line_dedup.line_verdicts(df).collect()} == {d: want[d] for d, _ in rows}
     kept = {d: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[d]) for d, t in rows}
