@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large and small stars, with checkpoints in the shared folder.
 
 Each round groups by one end and takes a minimum (which Spark combines before the shuffle), and joins it back to the links; a hot
-end is split by adaptive skew handling. The driver sees two numbers a round.
+end is split by adaptive skew handling. The driver sees two numbers a round; rounds end when one changes no link.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        links = cut(small)
-        before, state = state, _state(links)
-        if before == state:
+        before, links = links, cut(small)
+        last, state = state, _state(links)
+        # of equal numbers of links, both without repeats, the tables are equal if none is new; only then is that asked
+        if last == state and links.join(before, ["a", "b"], "left_anti").isEmpty():
             break
     tops = links.select(F.col("b").alias("node")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))
