@@ -5,7 +5,10 @@ words (the words of the lists below, and one class for all others). Only listed
 distance (base 2, square root; 0 to 1) of each histogram to the nearest reference; a histogram counts only from a
 minimum length on, as short ones are far from any reference by chance. Without any reference all distances are 1.
 
-Nulls: a null text has no words (all counts 0, base rules failed); a null or unlisted label adds to no reference.
+A text whose label is null or not listed has no words to be compared with: its common-word distance is null, and its character classes are
+compared with all kinds of letters as one class, so that prose of any alphabet that parts its words is as near as that of a listed language.
+
+Nulls: a null text has no words (all counts 0, base rules failed); a null or unlisted label adds to no reference; without a column lang all labels are null.
 Empty tables: no rows. Rows that repeat a doc_id are judged each for itself.
 """
 
@@ -29,6 +32,8 @@ COMMON = {
     "es": "de la el que en y a los del se las por un para con no una su al es lo como más pero sus le ya o este sí porque esta entre".split(),
 }
 CLASSES = ("lower", "upper", "digit", "space", "stop", "bar", "symbol", "letter")
+#: Classes that are one for texts of unlisted languages.
+LETTER_CLASSES = ("lower", "upper", "letter")
 LISTED = sorted({w for words in COMMON.values() for w in words})
 PLACE = {w: i for i, w in enumerate(LISTED)}
 SYMBOLS = "#*$%&|<>"
@@ -80,6 +85,12 @@ def class_histogram(text: str) -> np.ndarray:
     return out
 
 
+def folded(histograms: np.ndarray) -> np.ndarray:
+    """Class histograms (the last axis) with all kinds of letters as one class, the first."""
+    letters = [CLASSES.index(c) for c in LETTER_CLASSES]
+    return np.concatenate([histograms[..., letters].sum(axis=-1, keepdims=True), np.delete(histograms, letters, axis=-1)], axis=-1)
+
+
 def common_histogram(words: dict[str, int]) -> np.ndarray:
     """words: the distinct words with their counts."""
     out = np.zeros(len(LISTED) + 1, np.int64)
@@ -158,45 +169,55 @@ MEASURES = tuple((m, pa.int64(), "long") for m in ("n_words", "word_chars", "n_s
 )
 
 
-def _judge(by_class: np.ndarray, by_word: np.ndarray, limits: Limits) -> Callable[[str], tuple]:
-    """The measures of a text, in the order of MEASURES."""
+def _judge(by_class: np.ndarray, by_word: np.ndarray, limits: Limits) -> Callable[[pa.RecordBatch], list[tuple]]:
+    """The measures of each text of a batch, in the order of MEASURES."""
     by_class, by_word = by_class[by_class.sum(axis=1) > 0], by_word[by_word.sum(axis=1) > 0]
+    by_letters = folded(by_class)
 
-    def one(text: str) -> tuple:
+    def one(text: str, lang: object) -> tuple:
         words = WORD.findall(text)
         counts, ids = _counted(words)
         lines = [x for x in text.split("\n") if WORD.search(x)]
         n, repeated = len(words), n_repeat_words(ids)
         chars = sum(map(len, words))
         failed = n < limits.min_words or 100 * repeated > limits.max_repeat_percent * n
-        kinds = float(js_distances(class_histogram(text), by_class).min()) if chars >= limits.min_class_chars else None
-        commons = float(js_distances(common_histogram(counts), by_word).min()) if n >= limits.min_common_words else None
+        listed, kinds, commons = lang in COMMON, None, None
+        if chars >= limits.min_class_chars:
+            classes = class_histogram(text)
+            kinds = float((js_distances(classes, by_class) if listed else js_distances(folded(classes), by_letters)).min())
+        if listed and n >= limits.min_common_words:
+            commons = float(js_distances(common_histogram(counts), by_word).min())
         kept = not failed and (kinds is None or kinds <= limits.max_class_distance) and (commons is None or commons <= limits.max_common_distance)
         return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, failed, kinds, commons, kept
 
-    return one
+    def batch(part: pa.RecordBatch) -> list[tuple]:
+        texts = part.column("text").to_pylist()
+        langs = part.column("lang").to_pylist() if "lang" in part.schema.names else [None] * len(texts)
+        return [one(t or "", x) for t, x in zip(texts, langs, strict=True)]
+
+    return batch
 
 
 def judge(docs: DataFrame, references: tuple[np.ndarray, np.ndarray] | None = None, limits: Limits = Limits()) -> DataFrame:
-    """doc_id, the counts, base_failed, both distances (null below the minimum length), and kept."""
-    by_class, by_word = references if references is not None else fit_references(docs)
-    one = _judge(by_class, by_word, limits)
+    """doc_id, the counts, base_failed, both distances (null below the minimum length; that of words also for an unlisted language), and kept."""
+    measures = _judge(*(references if references is not None else fit_references(docs)), limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows = zip(*(one(x or "") for x in part.column("text").to_pylist()), strict=True)
+            rows = zip(*measures(part), strict=True)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, (_, k, _) in zip(rows, MEASURES, strict=True))], names=["doc_id", *(m for m, _, _ in MEASURES)])
 
-    return doc_columns(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{m} {t}" for m, _, t in MEASURES))
+    lang = [F.col("lang").cast("string").alias("lang")] if "lang" in docs.columns else []
+    return doc_columns(docs, *lang).mapInArrow(run, "doc_id long, " + ", ".join(f"{m} {t}" for m, _, t in MEASURES))
 
 
 def keep(docs: DataFrame, references: tuple[np.ndarray, np.ndarray] | None = None, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    one = _judge(*(references if references is not None else fit_references(docs)), limits)
+    measures = _judge(*(references if references is not None else fit_references(docs)), limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            yield part.filter(pa.array([one(x or "")[-1] for x in part.column("text").to_pylist()], pa.bool_()))
+            yield part.filter(pa.array([m[-1] for m in measures(part)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -208,6 +229,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(limits: Limits = Limits()) -> str:
     """The same in SQL. Characters of each class are counted by what is left without the others."""
+    letters = ", ".join(str(CLASSES.index(c)) for c in LETTER_CLASSES)
     own = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": r".,;:!?''\"()\-", "bar": "|"}
     left = lambda kept: f"length(regexp_replace(t, '[^{kept}]', '', 'g'))"
     classes = [left(x) for x in own.values()] + [f"length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) - length(regexp_replace(t, '[^{''.join(own.values())}]', '', 'g'))", "length(t) - length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g'))"]
@@ -222,14 +244,15 @@ def _sql(limits: Limits = Limits()) -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({langs}) THEN lang END AS lang, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 chars AS (SELECT doc_id, unnest(range({len(classes)})) AS cell, unnest([{', '.join(classes)}]) AS n FROM d),
 commons AS (SELECT doc_id, CASE WHEN x IN ({listed}) THEN x ELSE '' END AS cell, count(*) AS n FROM (SELECT doc_id, lower(trim(unnest(w), '{edge}')) AS x FROM d) GROUP BY 1, 2),
-{reference('chars')}, {reference('commons')},
+folded AS (SELECT doc_id, CASE WHEN cell IN ({letters}) THEN -1 ELSE cell END AS cell, sum(n) AS n FROM chars GROUP BY 1, 2),
+{reference('chars')}, {reference('commons')}, {reference('folded')},
 win AS (SELECT doc_id, i, array_to_string(w[i:i+{REPEAT - 1}], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {REPEAT - 2})) AS i FROM d WHERE len(w) >= {REPEAT})),
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + {REPEAT})) AS j FROM win JOIN (SELECT doc_id, x FROM win GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, x)) GROUP BY 1),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
-m AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
-  coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, a.x AS ca, b.x AS co
-  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN {distance('chars')} a ON a.doc_id = d.doc_id LEFT JOIN {distance('commons')} b ON b.doc_id = d.doc_id),
-f AS (SELECT *, n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.max_repeat_percent} * n_words AS base_failed, CASE WHEN word_chars >= {limits.min_class_chars} THEN ca END AS class_distance, CASE WHEN n_words >= {limits.min_common_words} THEN co END AS common_distance FROM m)
+m AS (SELECT d.doc_id, d.lang, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
+  coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CASE WHEN d.lang IS NULL THEN c.x ELSE a.x END AS ca, b.x AS co
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN {distance('chars')} a ON a.doc_id = d.doc_id LEFT JOIN {distance('commons')} b ON b.doc_id = d.doc_id LEFT JOIN {distance('folded')} c ON c.doc_id = d.doc_id),
+f AS (SELECT *, n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.max_repeat_percent} * n_words AS base_failed, CASE WHEN word_chars >= {limits.min_class_chars} THEN ca END AS class_distance, CASE WHEN lang IS NOT NULL AND n_words >= {limits.min_common_words} THEN co END AS common_distance FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(class_distance, 6) AS class_distance, round(common_distance, 6) AS common_distance,
   NOT base_failed AND coalesce(class_distance <= {limits.max_class_distance}, true) AND coalesce(common_distance <= {limits.max_common_distance}, true) AS kept FROM f"""
 

@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -115,6 +116,40 @@ def test_junk_of_unknown_language_does_not_vouch_for_itself(spark):
     assert quality.judge(junk).filter("kept").count() == 0
 
 
+#: Plain prose of languages without a list, a paragraph each.
+ITALIAN = (
+    "La mattina presto il mercato era ancora vuoto, ma i primi venditori avevano già acceso le luci sotto i portici. Una donna anziana portava due ceste di arance "
+    "e salutava tutti per nome, mentre il figlio sistemava le cassette vicino alla fontana. Più tardi arrivarono i turisti, che chiedevano il prezzo di ogni cosa e "
+    "scattavano fotografie davanti alla chiesa. Nessuno aveva fretta: il sole scaldava le pietre, i bambini correvano dietro ai piccioni e il profumo del pane usciva "
+    "dal forno all'angolo. Quando la campana suonò mezzogiorno, i banchi erano quasi vuoti e la piazza tornò tranquilla, come se nulla fosse successo. Soltanto un cane "
+    "dormiva all'ombra, accanto a una cassetta dimenticata, e il vecchio barista raccontava ancora una volta la storia del terremoto a chi voleva ascoltarla."
+)
+RUSSIAN = (
+    "Ранним утром рынок был ещё пуст, но первые торговцы уже зажгли огни под навесами. Пожилая женщина несла две корзины с яблоками и здоровалась со всеми по имени, "
+    "а её сын расставлял ящики возле старого колодца. Позже пришли покупатели, которые спрашивали цену каждой вещи и долго выбирали. Никто не спешил: солнце грело камни, "
+    "дети бегали за голубями, и запах свежего хлеба шёл из пекарни на углу. Когда колокол пробил полдень, прилавки почти опустели, и площадь снова стала тихой."
+)
+
+
+def test_prose_of_unlisted_languages_is_kept(spark):
+    plain = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    digits = " ".join(str(x * x + 10_000) for x in range(200))
+    more = spark.createDataFrame([(-1, ITALIAN, "it"), (-2, ITALIAN, None), (-3, RUSSIAN, "ru"), (-4, digits, "it"), (-5, ITALIAN, "en")], "doc_id long, text string, lang string")
+    both = plain.unionByName(more)
+    got = {r.doc_id: r for r in quality.judge(both).filter("doc_id < 0").collect()}
+    assert {k: r.kept for k, r in got.items()} == {-1: True, -2: True, -3: True, -4: False, -5: False}
+    assert got[-1].n_words >= 100 and got[-1].common_distance is None and got[-5].common_distance > quality.Limits().max_common_distance
+    assert {r.doc_id for r in quality.keep(both).filter("doc_id < 0").collect()} == {-1, -2, -3}
+    references = quality.fit_references(plain)
+    assert quality.judge(more.drop("lang"), references).filter("kept").count() == 4  # labels are null
+    # the SQL, over a table that holds such texts
+    con = duckdb.connect()
+    con.register("documents", both.toPandas())
+    want = con.execute(quality.SQL["op1_quality_rules"]).df().set_index("doc_id")
+    for k, r in got.items():
+        assert bool(want.kept[k]) == r.kept and abs(want.class_distance[k] - r.class_distance) < 1e-5
+
+
 # 2
 
 
