@@ -11,11 +11,13 @@ the items under all values that near, guarantees all items within the radius (of
 exactly. The radius is set for SIMILAR: of windows of a similarity from 0.8 on, 97 % lie within it (a test holds it to 0.9).
 
 The benchmark is sent to the workers in parts of about PART_CHARS characters, one narrow pass over the documents for each; the documents are never
-shuffled. Items and holders are counted once, over the whole benchmark, and each part gets the counts of its shingles. With several parts, a pass for
-each comes before, in which documents collect the counts of those of their shingles that some item holds, so that weights don't depend on the parts.
+shuffled. Items and holders are counted once, over the whole benchmark, and each part gets the counts of its shingles. With several parts, passes over
+LOOKED_UP of them at once come before, in which documents collect the counts of those of their shingles that some item holds, so that weights don't
+depend on the parts. The documents are then written after each pass and the table before is deleted, so one part is in memory at a time.
 
 Nulls: null or wordless texts have no leak; null or wordless items are not searched for. Repeated rows and items are treated each for itself. An
-empty benchmark leaves all documents clean, an empty table gives no rows. Further columns are kept; those named like results are replaced.
+empty benchmark leaves all documents clean, an empty table gives no rows. Further columns are kept, however
+named; `with_leaks` replaces those of the names that the caller gives its results, `clean` none.
 """
 
 from __future__ import annotations
@@ -28,23 +30,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import U64, doc_columns, read, signed, slices, windows, word_hashes, written
+from .common import U64, doc_columns, folder, forget, read, signed, slices, windows, word_hashes, written
 
 TOKEN = re.compile(r"\w+")
 SHINGLE, SIMILAR = 5, 0.8
 BLOCKS, RADIUS = 4, 15
 #: Characters of the benchmark in a part; a part's index takes about 40 times as many bytes.
 PART_CHARS = 1 << 20
+#: Parts whose counts of shingles are sent at once: some 3 MB each.
+LOOKED_UP = 16
 #: Windows that are looked up together.
 TOGETHER = 1 << 13
 BIT = np.arange(64, dtype=np.uint64)
 NONE: dict = {}
-#: Of a document's shingles, those that some item holds, and how many items do.
-KEYS, HOLDERS = "_shingles_held", "_holders"
+#: What `with_leaks` calls its results, unless the caller says otherwise.
+NAMES = ("leaked_items", "leak_similarity")
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -191,8 +195,8 @@ def _counts(keys: np.ndarray, n: np.ndarray) -> dict[int, int]:
     return dict(zip(np.asarray(keys, np.int64).view(U64).tolist(), np.asarray(n).tolist(), strict=True))
 
 
-def held_shingles(items: DataFrame) -> tuple[DataFrame, int]:
-    """key, n (items that hold it), parts (those of them); and the number of items that have a shingle."""
+def held_shingles(items: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """key, n (items that hold it), parts (those of them), written to path; and the number of items that have a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -203,39 +207,61 @@ def held_shingles(items: DataFrame) -> tuple[DataFrame, int]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part, np.int32)), pa.array(signed(keys)), pa.array(first)], names=["part", "key", "first"])
 
     held = items.select("part", "text").mapInArrow(run, "part int, key long, first boolean")
-    found = written(held.groupBy("key").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts"), F.sum(F.col("first").cast("long")).alias("firsts")), "held")
+    found = written(held.groupBy("key").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts"), F.sum(F.col("first").cast("long")).alias("firsts")), "held", path)
     return found, found.agg(F.coalesce(F.sum("firsts"), F.lit(0))).first()[0]
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, part_chars: int = PART_CHARS) -> DataFrame:
-    """docs with leaked_items (array of item ids, in order) and leak_similarity (the greatest; null without one)."""
-    context = docs.sparkSession.sparkContext
+def with_leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, part_chars: int = PART_CHARS, names: tuple[str, str] = NAMES) -> DataFrame:
+    """docs with the ids of leaked items (an array, in order) and the greatest similarity (null without one), under the given names."""
+    spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null")
     parts = math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / part_chars)
-    names = ("leaked_items", "leak_similarity")
     base = docs.drop(*names).withColumns({names[0]: F.array().cast("array<long>"), names[1]: F.lit(None).cast("double")})
     if not parts:
         return base
     items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
-    held, total = held_shingles(items)
-    counts = {}
-    for i in range(parts):
-        mine = held.filter(F.array_contains("parts", i)).select("key", "n").toArrow().to_pydict()
-        counts[i] = context.broadcast((np.array(mine["key"], np.int64), np.array(mine["n"], np.int64)))
-    if parts > 1:
-        base = base.withColumns({c: F.array().cast("array<long>") for c in (KEYS, HOLDERS)})
-        for i in range(parts):
-            base = _looked_up(base, counts[i])
+    known, last = folder(spark, "held"), None
+    held, total = held_shingles(items, known)
+
+    def counted(some: list[int]) -> Broadcast:
+        """The shingles of some parts, and how many items hold each."""
+        mine = held.filter(F.arrays_overlap("parts", F.array(*map(F.lit, some)))).select("key", "n").toArrow().to_pydict()
+        return share((np.array(mine["key"], np.int64), np.array(mine["n"], np.int64)))
+
+    def passed(df: DataFrame, *shared: Broadcast) -> DataFrame:
+        """df as a table in place of the last one; what was sent for it is let go."""
+        nonlocal last
+        before, last = last, folder(spark, "leaks")
+        df = written(df, "leaks", last)
+        for x in shared:
+            x.destroy()
+        if before:
+            forget(spark, before)
+        return df
+
+    # names that no column of docs has
+    found = (f"held_{uuid.uuid4().hex}", f"holders_{uuid.uuid4().hex}") if parts > 1 else ()
+    if found:
+        base = base.withColumns({c: F.array().cast("array<long>") for c in found})
+        for i in range(0, parts, LOOKED_UP):
+            counts = counted([*range(i, min(parts, i + LOOKED_UP))])
+            base = passed(_looked_up(base, counts, *found), counts)
+    sent: tuple[Broadcast, ...] = ()
     for i in range(parts):
         rows = [tuple(x) for x in items.filter(F.col("part") == i).select("item_id", "text").collect()]
         if rows:
-            base = _searched(base, context.broadcast((uuid.uuid4().hex, rows, similar, total)), counts[i])
-    return base.drop(KEYS, HOLDERS)
+            if sent:
+                base = passed(base, *sent)
+            sent = share((uuid.uuid4().hex, rows, similar, total)), counted([i])
+            base = _searched(base, *sent, names, found)
+    forget(spark, known)
+    return base.drop(*found)
 
 
-def _looked_up(df: DataFrame, counts) -> DataFrame:
-    """Adds the counts of one part to KEYS and HOLDERS of each document."""
-    names = df.columns
+def _looked_up(df: DataFrame, counts: Broadcast, keys_name: str, holders_name: str) -> DataFrame:
+    """Adds the counts of some parts to the two columns of each document."""
+    columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n = counts.value
@@ -243,39 +269,39 @@ def _looked_up(df: DataFrame, counts) -> DataFrame:
         known, n = known.view(U64)[order], n[order]
         for part in slices(batches):
             keys, holders = [], []
-            for text, old, more in zip(part.column("text").to_pylist(), part.column(KEYS).to_pylist(), part.column(HOLDERS).to_pylist(), strict=True):
+            for text, old, more in zip(part.column("text").to_pylist(), part.column(keys_name).to_pylist(), part.column(holders_name).to_pylist(), strict=True):
                 s = np.setdiff1d(shingles(text), np.array(old, np.int64).view(U64))
                 at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
                 there = known[at] == s if len(known) else np.zeros(len(s), bool)
                 keys.append(old + signed(s[there]).tolist())
                 holders.append(more + n[at[there]].tolist())
-            columns = {c: part.column(c) for c in names} | {KEYS: pa.array(keys, pa.list_(pa.int64())), HOLDERS: pa.array(holders, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+            new = {keys_name: pa.array(keys, pa.list_(pa.int64())), holders_name: pa.array(holders, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(c) for c in columns], names=columns)
 
     return df.mapInArrow(run, df.schema)
 
 
-def _searched(df: DataFrame, shared, counts) -> DataFrame:
-    rest = [c for c in df.columns if c not in ("leaked_items", "leak_similarity")]
-    schema = T.StructType([df.schema[c] for c in df.columns])
-    several = KEYS in rest
+def _searched(df: DataFrame, shared: Broadcast, counts: Broadcast, names: tuple[str, str], held: tuple[str, ...]) -> DataFrame:
+    """Adds what one part finds to the results; held: the columns of the documents' held shingles, if there are other parts."""
+    columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _built(*shared.value, *counts.value)
         for part in slices(batches):
-            holders = [_counts(k, n) for k, n in zip(part.column(KEYS).to_pylist(), part.column(HOLDERS).to_pylist(), strict=True)] if several else [NONE] * part.num_rows
+            holders = [_counts(k, n) for k, n in zip(*(part.column(c).to_pylist() for c in held), strict=True)] if held else [NONE] * part.num_rows
             found = [items.search(x, h) for x, h in zip(part.column("text").to_pylist(), holders, strict=True)]
-            ids = [sorted({*old, *(items.ids[k] for k in f)}) for old, f in zip(part.column("leaked_items").to_pylist(), found, strict=True)]
-            best = [max((x for x in (old, *f.values()) if x is not None), default=None) for old, f in zip(part.column("leak_similarity").to_pylist(), found, strict=True)]
-            columns = {c: part.column(c) for c in rest} | {"leaked_items": pa.array(ids, pa.list_(pa.int64())), "leak_similarity": pa.array(best, pa.float64())}
-            yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], names=[f.name for f in schema.fields])
+            ids = [sorted({*old, *(items.ids[k] for k in f)}) for old, f in zip(part.column(names[0]).to_pylist(), found, strict=True)]
+            best = [max((x for x in (old, *f.values()) if x is not None), default=None) for old, f in zip(part.column(names[1]).to_pylist(), found, strict=True)]
+            new = {names[0]: pa.array(ids, pa.list_(pa.int64())), names[1]: pa.array(best, pa.float64())}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(c) for c in columns], names=columns)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, df.schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, part_chars: int = PART_CHARS) -> DataFrame:
     """The documents without a leak, with their own columns."""
-    return with_leaks(docs, benchmark, similar).filter(F.size("leaked_items") == 0).select(*docs.columns)
+    names = (f"items_{uuid.uuid4().hex}", f"similarity_{uuid.uuid4().hex}")
+    return with_leaks(docs, benchmark, similar, part_chars, names).filter(F.size(names[0]) == 0).select(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -722,6 +722,14 @@ def test_leaks_do_not_depend_on_the_parts(spark, docs):
     whole = found()
     assert 10 < sum(len(x) > 0 for x, _ in whole.values()) < 80
     assert found(part_chars=sum(len(t) for _, t in items) // 2) == whole
+    # ten parts: one map in the plan, as each pass is written; columns named like results or helpers stay
+    odd = docs(rows).withColumns({"leaked_items": F.lit("mine"), "_holders": F.lit(1), "leak_similarity": F.col("doc_id"), "part": F.lit("x")})
+    plan = decontaminate.with_leaks(odd, bench, part_chars=sum(len(t) for _, t in items) // 10)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and plan.filter("_holders = 1 and part = 'x'").count() == 80
+    want = {d for d, (x, _) in whole.items() if not x}
+    for chars in (decontaminate.PART_CHARS, 1000):
+        left = decontaminate.clean(odd, bench, part_chars=chars)
+        assert left.columns == odd.columns and {(x.doc_id, x.leaked_items, x.leak_similarity) for x in left.collect()} == {(d, "mine", d) for d in want}
 
 
 def test_hamming_blocks_miss_nothing():
