@@ -11,8 +11,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,15 +104,6 @@ def _nearest_in(base: DataFrame, shared, k: int, schema: T.StructType) -> DataFr
     return base.mapInPandas(run, schema)
 
 
-def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int, radius: float = 2.0, bucket: float = 2.0, tables: int = 4, seed: int = 0) -> DataFrame:
-    """Approximate neighbours within a radius, by random projections."""
-    a = queries.select("example_id", array_to_vector("embedding").alias("v"))
-    b = corpus.select("chunk_id", array_to_vector("embedding").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(b)
-    pairs = model.approxSimilarityJoin(a, b, radius, "d")
-    return ranked(pairs.select("datasetA.example_id", "datasetB.chunk_id", (F.col("d") * F.col("d")).alias("d2")), k)
-
-
 def retrieve(queries: DataFrame, corpus: DataFrame, docstore: DataFrame, k: int = 5, score: str = "similarity") -> DataFrame:
     """The k nearest with their texts; a chunk that the docstore lacks is dropped. score: similarity (-d2) or distance."""
     if score not in ("similarity", "distance"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.operators import ann
+from evalloom.operators import ann, lsh
 from evalloom.operators import irmetrics as M
 from evalloom.operators import vectors as V
 
@@ -88,7 +88,7 @@ def knn_ivf(spark, sf_dir):
 
 
 def knn_lsh(spark, sf_dir):
-    return _recalled(spark, sf_dir, V.knn_lsh, [1, 5])
+    return _recalled(spark, sf_dir, lsh.knn_lsh, [1, 5])
 
 
 LETTERS = "etaoinsh"
