@@ -10,7 +10,7 @@ Template: a turn is `<s>[role]text</s>`. Inside roles and texts, each of `\`, `<
 that no control string can come from a text, and removing those backslashes gives the text back. The loss mask is a
 list of code-point spans of the formatted text: the assistants' texts.
 
-Nulls: a null text or role is empty, a null turn number comes first, rows of a null conv_id are one conversation. Equal turn numbers are ordered by role, then text;
+Nulls: a null text or role is empty, a null turn number comes first, and a row of a null conv_id is a conversation of its own, as nothing bounds how many there are. Equal turn numbers are ordered by role, then text;
 repeated rows are turns of their own. A record of an unknown layout has `layout` null and is one turn of the role "record", so that no text is lost; a null record has
 no turns. A missing or empty optional field (system, input) gives no turn. A text or role that is no string is written as JSON. Empty tables give no rows. Further columns are left out.
 """
@@ -231,7 +231,8 @@ def turn_records(rows: DataFrame) -> DataFrame:
 
     A conversation is one text in the end, so its turns meet in one row; nothing else is grouped."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    each = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn), _order).alias("t"))
+    own = F.when(F.col("conv_id").cast("long").isNull(), F.monotonically_increasing_id()).alias("_own")
+    each = rows.select("conv_id", "turn", "role", "text", own).groupBy(F.col("conv_id").cast("long").alias("conv_id"), "_own").agg(F.array_sort(F.collect_list(turn), _order).alias("t"))
     each = each.withColumn("roles", F.transform("t", lambda x: x["role"]))
     pairs = lambda role, text: F.transform("t", lambda x: F.struct(x["role"].alias(role), x["text"].alias(text)))
     text = lambda i: F.try_element_at("t", F.lit(i))["text"]
@@ -269,11 +270,11 @@ SQL = {
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, length(regexp_replace(role, '[\\<\[\]]', 'xx', 'g')) + length(regexp_replace(text, '[\\<\[\]]', 'xx', 'g')) + 9 AS chars FROM r)
+e AS (SELECT *, length(regexp_replace(role, '[\\<\[\]]', 'xx', 'g')) + length(regexp_replace(text, '[\\<\[\]]', 'xx', 'g')) + 9 AS chars, row_number() OVER () AS row_id FROM r)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id"""
+FROM e GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN row_id END"""
 }

@@ -310,6 +310,19 @@ def test_chat_takes_odd_rows_and_empty_tables(spark):
         assert {x.conv_id: (x.n_turns, x.loss_chars) for x in chat.digest(made).collect()} == ({1: (4, 0), None: (1, 0), 2: (1, 4)} if some else {})
 
 
+def test_rows_without_a_conversation_are_conversations_of_their_own(spark, tmp_path):
+    rows = [(None, 0, "user", "same", "x"), (None, 0, "user", "same", "x"), (None, 1, "assistant", "other", "x"), (5, 0, "user", "a", "x"), (5, 1, "assistant", "b", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, _own string").repartition(3)
+    made = chat.digest(chat.format_chats(chat.turn_records(df))).collect()
+    assert sorted(((x.conv_id or 0), x.n_turns, x.loss_chars) for x in made) == [(0, 1, 0), (0, 1, 0), (0, 1, 5), (5, 2, 1)]
+    df.drop("_own").toPandas().astype({"conv_id": "Int64"}).to_parquet(tmp_path / "conversations.parquet")
+    made = sorted(map(tuple, chat.op4_chat_format(spark, str(tmp_path)).collect()), key=str)
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+        found = con.execute(chat.SQL["op4_chat_format"]).fetchall()
+    assert len(made) == 5 and made == sorted(found, key=str)
+
+
 # 5
 
 
