@@ -66,7 +66,7 @@ def fit_books(residuals: DataFrame, parts: int, entries: int, seed: int) -> np.n
         x = x[np.lexsort(x.T)]  # the same codebook in whatever order the rows arrive
         book = x[np.random.default_rng(seed).choice(len(x), min(entries, len(x)), replace=False)]
         for _ in range(STEPS):
-            at = _squared(x, book).argmin(1)
+            at = np.concatenate([_squared(x[a : a + ROWS], book).argmin(1) for a in range(0, len(x), ROWS)])
             n = np.bincount(at, minlength=len(book))
             sums = np.stack([np.bincount(at, c, len(book)) for c in x.T], axis=1)
             book = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], book)
@@ -93,8 +93,9 @@ def build(corpus: DataFrame, cells: int = CELLS, parts: int = PARTS, entries: in
     shared = corpus.sparkSession.sparkContext.broadcast(centres)
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
                 x = batch.column("embedding").flatten().to_numpy().reshape(-1, dim)
                 yield batch, x, np.argsort(_squared(x, shared.value), axis=1, kind="stable")[:, :copies]
 

@@ -1,5 +1,12 @@
 """Retrieval queries on small tables of their own, and how much a task holds at once."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from evalloom.operators import vectors as V
 from evalloom.plans import registry
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -12,3 +19,58 @@ def test_context_of_all_gives_every_query_its_chunks(spark, tmp_path):
     assert sorted(got) == [0, 100, 200, 300]
     assert got[300] == "[No retrieved context available]"
     assert all("[Chunk ID: " in got[i] for i in (0, 100, 200))
+
+
+class Task:
+    """Stands for a table of one partition, whose rows a function of a task gets here."""
+
+    def __init__(self, ids, vectors, size):
+        self.batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + size]), pa.array(list(vectors[a : a + size]))], names=["chunk_id", "embedding"]) for a in range(0, len(ids), size)]
+
+    def mapInArrow(self, run, schema):
+        return [x for b in run(iter(self.batches)) for x in b.to_pylist()]
+
+    def mapInPandas(self, run, schema):
+        return [x for b in run(b.to_pandas() for b in self.batches) for x in b.to_dict("records")]
+
+
+class Sent:
+    def __init__(self, *value):
+        self.value = value
+
+
+class Schema:
+    names = ["example_id", "chunk_id", "d2"]
+
+
+def found(q, task, k):
+    return V._nearest_in(task, Sent(pa.array(range(len(q))), q), k, Schema)
+
+
+def test_task_of_exact_search_holds_little():
+    r = np.random.default_rng(0)
+    q, task = r.normal(size=(4000, 8)), Task(range(10_000), r.normal(size=(10_000, 8)), 10_000)
+    tracemalloc.start()
+    found(q, task, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # one table of all distances has 305 MB
+
+
+@pytest.mark.parametrize("k", [1, 4, 700])
+def test_task_of_exact_search_keeps_the_nearest(k, monkeypatch):
+    monkeypatch.setattr(V, "ROWS", 64)
+    monkeypatch.setattr(V, "TILE", 320)
+    monkeypatch.setattr(V, "COMPARED", 50)
+    r = np.random.default_rng(1)
+    c = r.normal(size=(500, 6)) * 1000
+    c[100:300] = c[100]  # many copies
+    c[7, 2] = np.nan
+    ids = [f"c{i}" for i in r.permutation(500)]
+    q = np.concatenate([c[[100, 150, 3]], r.normal(size=(20, 6)) * 1000, np.full((1, 6), np.nan)])
+    got = {}
+    for x in found(q, Task(ids, c, 130), k):
+        got.setdefault(x["example_id"], []).append((x["d2"], x["chunk_id"]))
+    for i, v in enumerate(q):
+        all_ = sorted((((v - y) ** 2).cumsum()[-1], n) for y, n in zip(c, ids, strict=True) if not np.isnan(y - v).any())
+        assert sorted(got.get(i, []))[:k] == all_[:k]
