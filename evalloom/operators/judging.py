@@ -9,9 +9,9 @@ import re
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evalloom.functions.text import strip
 from evalloom.sources.tables import done_with
@@ -72,6 +72,10 @@ def messages_to_prompt(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n\n")
 
 
+#: What a call gives, and the column that holds it until it is taken apart.
+ANSWER, ANSWERED = ["response", "error", "begun", "ended"], "__answered"
+
+
 def call_model(df: DataFrame, fn: Callable[[list[str], float, int], list[str]], prompt: str = "prompt", temperature: float = 0.1, max_tokens: int = 500, batch_size: int = 32, out: str = "response", times: tuple[str, str] | None = None) -> DataFrame:
     """df with response and error; a failing batch, or one with another number of answers than prompts, is tried prompt by prompt, so that an error
     stays with its row. A null prompt is not sent. times: names of columns for when a row's call began and ended (a batch's rows share both).
@@ -79,8 +83,7 @@ def call_model(df: DataFrame, fn: Callable[[list[str], float, int], list[str]],
     Write the result before it is read more than once, or the model is called again."""
     names = [out, "error", *(times or ())]
     base = df.drop(*names)
-    kinds = [T.StringType(), T.StringType(), *([T.TimestampType()] * 2 if times else [])]
-    schema = T.StructType([*base.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
+    kinds = [pa.string(), pa.string(), *[pa.timestamp("us", "UTC")] * 2]
 
     def now() -> pd.Timestamp:
         return pd.Timestamp.now("UTC")
@@ -104,18 +107,20 @@ def call_model(df: DataFrame, fn: Callable[[list[str], float, int], list[str]],
         ended = now()
         return [(x, None, begun, ended) for x in answers]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a in range(0, len(frame), batch_size):
-                part = frame.iloc[a : a + batch_size].copy()
-                asked = part[prompt].notna()
-                got = iter(several(part.loc[asked, prompt].tolist()))
-                rows = [next(got) if x else (None, None, None, None) for x in asked]
-                for i, name in enumerate(names):
-                    part[name] = pd.Series([r[i] for r in rows], part.index, dtype="datetime64[us, UTC]" if i > 1 else object)
-                yield part
-
-    return base.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = []
+            for a in range(0, len(batch), batch_size):
+                texts = batch.slice(a, batch_size).to_pylist()
+                got = iter(several([t for t in texts if t is not None]))
+                rows = [(None,) * 4 if t is None else next(got) for t in texts]
+                parts.append(pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=ANSWER))
+            yield pa.concat_arrays(parts or [pa.array([], pa.struct(list(zip(ANSWER, kinds, strict=True))))])
+
+    # not deterministic, so that no filter or second use asks again; prompts alone go to Python, and other columns stay where they are
+    asked = F.arrow_udf(run, "response string, error string, begun timestamp, ended timestamp").asNondeterministic()
+    rows = base.withColumn(ANSWERED, asked(F.col(prompt).cast("string")))
+    return rows.select(*(F.col(f"`{c}`") for c in base.columns), *(F.col(ANSWERED)[f].alias(n) for f, n in zip(ANSWER, names, strict=False)))
 
 
 def generation_stats(df: DataFrame, column: str = "response", by: list[str] | None = None) -> DataFrame:
