@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ CLAIM_TERMS = ["copay", "deductible", "coinsurance", "out-of-pocket", "maximum",
 GENERIC_PHRASES = ["i don't know", "i'm not sure", "cannot determine", "unable to", "please consult", "contact your", "refer to", "check with"]
 #: Patterns of claims with a number, in order. Digits are 0 to 9 alone, so that all engines give the same rows.
 CLAIM_PATTERNS = [r"\$[0-9]+(?:\.[0-9]+)?", r"[0-9]+\s*(?:hours?|minutes?|days?|weeks?)", r"(?:step|step\s+)[0-9]+", r"[0-9]+(?:\.[0-9]+)?\s*(?:percent|%)"]
+#: What each pattern needs, one of them in lower case: texts without it are not searched.
+CLAIM_SIGNS = [["$"], ["hour", "minute", "day", "week"], ["step"], ["percent", "%"]]
 #: A word of three characters or more; shorter ones are no keywords.
 WORD = r"[\p{L}\p{N}_]{3,}"
 SPLIT = "[.!?]+"
@@ -33,7 +36,8 @@ def strip(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    """In lower case, with one space in place of each run of white space; single spaces are left as they are."""
+    return F.trim(F.regexp_replace(F.lower(c), r"\s{2,}|[\t\n\x0B\f\r]", " "))
 
 
 def keywords(c: Column) -> Column:
@@ -52,7 +56,9 @@ LIMIT = 5
 
 def claims(c: Column, limit: int = LIMIT) -> Column:
     """The first claims: amounts, times, steps and percentages, then short sentences with a digit or a term of insurance."""
-    numbers = [F.regexp_extract_all(c, F.lit("(?i)" + p), F.lit(0)) for p in CLAIM_PATTERNS]
+    none = F.array().cast("array<string>")
+    signs = [reduce(Column.__or__, (F.contains(F.lower(c), F.lit(x)) for x in some)) for some in CLAIM_SIGNS]
+    numbers = [F.when(~sign, none).otherwise(F.regexp_extract_all(c, F.lit("(?i)" + p), F.lit(0))) for sign, p in zip(signs, CLAIM_PATTERNS, strict=True)]
     telling = F.filter(
         F.transform(F.split(c, SPLIT, -1), strip),
         lambda s: (F.length(s) > 10) & (F.length(s) < 100) & (s.rlike("[0-9]") | F.lower(s).rlike("|".join(CLAIM_TERMS))),
@@ -66,7 +72,7 @@ def is_generic(c: Column) -> Column:
 
 def numeric_cost(c: Column) -> Column:
     """The first number of a text without its commas; null without one. Cast numbers to string to keep them."""
-    return F.nullif(F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
+    return F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")  # an empty text is no number
 
 
 def token_estimate(c: Column) -> Column:

@@ -12,7 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.functions.text import LIMIT, blank, claims, clip, is_generic, jaccard, keyword_set, let, normalize, numeric_cost, strip
+from evalloom.functions.text import blank, claims, clip, is_generic, jaccard, keyword_set, keywords, let, normalize, numeric_cost, strip
 
 SIMILAR, SUPPORTED, SHORT = 0.7, 0.5, 50
 DIRECTIONS, IMPACTS = (-1, 0, 1), (0, 1, 2, 3)
@@ -23,10 +23,13 @@ def _similar(a: Column, b: Column) -> Column:
     return F.coalesce((F.size(a) > 0) & (F.size(b) > 0) & (jaccard(a, b) >= SIMILAR), F.lit(False))
 
 
-def _unsupported(claim: Column, own: Column, text: Column, words: Column) -> Column:
-    """claim, text: normalised; own, words: their sets of keywords."""
-    share = F.coalesce(F.try_divide(F.size(F.array_intersect(own, words)), F.size(own)), F.lit(0.0))
-    return ~F.contains(text, claim) & (share < SUPPORTED)
+def _unsupported(claims: Column, text: Column, words: Column) -> Column:
+    """Whether one of the claims is unsupported: looked for one after another, and cut into keywords only where the text does not hold it. text: normalised; words: its set of keywords."""
+
+    def alone(own: Column) -> Column:
+        return F.coalesce(F.try_divide(F.size(F.array_intersect(own, words)), F.size(own)), F.lit(0.0)) < SUPPORTED
+
+    return F.exists(F.transform(claims, normalize), lambda c: ~F.contains(text, c) & let(F.array_distinct(keywords(c)), alone))
 
 
 def _vague(answer: Column) -> Column:
@@ -49,8 +52,8 @@ def gt_hallucination(answer: Column, context: Column) -> Column:
     The context is normalised and cut into keywords once for a row, whatever its number of claims."""
 
     def some_unsupported(found: Column) -> Column:
-        known = let(normalize(context), lambda n: F.struct(n.alias("text"), keyword_set(n).alias("words")))
-        return let(known, lambda k: F.exists(F.transform(found, normalize), lambda c: _unsupported(c, keyword_set(c), k["text"], k["words"])))
+        known = let(normalize(context), lambda n: F.struct(n.alias("text"), F.array_distinct(keywords(n)).alias("words")))
+        return let(known, lambda k: _unsupported(found, k["text"], k["words"]))
 
     return F.when(blank(context), True).otherwise(let(claims(answer), lambda found: F.when(F.size(found) == 0, ~_vague(answer)).otherwise(some_unsupported(found))))
 
@@ -58,19 +61,15 @@ def gt_hallucination(answer: Column, context: Column) -> Column:
 def with_truths(df: DataFrame, answer: str, reference: str, context: str, correctness: str, hallucination: str) -> DataFrame:
     """df with gt_correctness and gt_hallucination as columns of these names.
 
-    The same as the two expressions, in steps: each text is normalised once and cut into its set of keywords once, and each claim is a column of its own, so that all of it is generated code."""
+    The same as the two expressions, in steps: each text is normalised once and cut into its set of keywords once, in generated code; claims are looked at until one is unsupported."""
     texts = {"_of_a": F.col(answer), "_of_r": F.col(reference), "_of_c": F.col(context)}
     out = df.withColumns({k: normalize(c) for k, c in texts.items()} | {"_of_claims": claims(F.col(answer))})
-    each = range(LIMIT)
-    out = out.withColumns({f"{k}w": keyword_set(F.col(k)) for k in texts} | {f"_of_c{i}": normalize(F.get("_of_claims", F.lit(i))) for i in each})
-    out = out.withColumns({f"_of_c{i}w": keyword_set(F.col(f"_of_c{i}")) for i in each})
+    out = out.withColumns({f"{k}w": keyword_set(F.col(k)) for k in texts})
     correct = F.when(F.col("_of_a") == F.col("_of_r"), True).when(F.col("_of_a").isNotNull() & F.col("_of_r").isNotNull(), _similar(F.col("_of_aw"), F.col("_of_rw")))
-    some = F.lit(False)
-    for i in each:
-        some = some | F.coalesce(F.when(F.col(f"_of_c{i}").isNotNull(), _unsupported(F.col(f"_of_c{i}"), F.col(f"_of_c{i}w"), F.col("_of_c"), F.col("_of_cw"))), F.lit(False))
+    some = _unsupported(F.col("_of_claims"), F.col("_of_c"), F.col("_of_cw"))
     of_claims = F.when(F.size("_of_claims") == 0, ~_vague(F.col(answer))).when(F.col("_of_claims").isNotNull(), some)
     out = out.withColumns({correctness: correct, hallucination: F.when(blank(F.col(context)), True).otherwise(of_claims)})
-    return out.drop(*texts, *(f"{k}w" for k in texts), "_of_claims", *(f"_of_c{i}" for i in each), *(f"_of_c{i}w" for i in each))
+    return out.drop(*texts, *(f"{k}w" for k in texts), "_of_claims")
 
 
 FIELDS = ("money", "time", "steps")
