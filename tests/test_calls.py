@@ -1,8 +1,10 @@
-"""What a model call takes to Python: the prompts alone, whatever else a row holds."""
+"""What a model call takes to Python (the prompts alone, whatever else a row holds), and how often a judge writes the texts."""
 
 from pyspark.sql import functions as F
 
 from evalloom.operators import judging as J
+from evalloom.plans.judge_queries import stub
+from evalloom.sources import tables
 
 
 def lengths(prompts, temperature, max_tokens):
@@ -15,3 +17,31 @@ def test_only_prompts_go_to_python(spark):
     got = {r.id: r.response for r in rows.filter("error is null and (response <> '3' or begun is null)").select("id", "response").collect()}
     assert got == {i: str(i) if i % 7 else None for i in range(70) if i != 3}
     assert rows.columns == ["id", "prompt", "own", "response", "error", "begun", "ended"]
+
+
+def test_several_prompts_go_to_one_process(spark):
+    df = spark.range(50).select("id", *(F.when(F.col("id") % n != 0, F.repeat(F.lit("x"), (F.col("id") + n).cast("int"))).alias(f"p{n}") for n in (2, 3, 5)))
+    rows = J.call_models(df, lengths, ["p2", "p3", "p5"])
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    for r in rows.collect():
+        assert [r[f"p{n}{J.ANSWERED}"].response for n in (2, 3, 5)] == [str(r.id + n) if r.id % n else None for n in (2, 3, 5)]
+
+
+def test_judge_writes_texts_once(spark):
+    texts = ["question", "model_answer", "reference_answer", "context"]
+    df = spark.range(90).select(F.col("id").alias("example_id"), *(F.repeat(F.lit(f"{t} "), (F.col("id") % (i + 3)).cast("int")).alias(t) for i, t in enumerate(texts)))
+    written = []
+
+    def keep(rows):
+        written.append(rows.columns)
+        return tables.kept(rows)
+
+    def one_by_one(*args, **more):
+        return J.call_model(*args, **more)
+
+    for gate in ("correct", "hallucination"):
+        written.clear()
+        got = J.judge(df, stub, keep, gate=gate).drop("judged_at")
+        assert sum(bool({*texts} & {*columns}) for columns in written) == 1
+        other = J.judge(df, stub, tables.kept, gate=gate, call=one_by_one).drop("judged_at")
+        assert sorted(got.collect(), key=str) == sorted(other.select(got.columns).collect(), key=str) and got.filter("risk_impact is not null").count() > 0
