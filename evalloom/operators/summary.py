@@ -125,7 +125,7 @@ def judge_answers(rows: DataFrame, retrieved: DataFrame, judge_fn: Callable, kee
     """Flat result rows from those of `generate_answers`; see `evaluate`."""
     if on_error not in ("row", "drop"):
         raise ValueError("on_error is row or drop")
-    judged = keep(judging.judge(rows.filter("generation_error is null"), judge_fn, keep, gate=gate, call=call))
+    judged = judging.judge(rows.filter("generation_error is null"), judge_fn, keep, gate=gate, call=call)
     judged = judged.withColumnRenamed("model_cost", "extracted_costs").withColumnRenamed("actual_cost", "actual_costs")
     meta = metaeval.meta_evaluate(judged.withColumn("risk_impact", F.col("risk_impact").cast("int")), with_costs).withColumn("judge_correct", F.col("meta_eval_output.judge_correct"))
     mine = ["correctness", "hallucination", "risk_direction", "risk_impact", "failure_mode", "judge_error", "judge_correct", "meta_eval_output", "judged_at"]
