@@ -38,7 +38,7 @@ ASKED, WANTED = 128, 0.95
 #: Bytes of query vectors that are sent to the workers at once (their keys take some four times as much), and queries that are hashed together.
 QUERY_BYTES, HASHED = 8 << 20, 4096
 #: Meetings that a task counts at once, and pairs whose vectors it compares at once.
-PAIRS, COMPARED = 1 << 21, 1 << 15
+PAIRS, COMPARED = 1 << 19, 1 << 14
 STEPS = np.array(list(itertools.product((0, -1, 1), repeat=WIDTH)))
 
 

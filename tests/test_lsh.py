@@ -1,5 +1,8 @@
 """Random projections: recall at a set length, clusters, edges, repeated vectors, blocks."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -8,6 +11,7 @@ from evalloom.operators import ann, lsh, vectors
 from evalloom.plans import retrieval_queries as R
 
 from .test_ann import table
+from .test_retrieval import Schema, Sent, Task
 
 QUERY = "example_id string, embedding array<float>"
 
@@ -92,3 +96,17 @@ def test_runs_keep_their_places_and_edges_come_closer():
     edge = np.full(30, np.inf)
     found = lsh._nearest(x[:30], x, i, j, edge, 1, pa.array(range(200)))
     assert len(found) == 30 and set(found["c"]) == {10} and (edge == 0).all()
+
+
+def test_task_of_the_join_holds_little():
+    r = np.random.default_rng(0)
+    q, c = (x / np.linalg.norm(x, axis=1)[:, None] for x in (r.normal(size=(1500, 16)), r.normal(size=(6000, 16))))
+    hashes = lsh.draw(16, lsh.TABLES, 1.0, 0)  # long buckets, so that most pairs are candidates
+    task = Task(range(len(c)), c, len(c))
+    task.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda value: Sent(*value)))
+    tracemalloc.start()
+    rows = lsh._found_in(task, pa.array(range(len(q))), q, hashes, 3, lsh.PROBES, lsh.AGREE, np.inf, Schema)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {x["example_id"] for x in rows} == set(range(len(q)))
+    assert peak < 50 << 20  # with four times as many meetings at once it has 95 MB
