@@ -4,11 +4,14 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from evalloom.operators import vectors as V
 from evalloom.plans import registry
 
+from .oracle import check
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
@@ -21,6 +24,28 @@ def test_context_of_all_gives_every_query_its_chunks(spark, tmp_path):
     assert all("[Chunk ID: " in got[i] for i in (0, 100, 200))
 
 
+#: What a query over `four_groups` shows of the vectors 0, 50, 100 and 150 that search, by name.
+ASKED = {
+    "knn_exact": lambda rows: {r.example_id: r.chunk_id for r in rows if r["rank"] == 10} == {0: 9, 50: 59, 100: 109, 150: 159},
+}
+
+
+@pytest.fixture(scope="module")
+def four_groups(tmp_path_factory):
+    """Vectors on a line, in groups of ten; the second and the fourth group have one label, so none of their searches finds all that is true."""
+    ids = [i + j for i in (0, 50, 100, 150) for j in range(10)]
+    rows = {"vec_id": ids, "embedding": pa.array([[float(i)] + [0.0] * 63 for i in ids], pa.list_(pa.float32())), "label": pa.array([i // 50 % 2 or i // 50 + 2 for i in ids], pa.int32())}
+    folder = tmp_path_factory.mktemp("groups")
+    pq.write_table(pa.table(rows), f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ASKED)
+def test_every_fiftieth_vector_searches(spark, four_groups, name):
+    assert ASKED[name](registry.QUERIES[name](spark, four_groups).collect())
+    check(spark, registry.QUERIES[name], registry.SQL[name], four_groups)
+
+
 class Task:
     """Stands for a table of one partition, whose rows a function of a task gets here."""
 
