@@ -27,6 +27,7 @@ def test_context_of_all_gives_every_query_its_chunks(spark, tmp_path):
 #: What a query over `four_groups` shows of the vectors 0, 50, 100 and 150 that search, by name.
 ASKED = {
     "knn_exact": lambda rows: {r.example_id: r.chunk_id for r in rows if r["rank"] == 10} == {0: 9, 50: 59, 100: 109, 150: 159},
+    "retrieve": lambda rows: {r.example_id: r.chunk_id for r in rows if r["rank"] == 5} == {0: 4, 50: 54, 100: 104, 150: 154},
 }
 
 
