@@ -29,6 +29,7 @@ ASKED = {
     "knn_exact": lambda rows: {r.example_id: r.chunk_id for r in rows if r["rank"] == 10} == {0: 9, 50: 59, 100: 109, 150: 159},
     "retrieve": lambda rows: {r.example_id: r.chunk_id for r in rows if r["rank"] == 5} == {0: 4, 50: 54, 100: 104, 150: 154},
     "retrieve_distance": lambda rows: {(r.example_id, r.score) for r in rows if r["rank"] == 5} == {(0, 16), (50, 16), (100, 16), (150, 16)},
+    "score_stats": lambda rows: [r.n for r in rows] == [16],
 }
 
 
