@@ -31,6 +31,7 @@ ASKED = {
     "retrieve_distance": lambda rows: {(r.example_id, r.score) for r in rows if r["rank"] == 5} == {(0, 16), (50, 16), (100, 16), (150, 16)},
     "score_stats": lambda rows: [r.n for r in rows] == [16],
     "context_joined": lambda rows: {r.example_id: r.context for r in rows if r.example_id % 100} == {i: "\n\n".join(f"text {j}" for j in ids) for i, ids in FOUND.items()},
+    "context_labelled": lambda rows: {r.example_id: r.context for r in rows if r.example_id % 100} == {i: "\n".join(f"[Chunk ID: {j}] text {j}" for j in ids) for i, ids in FOUND.items()},
 }
 #: Of two of them, the five nearest that the docstore has.
 FOUND = {50: [50, 52, 53, 54], 150: [150, 151, 152, 154]}
