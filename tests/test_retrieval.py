@@ -33,6 +33,7 @@ ASKED = {
     "context_joined": lambda rows: {r.example_id: r.context for r in rows if r.example_id % 100} == {i: "\n\n".join(f"text {j}" for j in ids) for i, ids in FOUND.items()},
     "context_labelled": lambda rows: {r.example_id: r.context for r in rows if r.example_id % 100} == {i: "\n".join(f"[Chunk ID: {j}] text {j}" for j in ids) for i, ids in FOUND.items()},
     "context_spaced": lambda rows: {r.example_id: r.context for r in rows if r.example_id % 100} == {i: " ".join(f"text {j}" for j in ids) for i, ids in FOUND.items()},
+    "retrieved_ids": lambda rows: {r.example_id: r.chunk_ids for r in rows if r.example_id % 100} == {i: ",".join(map(str, ids)) for i, ids in FOUND.items()},
 }
 #: Of two of them, the five nearest that the docstore has.
 FOUND = {50: [50, 52, 53, 54], 150: [150, 151, 152, 154]}
