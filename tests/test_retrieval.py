@@ -35,6 +35,7 @@ ASKED = {
     "context_spaced": lambda rows: {r.example_id: r.context for r in rows if r.example_id % 100} == {i: " ".join(f"text {j}" for j in ids) for i, ids in FOUND.items()},
     "retrieved_ids": lambda rows: {r.example_id: r.chunk_ids for r in rows if r.example_id % 100} == {i: ",".join(map(str, ids)) for i, ids in FOUND.items()},
     "ir_at_k": lambda rows: {r.example_id: r.recall_at_k for r in rows} == {0: 0.5, 50: 0.25, 100: 0.5, 150: 0.25},
+    "ir_sweep": lambda rows: {r.example_id: r.recall_at_k for r in rows if r.k == 10} == {0: 1, 50: 0.5, 100: 1, 150: 0.5},
 }
 #: Of two of them, the five nearest that the docstore has.
 FOUND = {50: [50, 52, 53, 54], 150: [150, 151, 152, 154]}
