@@ -37,6 +37,7 @@ ASKED = {
     "ir_at_k": lambda rows: {r.example_id: r.recall_at_k for r in rows} == {0: 0.5, 50: 0.25, 100: 0.5, 150: 0.25},
     "ir_sweep": lambda rows: {r.example_id: r.recall_at_k for r in rows if r.k == 10} == {0: 1, 50: 0.5, 100: 1, 150: 0.5},
     "ir_mean": lambda rows: {r.k: (r.n, r.recall_at_k) for r in rows if r.k > 3} == {5: (4, 0.375), 10: (4, 0.75)},
+    "ir_best_k": lambda rows: [(r.k, r.recall_at_k) for r in rows] == [(10, 0.75)],
 }
 #: Of two of them, the five nearest that the docstore has.
 FOUND = {50: [50, 52, 53, 54], 150: [150, 151, 152, 154]}
