@@ -39,6 +39,7 @@ ASKED = {
     "ir_mean": lambda rows: {r.k: (r.n, r.recall_at_k) for r in rows if r.k > 3} == {5: (4, 0.375), 10: (4, 0.75)},
     "ir_best_k": lambda rows: [(r.k, r.recall_at_k) for r in rows] == [(10, 0.75)],
     "ir_low_recall": lambda rows: sorted(r.example_id for r in rows) == [50, 150],
+    "ir_found": lambda rows: {r.example_id: r.found for r in rows if r.example_id % 100} == {50: "50,51,52,53,54", 150: "150,151,152,153,154"},
 }
 #: Of two of them, the five nearest that the docstore has.
 FOUND = {50: [50, 52, 53, 54], 150: [150, 151, 152, 154]}
